@@ -44,3 +44,47 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@register
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import LEAST, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    label = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in LEAST]
+    listed = {c: F.array_join(F.transform(c, label), ",") for c in ("base", "spans")}
+    return found.select("doc_id", *counts, F.sha2(listed["base"].cast("binary"), 256).alias("base_sha256"), listed["spans"].alias("spans"))
+
+
+@register
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import build_index, search
+
+    found = search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+@register
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import read, write
+
+    pages = table(spark, sf_dir, "pages")
+    read_back = read(spark, write(pages), pages.schema["page_id"].dataType, keep_payload=False)
+    return read_back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard
+
+    packed = shard(table(spark, sf_dir, "documents"), 24)
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
