@@ -88,3 +88,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = shard(table(spark, sf_dir, "documents"), 24)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.kneser_ney import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
