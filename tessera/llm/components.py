@@ -1,0 +1,29 @@
+"""Connected components by minimum labels and pointer jumping, in DataFrames only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import stored
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every end of links (a, b), root being the smallest node that links reach.
+
+    A round takes the smallest label among a node and its neighbours and then the label's own label; the labels are
+    written to the shared folder each round. Rounds grow with the logarithm of the diameter at best; they go on until
+    no label changes.
+    """
+    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    labels = stored(labels, "labels")
+    while True:
+        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+        new = stored(hooked.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")), "labels")
+        changed = new.where("root <> old").limit(1).count()
+        labels = new.select("node", "root")
+        if not changed:
+            return labels

@@ -52,7 +52,8 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan(table(spark, sf_dir, "documents"))
     label = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in LEAST]
+    of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in LEAST]
     listed = {c: F.array_join(F.transform(c, label), ",") for c in ("base", "spans")}
     return found.select("doc_id", *counts, F.sha2(listed["base"].cast("binary"), 256).alias("base_sha256"), listed["spans"].alias("spans"))
 
@@ -95,3 +96,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.kneser_ney import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard_join import link
+
+    return link(table(spark, sf_dir, "documents"), percent=85, n=4)
