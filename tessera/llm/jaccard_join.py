@@ -9,12 +9,15 @@ partner that these miss). The order is rarest first, by a mergeable frequent-ite
 frequent lines and passages come last. Of each such region the document with the smallest hash is the pivot, and the
 regions with the same pivot unite.
 
-Then regions join recursively: some pivots (all members, if there are few) are compared with all members, exactly.
-Members within the limit r link to the pivot. A partner of such a member is within 2r of the pivot (triangle
-inequality), so the members within 2r form the pivot's next region; all members that link to no pivot form the outer
-region; members between r and 2r go to both. Pivots leave. A region whose members are all connected already is done.
-This ends when no region is left; nothing is capped, and no pair with a link is lost except between documents that
-other links connect.
+Then regions join recursively. In a region of more than ``LEAF`` members some are drawn as pivots, and all members are
+compared with them. Members within the limit r link to a pivot. A member belongs to the Voronoi region of its nearest
+pivot, and to the region of any other pivot that is at most 2r further away (a partner in that region can't be nearer, by
+the triangle inequality). Regions whose members are all connected already are done: a group of copies of any size ends
+here. A region that splitting doesn't shrink is cut into blocks, and each pair of blocks is a region. Regions of at
+most LEAF members are joined exactly, each in one task that holds their sets: its members serve as pivots in turn, and a
+pair is compared only where their distances to all earlier pivots differ by r at most and no links connect them yet.
+Only links of a spanning forest leave a region. Nothing is capped, and no two documents that a path of links connects
+are parted.
 
 Documents with equal sets are one node throughout. Sets are compared by 64-bit hashes of shingles.
 """
@@ -35,7 +38,7 @@ from tessera.llm.components import components
 MEMBER = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 FREQUENT, BUFFER = 200_000, 2_000_000
 MOST_FREQUENT = 500_000
-SMALL_REGION = 12
+LEAF, WINDOWS = 1024, 8
 MOST_BROADCAST_ROWS = 500_000
 
 
@@ -148,82 +151,172 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def linked_nodes(picked: DataFrame, tokens: DataFrame, percent: int, n: int) -> DataFrame:
+def linked_nodes(picked: DataFrame, tokens: DataFrame, percent: int, n: int, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) between nodes that connect all nodes which a path of pairs within the limit connects."""
     spark = picked.sparkSession
-    priority = F.xxhash64("node", F.lit(5))
     rows = tokens.groupBy("token", "node").agg(F.lit(1).alias("one")).drop("one")  # copies meet here, and before the shuffle
     rows = rows.repartition("token")
-    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min_by("node", priority).alias("region")).where("m > 1").drop("m")
+    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", F.lit(5))).alias("region")).where("m > 1").drop("m")
     regions = stored(rows.join(groups, "token").select("region", "node").distinct(), "regions")
     links = spark.createDataFrame([], "a bigint, b bigint")
     if not regions.take(1):
         return links
-    compared = Compared(picked, regions.select("node").distinct(), percent, n)
+    held = node_sets(picked, regions.select("node").distinct(), n)
+    sized = lambda df: df.join(df.groupBy("region").agg(F.count("*").alias("m")), "region")
+    regions = sized(regions)
+    parts = []
     while True:
-        region = regions.groupBy("region").agg(F.count("*").alias("m"), F.min(F.xxhash64("node", "region")).alias("lowest"))
-        region = region.withColumn("share", F.when(F.col("m") <= SMALL_REGION, 2.0).otherwise(1 / (4 * F.sqrt("m"))))
-        at = F.xxhash64("node", "region")
-        members = stored(regions.join(region, "region").withColumn("pivot", (at == F.col("lowest")) | (F.shiftrightunsigned(at, 11) / F.lit(float(1 << 53)) < F.col("share"))), "members")
-        pivots = members.where("pivot").select("region", F.col("node").alias("p"))
-        pairs = members.select("region", F.col("node").alias("x"), F.col("pivot")).join(pivots, "region").where("x <> p and (not pivot or x < p)")
-        wanted = pairs.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-        known = compared.with_overlap(wanted)
-        links = stored(links.union(known.where(f"100 * shared >= {percent} * united").select("a", "b")), "links")
-        open_members = members.where("not pivot")
-        if not open_members.take(1):
-            return links
-        near = 2 * percent - 100
-        judged = pairs.where("not pivot").withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")}).join(known, ["a", "b"])
-        judged = stored(judged.select("region", "x", "p", (100 * F.col("shared") >= percent * F.col("united")).alias("within"), (100 * F.col("shared") >= near * F.col("united")).alias("near")), "judged")
-        inner = judged.where("near").select(F.xxhash64("region", "p").alias("region"), F.col("x").alias("node"))
-        inside = judged.where("within").select("region", F.col("x").alias("node")).distinct()
-        outer = open_members.select("region", "node").join(inside, ["region", "node"], "left_anti").select(F.xxhash64("region", F.lit("outer")).alias("region"), "node")
-        following = inner.union(outer)
+        regions = stored(regions, "regions")
+        parts.append(regions.where(F.col("m") <= leaf).select("region", "node"))
+        large = regions.where(F.col("m") > leaf)
+        if not large.take(1):
+            break
+        split = stored(_split(large, held, percent, leaf), "split")
+        links = stored(links.union(split.where("b is not null").select(F.col("node").alias("a"), "b")), "links")
+        following = split.where("b is null").select("region", "node", F.col("m").alias("before")).distinct()
         labels = components(links)
         following = following.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_regions = following.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region")
-        regions = stored(following.join(open_regions, "region", "left_semi").select("region", "node"), "regions")
-        if not regions.take(1):
-            return links
-
-
-class Compared:
-    """Exact overlaps of pairs of nodes, from their whole sets."""
-
-    def __init__(self, picked: DataFrame, nodes: DataFrame, percent: int, n: int):
-        spark, few = picked.sparkSession, nodes.count()
-        wanted = spark.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)) if few <= MOST_BROADCAST_ROWS else None)
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in slices(batch, 1):
-                    own = {node(s): s for s in sets(piece.column(1), n) if len(s)}
-                    names = np.array([*own], np.int64)
-                    keep = np.isin(names, wanted.value) if wanted.value is not None else np.ones(len(names), bool)
-                    yield pa.record_batch([pa.array(names[keep]), pa.array([s.tobytes() for s, k in zip(own.values(), keep.tolist()) if k], pa.binary())], ["node", "shingles"])
-
-        all_sets = picked.mapInArrow(whole, "node bigint, shingles binary")
-        if few > MOST_BROADCAST_ROWS:
-            all_sets = all_sets.join(nodes, "node", "left_semi")
-        self.sets = stored(all_sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-    def with_overlap(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, shared, united) for pairs (a, b)."""
-        left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
-
-        def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                shared, united = [], []
-                for s, t in zip(batch.column(2), batch.column(3)):
-                    x, y = np.frombuffer(s.as_buffer(), U64), np.frombuffer(t.as_buffer(), U64)
-                    if len(y) < len(x):
-                        x, y = y, x
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    shared.append(int((y[at] == x).sum()))
-                    united.append(len(x) + len(y) - shared[-1])
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "shared", "united"])
-
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
-        return stored(both.mapInArrow(overlap, "a bigint, b bigint, shared bigint, united bigint"), "overlaps")
+        still = following.groupBy("region").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region", "m")
+        following = stored(following.join(still, "region").select("region", "node", "m", "before"), "following")
+        stuck = (F.col("m") > leaf) & (F.col("m") > 0.8 * F.col("before"))
+        parts.append(_blocks(following.where(stuck), leaf))
+        regions = following.where(~stuck).select("region", "node", "m")
+    rest = parts[0]
+    for part in parts[1:]:
+        rest = rest.union(part)
+    joined = rest.join(held, "node").repartition("region").sortWithinPartitions("region").select("region", "node", "shingles")
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["region"]):
+            names = np.asarray(group.column("node"))
+            found = join_region([np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")], percent)
+            yield pa.record_batch([pa.array(names[[a for a, _ in found]]), pa.array(names[[b for _, b in found]])], ["a", "b"])
+
+    return stored(links.union(joined.mapInArrow(leaves, "a bigint, b bigint")).distinct(), "links")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal keys; one run is held at a time."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if kept:
+            last = kept[-1]
+            new[0] = any(last.column(last.schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns))
+        cut = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for k, (begin, end) in enumerate(zip(cut, cut[1:])):
+            if k and kept:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            if end > begin:
+                kept.append(batch.slice(begin, end - begin))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def overlaps(s: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many items of the sorted set s each set of a flat list holds; no set is empty."""
+    at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+    return np.add.reduceat((s[at] == flat).astype(np.int64), offsets[:-1])
+
+
+def join_region(members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links by number that connect what pairs of members within the limit connect."""
+    m = len(members)
+    sizes = np.array([len(s) for s in members])
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    items, flat = np.unique(np.concatenate(members), return_inverse=True)
+    mark = np.zeros(len(items), bool)
+    group, found, seen = np.arange(m), [], []
+    limit = 1 - percent / 100 + 1e-9
+    for x in range(m - 1):
+        y = np.arange(x + 1, m)
+        open_pair = (group[y] != group[x]) & (100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x]))
+        for d in seen:
+            open_pair &= np.abs(d[y] - d[x]) <= limit
+        y = y[open_pair]
+        if not len(y):
+            continue
+        mark[flat[offsets[x] : offsets[x + 1]]] = True
+        whole = len(seen) < WINDOWS and len(y) > 16
+        if whole:
+            shared = np.add.reduceat(mark[flat].astype(np.int32), offsets[:-1])
+            seen.append(1 - shared / (sizes + sizes[x] - shared))
+            shared = shared[y]
+        else:
+            shared = np.array([np.count_nonzero(mark[flat[offsets[k] : offsets[k + 1]]]) for k in y])
+        mark[flat[offsets[x] : offsets[x + 1]]] = False
+        for k in y[100 * shared >= percent * (sizes[y] + sizes[x] - shared)].tolist():
+            if group[k] != group[x]:
+                group[group == group[k]] = group[x]
+                found.append((x, k))
+        if len(found) == m - 1:
+            break
+    return found
+
+
+def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Rows (region, node, m, b) of large regions: with b, a link to a pivot; without, membership in a region around a pivot."""
+    at = F.xxhash64("node", "region")
+    lowest = large.groupBy("region").agg(F.min(at).alias("lowest"))
+    drawn = F.shiftrightunsigned(at, 11) / F.lit(float(1 << 53)) < (2 * F.ceil(F.col("m") / leaf) + 1) / F.col("m")
+    members = large.join(lowest, "region").withColumn("pivot", ((at == F.col("lowest")) | drawn).cast("int")).drop("lowest")
+    chunks = F.ceil(F.col("m") / (2 * leaf)).cast("int")
+    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), chunks).cast("int")).withColumn("kind", F.lit(1))
+    shown = members.where("pivot = 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("kind", F.lit(0))
+    both = dealt.union(shown.select(dealt.columns)).join(held, "node").repartition("region", "chunk").sortWithinPartitions("region", "chunk", "kind")
+    limit = 1 - percent / 100
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["region", "chunk"]):
+            names, kind = np.asarray(group.column("node")), np.asarray(group.column("kind"))
+            region, m = group.column("region")[0].as_py(), group.column("m")[0].as_py()
+            whole = [np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")]
+            centres, own = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            sizes = np.array([len(whole[k]) for k in own])
+            flat, offsets = np.concatenate([whole[k] for k in own]), np.concatenate([[0], np.cumsum(sizes)])
+            shared = np.stack([overlaps(whole[c], flat, offsets) for c in centres])
+            united = sizes + np.array([[len(whole[c])] for c in centres]) - shared
+            distance = 1 - shared / united
+            c, k = np.nonzero(100 * shared >= percent * united)
+            linked = names[own[k]] != names[centres[c]]
+            j, x = np.nonzero(distance <= distance.min(axis=0) + 2 * limit + 1e-9)
+            region_of = grams(np.concatenate([np.array([region], np.int64).view(U64)]), 1)[0] + mix(names[centres].view(U64))
+            a = np.concatenate([names[own[k]][linked], names[own[x]]])
+            b = pa.array(np.concatenate([names[centres[c]][linked], np.zeros(len(x), np.int64)]), mask=np.concatenate([np.zeros(linked.sum(), bool), np.ones(len(x), bool)]))
+            r = np.concatenate([np.full(linked.sum(), region, np.int64), region_of[j].view(np.int64)])
+            yield pa.record_batch([pa.array(r), pa.array(a), pa.array(np.full(len(a), m)), b], ["region", "node", "m", "b"])
+
+    return both.select("region", "node", "m", "chunk", "kind", "shingles").mapInArrow(deal, "region bigint, node bigint, m bigint, b bigint")
+
+
+def _blocks(stuck: DataFrame, leaf: int) -> DataFrame:
+    """Regions for each pair of blocks of half a leaf, for regions that pivots don't divide."""
+    blocks = F.ceil(2 * F.col("m") / leaf).cast("int")
+    numbered = stuck.withColumn("block", F.pmod(F.xxhash64("node", F.lit(13)), blocks).cast("int"))
+    paired = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return paired.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node")
+
+
+def node_sets(picked: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, shingles) for the nodes: their whole sets as sorted 64-bit integers."""
+    few = nodes.count()
+    wanted = picked.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)) if few <= MOST_BROADCAST_ROWS else None)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, 1):
+                own = {node(s): s for s in sets(piece.column(1), n) if len(s)}
+                names = np.array([*own], np.int64)
+                keep = np.isin(names, wanted.value) if wanted.value is not None else np.ones(len(names), bool)
+                yield pa.record_batch([pa.array(names[keep]), pa.array([s.tobytes() for s, k in zip(own.values(), keep.tolist()) if k], pa.binary())], ["node", "shingles"])
+
+    all_sets = picked.mapInArrow(whole, "node bigint, shingles binary")
+    if few > MOST_BROADCAST_ROWS:
+        all_sets = all_sets.join(nodes, "node", "left_semi")
+    return stored(all_sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
