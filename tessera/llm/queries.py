@@ -103,3 +103,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_join import link
 
     return link(table(spark, sf_dir, "documents"), percent=85, n=4)
+
+
+@register
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.cross_entropy import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
