@@ -16,7 +16,11 @@ the triangle inequality). Regions whose members are all connected already are do
 here. A region that splitting doesn't shrink is cut into blocks, and each pair of blocks is a region. Regions of at
 most LEAF members are joined exactly, each in one task that holds their sets: its members serve as pivots in turn, and a
 pair is compared only where their distances to all earlier pivots differ by r at most and no links connect them yet.
-Only links of a spanning forest leave a region. Nothing is capped, and no two documents that a path of links connects
+Before whole sets are moved there, members are held against each other by their profiles: the distances to SLICES
+pivots, which are fixed slices of all shingles, in the metric of symmetric differences (the numbers of a set's shingles
+in each slice). By the triangle inequality their differences, added up, bound the symmetric difference of two sets from
+below; a member that this keeps from linking with any other of its region leaves it. Only links of a spanning forest
+leave a region. Nothing is capped, and no two documents that a path of links connects
 are parted.
 
 Documents with equal sets are one node throughout. Sets are compared by 64-bit hashes of shingles.
@@ -38,7 +42,7 @@ from tessera.llm.components import components
 MEMBER = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 FREQUENT, BUFFER = 200_000, 2_000_000
 MOST_FREQUENT = 500_000
-LEAF, WINDOWS = 1024, 8
+LEAF, WINDOWS, SLICES = 1024, 8, 128
 MOST_BROADCAST_ROWS = 500_000
 
 
@@ -60,6 +64,23 @@ def node(s: np.ndarray) -> int:
     return int(mix(grams(h, 3)).view(np.int64)[0])
 
 
+def profile(s: np.ndarray) -> bytes:
+    """The number of shingles in each slice, 255 at most (a difference of such numbers is still no larger than the true one)."""
+    return np.minimum(np.bincount((s >> U64(40)).astype(np.int64) % SLICES, minlength=SLICES), 255).astype(np.uint8).tobytes()
+
+
+def near_by_profile(profiles: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each member may link with another one."""
+    out, wide = np.zeros(len(sizes), bool), profiles.astype(np.int16)
+    for x in range(len(sizes) - 1):
+        apart, together = np.abs(wide[x + 1 :] - wide[x]).sum(axis=1), sizes[x + 1 :] + sizes[x]
+        may = 100 * (together - apart) >= percent * (together + apart)
+        if may.any():
+            out[x] = True
+            out[x + 1 :] |= may
+    return out
+
+
 class Frequent:
     """A Misra-Gries summary: any item of more than 1/FREQUENT of those added is held, with a count that is that much too small at most."""
 
@@ -125,9 +146,9 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
         for batch in batches:
             for piece in slices(batch, 1):
                 own = sets(piece.column(1), n)
-                yield pa.record_batch([piece.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(map(node, own), pa.int64())], ["id", "n", "node"])
+                yield pa.record_batch([piece.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(map(node, own), pa.int64()), pa.array(map(profile, own), pa.binary())], ["id", "n", "node", "profile"])
 
-    named = stored(picked.mapInArrow(name, f"id {kind}, n bigint, node bigint"), "nodes")
+    named = stored(picked.mapInArrow(name, f"id {kind}, n bigint, node bigint, profile binary"), "nodes")
     held = spark.sparkContext.broadcast(frequencies(picked, n))  # at most MOST_FREQUENT
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +159,9 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
                 tokens = np.concatenate(parts) if parts else np.zeros(0, U64)
                 yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [*map(len, parts)]))], ["token", "node"])
 
-    links = linked_nodes(picked, picked.mapInArrow(first, "token bigint, node bigint"), percent, n)
     found = named.where("n > 0")
+    profiles = found.groupBy("node").agg(F.first("profile").alias("profile"), F.first("n").alias("n"))
+    links = linked_nodes(picked, picked.mapInArrow(first, "token bigint, node bigint"), profiles, percent, n)
     classes = found.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     joined = components(links)
     classes = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -151,7 +173,7 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def linked_nodes(picked: DataFrame, tokens: DataFrame, percent: int, n: int, leaf: int = LEAF) -> DataFrame:
+def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, percent: int, n: int, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) between nodes that connect all nodes which a path of pairs within the limit connects."""
     spark = picked.sparkSession
     rows = tokens.groupBy("token", "node").agg(F.lit(1).alias("one")).drop("one")  # copies meet here, and before the shuffle
@@ -161,9 +183,9 @@ def linked_nodes(picked: DataFrame, tokens: DataFrame, percent: int, n: int, lea
     links = spark.createDataFrame([], "a bigint, b bigint")
     if not regions.take(1):
         return links
+    regions = regions.join(regions.groupBy("region").agg(F.count("*").alias("m")), "region")
+    regions = stored(_apart(regions.where(F.col("m") <= leaf), profiles, percent).union(regions.where(F.col("m") > leaf).select("region", "node", "m")), "regions")
     held = node_sets(picked, regions.select("node").distinct(), n)
-    sized = lambda df: df.join(df.groupBy("region").agg(F.count("*").alias("m")), "region")
-    regions = sized(regions)
     parts = []
     while True:
         regions = stored(regions, "regions")
@@ -189,12 +211,34 @@ def linked_nodes(picked: DataFrame, tokens: DataFrame, percent: int, n: int, lea
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["region"]):
             names = np.asarray(group.column("node"))
+            if len(names) < 2:
+                continue
             found = join_region([np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")], percent)
             yield pa.record_batch([pa.array(names[[a for a, _ in found]]), pa.array(names[[b for _, b in found]])], ["a", "b"])
 
     return stored(links.union(joined.mapInArrow(leaves, "a bigint, b bigint")).distinct(), "links")
 
 
+def _apart(regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The members of small regions that their profiles don't keep from linking with another one."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[], [], []]
+        for group in runs(batches, ["region"]):
+            held = np.frombuffer(b"".join(group.column("profile").to_pylist()), np.uint8).reshape(-1, SLICES)
+            near = near_by_profile(held, np.asarray(group.column("n")), percent)
+            for r, column in zip(rows, ("region", "node", "m")):
+                r.append(np.asarray(group.column(column))[near])
+            if len(rows[0]) >= 2000:
+                yield pa.record_batch([pa.array(np.concatenate(r)) for r in rows], ["region", "node", "m"])
+                rows = [[], [], []]
+        if rows[0]:
+            yield pa.record_batch([pa.array(np.concatenate(r)) for r in rows], ["region", "node", "m"])
+
+    joined = regions.join(profiles, "node").repartition("region").sortWithinPartitions("region")
+    return joined.select("region", "node", "m", "profile", "n").mapInArrow(choose, "region bigint, node bigint, m bigint")
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal keys; one run is held at a time."""
     kept: list[pa.RecordBatch] = []
