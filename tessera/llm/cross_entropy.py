@@ -39,8 +39,8 @@ def vocabulary(picked: DataFrame, words: int = WORDS) -> np.ndarray:
         yield pa.record_batch([pa.array(held.items[often].view(np.int64)), pa.array(held.counts[often])], ["h", "c"])
 
     counted = picked.mapInArrow(summary, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "h").limit(words).toPandas()  # at most WORDS
-    return np.sort(top["h"].to_numpy(np.int64).view(U64))
+    top = counted.orderBy(F.desc("c"), "h").limit(words).toArrow()  # at most WORDS
+    return np.sort(top["h"].to_numpy().astype(np.int64).view(U64))
 
 
 def keys(column: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,9 +76,10 @@ def count(picked: DataFrame, words: np.ndarray, target_ids: DataFrame) -> np.nda
             at = some[begin : begin + 100_000]
             yield pa.record_batch([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["k", "background", "target"])
 
-    rows = flagged.mapInArrow(tally, "k bigint, background bigint, target bigint").groupBy("k").agg(F.sum("background").alias("b"), F.sum("target").alias("t")).toPandas()
+    rows = flagged.mapInArrow(tally, "k bigint, background bigint, target bigint").groupBy("k").agg(F.sum("background").alias("b"), F.sum("target").alias("t")).toArrow()
     out = np.zeros((2, 2 * n + PAIRS))
-    out[0][rows["k"]], out[1][rows["k"]] = rows["b"], rows["t"]
+    k, b, t = (rows[c].to_numpy() for c in ("k", "b", "t"))
+    out[0][k], out[1][k] = b, t
     return out
 
 

@@ -115,10 +115,10 @@ def frequencies(picked: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.record_batch([pa.array(held.items[often].view(np.int64)), pa.array(held.counts[often])], ["token", "c"])
 
     counted = picked.mapInArrow(summary, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
-    rows = counted.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(U64)
+    rows = counted.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).toArrow()
+    tokens = rows["token"].to_numpy().astype(np.int64).view(U64)
     order = np.argsort(tokens)
-    return tokens[order], rows["c"].to_numpy(np.int64)[order]
+    return tokens[order], rows["c"].to_numpy().astype(np.int64)[order]
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -350,7 +350,7 @@ def _blocks(stuck: DataFrame, leaf: int) -> DataFrame:
 def node_sets(picked: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, shingles) for the nodes: their whole sets as sorted 64-bit integers."""
     few = nodes.count()
-    wanted = picked.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)) if few <= MOST_BROADCAST_ROWS else None)
+    wanted = picked.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy().astype(np.int64)) if few <= MOST_BROADCAST_ROWS else None)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
