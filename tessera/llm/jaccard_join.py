@@ -13,7 +13,8 @@ Then regions join recursively. In a region of more than ``LEAF`` members some ar
 compared with them. Members within the limit r link to a pivot. A member belongs to the Voronoi region of its nearest
 pivot, and to the region of any other pivot that is at most 2r further away (a partner in that region can't be nearer, by
 the triangle inequality). Regions whose members are all connected already are done: a group of copies of any size ends
-here. A region that splitting doesn't shrink is cut into blocks, and each pair of blocks is a region. Regions of at
+here. A region that splitting doesn't shrink is cut into blocks, and each pair of blocks is a region (of those members only
+that profiles, see below, allow a link with one that isn't connected yet). Regions of at
 most LEAF members are joined exactly, each in one task that holds their sets: its members serve as pivots in turn, and a
 pair is compared only where their distances to all earlier pivots differ by r at most and no links connect them yet.
 Before whole sets are moved there, members are held against each other by their profiles: the distances to SLICES
@@ -29,6 +30,7 @@ Documents with equal sets are one node throughout. Sets are compared by 64-bit h
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,15 +71,19 @@ def profile(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> U64(40)).astype(np.int64) % SLICES, minlength=SLICES), 255).astype(np.uint8).tobytes()
 
 
-def near_by_profile(profiles: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Whether each member may link with another one."""
+def near_by_profile(profiles: np.ndarray, sizes: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each member may link with another one of another root."""
     out, wide = np.zeros(len(sizes), bool), profiles.astype(np.int16)
     for x in range(len(sizes) - 1):
-        apart, together = np.abs(wide[x + 1 :] - wide[x]).sum(axis=1), sizes[x + 1 :] + sizes[x]
+        y = x + 1 + np.flatnonzero(roots[x + 1 :] != roots[x])
+        y = y[100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x])]
+        if not len(y):
+            continue
+        apart, together = np.abs(wide[y] - wide[x]).sum(axis=1), sizes[y] + sizes[x]
         may = 100 * (together - apart) >= percent * (together + apart)
         if may.any():
             out[x] = True
-            out[x + 1 :] |= may
+            out[y[may]] = True
     return out
 
 
@@ -183,37 +189,37 @@ def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, perc
     links = spark.createDataFrame([], "a bigint, b bigint")
     if not regions.take(1):
         return links
-    regions = regions.join(regions.groupBy("region").agg(F.count("*").alias("m")), "region")
-    regions = stored(_apart(regions.where(F.col("m") <= leaf), profiles, percent).union(regions.where(F.col("m") > leaf).select("region", "node", "m")), "regions")
+    # root: a name that members share which links connect already
+    regions = regions.join(regions.groupBy("region").agg(F.count("*").alias("m")), "region").withColumn("root", F.col("node"))
+    regions = stored(_apart(regions.where(F.col("m") <= leaf), profiles, percent).unionByName(regions.where(F.col("m") > leaf)), "regions")
     held = node_sets(picked, regions.select("node").distinct(), n)
     parts = []
     while True:
-        regions = stored(regions, "regions")
-        parts.append(regions.where(F.col("m") <= leaf).select("region", "node"))
+        parts.append(regions.where(F.col("m") <= leaf))
         large = regions.where(F.col("m") > leaf)
         if not large.take(1):
             break
         split = stored(_split(large, held, percent, leaf), "split")
-        links = stored(links.union(split.where("b is not null").select(F.col("node").alias("a"), "b")), "links")
-        following = split.where("b is null").select("region", "node", F.col("m").alias("before")).distinct()
+        links = stored(links.union(split.where("b is not null").select(F.col("node").alias("a"), "b")).distinct(), "links")
         labels = components(links)
-        following = following.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        still = following.groupBy("region").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region", "m")
-        following = stored(following.join(still, "region").select("region", "node", "m", "before"), "following")
-        stuck = (F.col("m") > leaf) & (F.col("m") > 0.8 * F.col("before"))
-        parts.append(_blocks(following.where(stuck), leaf))
-        regions = following.where(~stuck).select("region", "node", "m")
-    rest = parts[0]
-    for part in parts[1:]:
-        rest = rest.union(part)
-    joined = rest.join(held, "node").repartition("region").sortWithinPartitions("region").select("region", "node", "shingles")
+        rooted = lambda df: df.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        following = stored(rooted(split.where("b is null").select("parent", "region", "node").distinct()), "following")
+        still = following.groupBy("parent", "region").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        still = stored(still.select("parent", "region", "m").join(large.groupBy(F.col("region").alias("parent")).agg(F.first("m").alias("before")), "parent"), "still")
+        hard = still.groupBy("parent").agg(((F.sum("m") > 1.5 * F.first("before")) | (F.max("m") > 0.8 * F.first("before"))).alias("hard")).where("hard").select("parent")
+        blocks = _blocks(rooted(large.join(hard.withColumnRenamed("parent", "region"), "region", "left_semi")), leaf)
+        parts.append(stored(_apart(blocks, profiles, percent), "blocks"))
+        easy = still.join(hard, "parent", "left_anti").select("region", "m")
+        regions = stored(following.drop("parent").distinct().join(easy, "region").select("region", "node", "m", "root"), "regions")
+    rest = reduce(DataFrame.unionByName, parts)
+    joined = rest.join(held, "node").repartition("region").sortWithinPartitions("region").select("region", "node", "root", "shingles")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["region"]):
             names = np.asarray(group.column("node"))
             if len(names) < 2:
                 continue
-            found = join_region([np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")], percent)
+            found = join_region([np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")], np.asarray(group.column("root")), percent)
             yield pa.record_batch([pa.array(names[[a for a, _ in found]]), pa.array(names[[b for _, b in found]])], ["a", "b"])
 
     return stored(links.union(joined.mapInArrow(leaves, "a bigint, b bigint")).distinct(), "links")
@@ -223,20 +229,21 @@ def _apart(regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """The members of small regions that their profiles don't keep from linking with another one."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [[], [], []]
+        columns = ("region", "node", "m", "root")
+        rows = [[] for _ in columns]
         for group in runs(batches, ["region"]):
             held = np.frombuffer(b"".join(group.column("profile").to_pylist()), np.uint8).reshape(-1, SLICES)
-            near = near_by_profile(held, np.asarray(group.column("n")), percent)
-            for r, column in zip(rows, ("region", "node", "m")):
+            near = near_by_profile(held, np.asarray(group.column("n")), np.asarray(group.column("root")), percent)
+            for r, column in zip(rows, columns):
                 r.append(np.asarray(group.column(column))[near])
             if len(rows[0]) >= 2000:
-                yield pa.record_batch([pa.array(np.concatenate(r)) for r in rows], ["region", "node", "m"])
-                rows = [[], [], []]
+                yield pa.record_batch([pa.array(np.concatenate(r)) for r in rows], columns)
+                rows = [[] for _ in columns]
         if rows[0]:
-            yield pa.record_batch([pa.array(np.concatenate(r)) for r in rows], ["region", "node", "m"])
+            yield pa.record_batch([pa.array(np.concatenate(r)) for r in rows], columns)
 
     joined = regions.join(profiles, "node").repartition("region").sortWithinPartitions("region")
-    return joined.select("region", "node", "m", "profile", "n").mapInArrow(choose, "region bigint, node bigint, m bigint")
+    return joined.select("region", "node", "m", "root", "profile", "n").mapInArrow(choose, "region bigint, node bigint, m bigint, root bigint")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -269,14 +276,15 @@ def overlaps(s: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return np.add.reduceat((s[at] == flat).astype(np.int64), offsets[:-1])
 
 
-def join_region(members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links by number that connect what pairs of members within the limit connect."""
+def join_region(members: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links by number that connect what pairs of members within the limit connect; members of equal roots are connected already."""
     m = len(members)
     sizes = np.array([len(s) for s in members])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     items, flat = np.unique(np.concatenate(members), return_inverse=True)
     mark = np.zeros(len(items), bool)
-    group, found, seen = np.arange(m), [], []
+    _, group = np.unique(roots, return_inverse=True)
+    found, seen, groups = [], [], int(group.max()) + 1
     limit = 1 - percent / 100 + 1e-9
     for x in range(m - 1):
         y = np.arange(x + 1, m)
@@ -299,13 +307,13 @@ def join_region(members: list[np.ndarray], percent: int) -> list[tuple[int, int]
             if group[k] != group[x]:
                 group[group == group[k]] = group[x]
                 found.append((x, k))
-        if len(found) == m - 1:
+        if len(found) == groups - 1:
             break
     return found
 
 
 def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """Rows (region, node, m, b) of large regions: with b, a link to a pivot; without, membership in a region around a pivot."""
+    """Rows (parent, region, node, b) of large regions: with b, a link to a pivot; without, membership in a region around a pivot."""
     at = F.xxhash64("node", "region")
     lowest = large.groupBy("region").agg(F.min(at).alias("lowest"))
     drawn = F.shiftrightunsigned(at, 11) / F.lit(float(1 << 53)) < (2 * F.ceil(F.col("m") / leaf) + 1) / F.col("m")
@@ -319,7 +327,7 @@ def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFr
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["region", "chunk"]):
             names, kind = np.asarray(group.column("node")), np.asarray(group.column("kind"))
-            region, m = group.column("region")[0].as_py(), group.column("m")[0].as_py()
+            region = group.column("region")[0].as_py()
             whole = [np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")]
             centres, own = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
             sizes = np.array([len(whole[k]) for k in own])
@@ -334,9 +342,9 @@ def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFr
             a = np.concatenate([names[own[k]][linked], names[own[x]]])
             b = pa.array(np.concatenate([names[centres[c]][linked], np.zeros(len(x), np.int64)]), mask=np.concatenate([np.zeros(linked.sum(), bool), np.ones(len(x), bool)]))
             r = np.concatenate([np.full(linked.sum(), region, np.int64), region_of[j].view(np.int64)])
-            yield pa.record_batch([pa.array(r), pa.array(a), pa.array(np.full(len(a), m)), b], ["region", "node", "m", "b"])
+            yield pa.record_batch([pa.array(np.full(len(a), region)), pa.array(r), pa.array(a), b], ["parent", "region", "node", "b"])
 
-    return both.select("region", "node", "m", "chunk", "kind", "shingles").mapInArrow(deal, "region bigint, node bigint, m bigint, b bigint")
+    return both.select("region", "node", "chunk", "kind", "shingles").mapInArrow(deal, "parent bigint, region bigint, node bigint, b bigint")
 
 
 def _blocks(stuck: DataFrame, leaf: int) -> DataFrame:
@@ -344,7 +352,7 @@ def _blocks(stuck: DataFrame, leaf: int) -> DataFrame:
     blocks = F.ceil(2 * F.col("m") / leaf).cast("int")
     numbered = stuck.withColumn("block", F.pmod(F.xxhash64("node", F.lit(13)), blocks).cast("int"))
     paired = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return paired.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node")
+    return paired.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node", "m", "root")
 
 
 def node_sets(picked: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
