@@ -110,3 +110,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.cross_entropy import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op4_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 20."""
+    from tessera.llm.bm25 import build_index, search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(build_index(docs), docs.where("doc_id % 20 = 0"), k=10)
