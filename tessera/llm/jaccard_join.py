@@ -186,13 +186,22 @@ def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, perc
     rows = rows.repartition("token")
     groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", F.lit(5))).alias("region")).where("m > 1").drop("m")
     regions = stored(rows.join(groups, "token").select("region", "node").distinct(), "regions")
-    links = spark.createDataFrame([], "a bigint, b bigint")
     if not regions.take(1):
-        return links
+        return spark.createDataFrame([], "a bigint, b bigint")
     # root: a name that members share which links connect already
     regions = regions.join(regions.groupBy("region").agg(F.count("*").alias("m")), "region").withColumn("root", F.col("node"))
     regions = stored(_apart(regions.where(F.col("m") <= leaf), profiles, percent).unionByName(regions.where(F.col("m") > leaf)), "regions")
     held = node_sets(picked, regions.select("node").distinct(), n)
+    # At first each member joins one region only, so that groups of near copies are linked before they are looked at again.
+    own = regions.groupBy("node").agg(F.min_by("region", F.xxhash64("region", F.lit(17))).alias("region"))
+    own = stored(own.join(own.groupBy("region").agg(F.count("*").alias("m")), "region").where("m > 1").withColumn("root", F.col("node")), "own")
+    near_pivots = _split(own.where(F.col("m") > leaf), held, percent, leaf).where("b is not null").select(F.col("node").alias("a"), "b")
+    links = stored(_join_leaves(own.where(F.col("m") <= leaf), held, percent).union(near_pivots).distinct(), "links")
+    rooted = lambda df, labels: df.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    regions = stored(rooted(regions, components(links)), "regions")
+    unfinished = regions.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region")
+    regions = regions.join(unfinished, "region", "left_semi")
+    regions = stored(_apart(regions.where(F.col("m") <= leaf), profiles, percent).unionByName(regions.where(F.col("m") > leaf)), "regions")
     parts = []
     while True:
         parts.append(regions.where(F.col("m") <= leaf))
@@ -202,17 +211,19 @@ def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, perc
         split = stored(_split(large, held, percent, leaf), "split")
         links = stored(links.union(split.where("b is not null").select(F.col("node").alias("a"), "b")).distinct(), "links")
         labels = components(links)
-        rooted = lambda df: df.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        following = stored(rooted(split.where("b is null").select("parent", "region", "node").distinct()), "following")
+        following = stored(rooted(split.where("b is null").select("parent", "region", "node").distinct(), labels), "following")
         still = following.groupBy("parent", "region").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         still = stored(still.select("parent", "region", "m").join(large.groupBy(F.col("region").alias("parent")).agg(F.first("m").alias("before")), "parent"), "still")
         hard = still.groupBy("parent").agg(((F.sum("m") > 1.5 * F.first("before")) | (F.max("m") > 0.8 * F.first("before"))).alias("hard")).where("hard").select("parent")
-        blocks = _blocks(rooted(large.join(hard.withColumnRenamed("parent", "region"), "region", "left_semi")), leaf)
+        blocks = _blocks(rooted(large.join(hard.withColumnRenamed("parent", "region"), "region", "left_semi"), labels), leaf)
         parts.append(stored(_apart(blocks, profiles, percent), "blocks"))
         easy = still.join(hard, "parent", "left_anti").select("region", "m")
         regions = stored(following.drop("parent").distinct().join(easy, "region").select("region", "node", "m", "root"), "regions")
-    rest = reduce(DataFrame.unionByName, parts)
-    joined = rest.join(held, "node").repartition("region").sortWithinPartitions("region").select("region", "node", "root", "shingles")
+    return stored(links.union(_join_leaves(reduce(DataFrame.unionByName, parts), held, percent)).distinct(), "links")
+
+
+def _join_leaves(regions: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) found inside regions of at most LEAF members."""
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["region"]):
@@ -222,7 +233,8 @@ def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, perc
             found = join_region([np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")], np.asarray(group.column("root")), percent)
             yield pa.record_batch([pa.array(names[[a for a, _ in found]]), pa.array(names[[b for _, b in found]])], ["a", "b"])
 
-    return stored(links.union(joined.mapInArrow(leaves, "a bigint, b bigint")).distinct(), "links")
+    joined = regions.join(held, "node").repartition("region").sortWithinPartitions("region").select("region", "node", "root", "shingles")
+    return joined.mapInArrow(leaves, "a bigint, b bigint")
 
 
 def _apart(regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
