@@ -37,7 +37,7 @@ def retire_or_delete(deletes: DataFrame, belief_players: DataFrame) -> DataFrame
 def within(pairs: DataFrame, manifest: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs both of whose ends are in the manifest."""
     ids = manifest.select("concept_id").distinct()
-    return pairs.join(ids.withColumnRenamed("concept_id", a), a, "left_semi").join(ids.withColumnRenamed("concept_id", b), b, "left_semi")
+    return pairs.join(ids.withColumnRenamed("concept_id", a), a, "left_semi").join(ids.withColumnRenamed("concept_id", b), b, "left_semi").select(pairs.columns)
 
 
 def missing_from(pairs: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:

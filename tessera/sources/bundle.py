@@ -105,7 +105,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
     root = path.rstrip("/").rpartition("://")[2].removeprefix("file:")
     relative = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), F.concat(F.lit("^.*?"), F.lit("\\Q" + root + "\\E/+")), F.lit(""))
-    named = raw.select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    named = raw.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"))
     return named.where(~F.lower(F.regexp_extract("path", "[^/]*$", 0)).isin(*RESERVED))
 
 

@@ -18,7 +18,7 @@ def episodes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         F.lit("episode").alias("type"),
         F.col("event_type").alias("title"),
         F.to_date("ts").alias("event_time"),
-        F.col("ts").cast("timestamp").alias("ingest_time"),
+        F.col("ts").cast("timestamp_ltz").alias("ingest_time"),
         F.concat(F.lit("user-"), "user_id").alias("owner"),
     )
     return rows.withWatermark("ingest_time", delay).dropDuplicatesWithinWatermark(["title", "event_time", "owner"])
@@ -26,7 +26,7 @@ def episodes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def activity(events: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Events by type in tumbling windows; late ones beyond the delay are dropped."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+    timed = events.withColumn("at", F.col("ts").cast("timestamp_ltz")).withWatermark("at", delay)
     return timed.groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
