@@ -6,64 +6,26 @@ per task doesn't follow the number of rows; one longer text makes a piece of its
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from tessera.session import shared_dir, ship, stored
+
+__all__ = ["Words", "by_slice", "byte_class", "grams", "mix", "powers", "shared_path", "ship", "slices", "stored", "utf8"]
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (on a cluster: --py-files)."""
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one is set only where none is (tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if conf is None:
-        if context.getCheckpointDir() is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        return context.getCheckpointDir()
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(conf)
-    return conf
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    df.write.parquet(path := shared_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def strings(column: pa.Array) -> pa.Array:
     """One contiguous array of 64-bit offsets; null texts become empty."""
     if isinstance(column, pa.ChunkedArray):

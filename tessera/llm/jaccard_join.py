@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, Words, byte_class, grams, mix, ship, slices, stored, utf8
-from tessera.llm.components import components
+from tessera.operators.closure import components
 
 #: Words are what stands between blanks, tabs and line ends; A-Z are folded.
 MEMBER = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
