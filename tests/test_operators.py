@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import beliefs as B
 from tessera.operators import disposition, graph, jobs, populations, retrieval, sync
 from tessera.operators.closure import components, reach
+from tessera.session import stored
 
 BELIEF = "belief_id string, title string, belief_state string, confidence double, entrenchment string, valid_from timestamp_ntz, valid_to timestamp_ntz, salience double, base_activation double, last_access timestamp_ntz"
 
@@ -96,7 +97,7 @@ def test_population_passes(spark):
         asked = spark.createDataFrame([("p", x) for x in want], "spec_hash string, member string")
         r = populations.report(rows, asked)
         seen.append((r["open"], r["close"], r["refresh"]))
-        rows = populations.materialize(rows, asked, f"2026-0{month}-01").localCheckpoint()
+        rows = stored(populations.materialize(rows, asked, f"2026-0{month}-01"), "rows")
     assert seen == [(2, 0, 0), (0, 0, 2), (1, 1, 1), (1, 0, 2)]
     assert rows.where("member = 'a'").count() == 2
     assert ids(populations.members_at(rows, "2026-01-15"), "member") == ["a", "b"]
