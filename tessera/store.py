@@ -12,10 +12,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = {
-    "concept": "concept_id string, type string, title string, body string, file_hash string, retired_at timestamp_ntz",
+    "concept": "concept_id string, type string, title string, body string, file_hash string, retired_at timestamp_ntz, concept_type string, description string, resource_uri string, tags array<string>, program string, engine string, scopes array<string>, metadata_json string",
     "bundle": "bundle_name string, bundle_path string, title string, description string",
     "containment": "bundle_name string, concept_id string",
     "hierarchy": "parent_id string, child_id string",
@@ -79,7 +80,7 @@ class Store:
         for table, df in changes.items():
             where = f"data/{table}/{uuid.uuid4().hex}"
             wanted = T._parse_datatype_string(TABLES[table])
-            df.select(*(df[f.name].cast(f.dataType) for f in wanted)).write.parquet(f"{self.path}/{where}")
+            df.select(*(df[f.name].cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted)).write.parquet(f"{self.path}/{where}")
             staged[table], written[table] = where, self.spark.read.schema(wanted).parquet(f"{self.path}/{where}")
         try:
             for table, n in (expected or {}).items():
