@@ -44,7 +44,8 @@ from tessera.operators.closure import components
 MEMBER = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 FREQUENT, BUFFER = 200_000, 2_000_000
 MOST_FREQUENT = 500_000
-LEAF, WINDOWS, SLICES = 1024, 8, 128
+LEAF, WINDOWS, SEEN = 1024, 8, 1_000_000
+SLICES, FINE, LONG = 128, 1024, 1500  # sets of more than LONG shingles have profiles of FINE slices
 MOST_BROADCAST_ROWS = 500_000
 
 
@@ -68,22 +69,31 @@ def node(s: np.ndarray) -> int:
 
 def profile(s: np.ndarray) -> bytes:
     """The number of shingles in each slice, 255 at most (a difference of such numbers is still no larger than the true one)."""
-    return np.minimum(np.bincount((s >> U64(40)).astype(np.int64) % SLICES, minlength=SLICES), 255).astype(np.uint8).tobytes()
+    slices_ = FINE if len(s) > LONG else SLICES
+    return np.minimum(np.bincount((s >> U64(40)).astype(np.int64) % slices_, minlength=slices_), 255).astype(np.uint8).tobytes()
 
 
-def near_by_profile(profiles: np.ndarray, sizes: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+def near_by_profile(profiles: list[bytes], sizes: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
     """Whether each member may link with another one of another root."""
-    out, wide = np.zeros(len(sizes), bool), profiles.astype(np.int16)
+    out, fine = np.zeros(len(sizes), bool), np.array([len(p) == FINE for p in profiles])
+    held = [np.frombuffer(p, np.uint8) for p in profiles]
+    coarse = np.stack([np.minimum(h.reshape(-1, SLICES).sum(axis=0, dtype=np.int32), 255) if len(h) == FINE else h.astype(np.int32) for h in held])
+    at = np.cumsum(fine) - 1
+    exact = np.stack([h for h in held if len(h) == FINE]).astype(np.int16) if fine.any() else None
     for x in range(len(sizes) - 1):
         y = x + 1 + np.flatnonzero(roots[x + 1 :] != roots[x])
         y = y[100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x])]
-        if not len(y):
-            continue
-        apart, together = np.abs(wide[y] - wide[x]).sum(axis=1), sizes[y] + sizes[x]
-        may = 100 * (together - apart) >= percent * (together + apart)
-        if may.any():
+        for profile_of, usable in ((coarse, slice(None)), (exact, fine)):
+            if not len(y) or (usable is fine and not fine[x]):
+                continue
+            pick = y if usable is not fine else y[fine[y]]
+            rest = y[:0] if usable is not fine else y[~fine[y]]
+            k, own = (pick, x) if usable is not fine else (at[pick], at[x])
+            apart, together = np.abs(profile_of[k] - profile_of[own]).sum(axis=1, dtype=np.int64), sizes[pick] + sizes[x]
+            y = np.concatenate([rest, pick[100 * (together - apart) >= percent * (together + apart)]])
+        if len(y):
             out[x] = True
-            out[y[may]] = True
+            out[y] = True
     return out
 
 
@@ -158,9 +168,12 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
     held = spark.sparkContext.broadcast(frequencies(picked, n))  # at most MOST_FREQUENT
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in one task; renewed when full
         for batch in batches:
             for piece in slices(batch, 1):
                 own = {node(s): s for s in sets(piece.column(1), n) if len(s)}
+                own = {name: s for name, s in own.items() if name not in seen}
+                seen = seen | own.keys() if len(seen) < SEEN else {*own}
                 parts = [prefix(s, *held.value, percent) for s in own.values()]
                 tokens = np.concatenate(parts) if parts else np.zeros(0, U64)
                 yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [*map(len, parts)]))], ["token", "node"])
@@ -182,8 +195,7 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
 def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, percent: int, n: int, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) between nodes that connect all nodes which a path of pairs within the limit connects."""
     spark = picked.sparkSession
-    rows = tokens.groupBy("token", "node").agg(F.lit(1).alias("one")).drop("one")  # copies meet here, and before the shuffle
-    rows = rows.repartition("token")
+    rows = tokens.repartition("token").dropDuplicates(["token", "node"])  # a node comes once from a task, so copies are few here
     groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", F.lit(5))).alias("region")).where("m > 1").drop("m")
     regions = stored(rows.join(groups, "token").select("region", "node").distinct(), "regions")
     if not regions.take(1):
@@ -222,6 +234,12 @@ def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, perc
     return stored(links.union(_join_leaves(reduce(DataFrame.unionByName, parts), held, percent)).distinct(), "links")
 
 
+def _with_sets(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """rows (node, ...) with their sets. Up to a checked number of rows these are broadcast, so that the sets aren't shuffled for it."""
+    rows = stored(rows, "rows")
+    return held.join(F.broadcast(rows) if rows.count() <= MOST_BROADCAST_ROWS else rows, "node")
+
+
 def _join_leaves(regions: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) found inside regions of at most LEAF members."""
 
@@ -233,7 +251,7 @@ def _join_leaves(regions: DataFrame, held: DataFrame, percent: int) -> DataFrame
             found = join_region([np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")], np.asarray(group.column("root")), percent)
             yield pa.record_batch([pa.array(names[[a for a, _ in found]]), pa.array(names[[b for _, b in found]])], ["a", "b"])
 
-    joined = regions.join(held, "node").repartition("region").sortWithinPartitions("region").select("region", "node", "root", "shingles")
+    joined = _with_sets(regions, held).repartition("region").sortWithinPartitions("region").select("region", "node", "root", "shingles")
     return joined.mapInArrow(leaves, "a bigint, b bigint")
 
 
@@ -244,8 +262,7 @@ def _apart(regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         columns = ("region", "node", "m", "root")
         rows = [[] for _ in columns]
         for group in runs(batches, ["region"]):
-            held = np.frombuffer(b"".join(group.column("profile").to_pylist()), np.uint8).reshape(-1, SLICES)
-            near = near_by_profile(held, np.asarray(group.column("n")), np.asarray(group.column("root")), percent)
+            near = near_by_profile(group.column("profile").to_pylist(), np.asarray(group.column("n")), np.asarray(group.column("root")), percent)
             for r, column in zip(rows, columns):
                 r.append(np.asarray(group.column(column))[near])
             if len(rows[0]) >= 2000:
@@ -333,7 +350,7 @@ def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFr
     chunks = F.ceil(F.col("m") / (2 * leaf)).cast("int")
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), chunks).cast("int")).withColumn("kind", F.lit(1))
     shown = members.where("pivot = 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("kind", F.lit(0))
-    both = dealt.union(shown.select(dealt.columns)).join(held, "node").repartition("region", "chunk").sortWithinPartitions("region", "chunk", "kind")
+    both = _with_sets(dealt.union(shown.select(dealt.columns)), held).repartition("region", "chunk").sortWithinPartitions("region", "chunk", "kind")
     limit = 1 - percent / 100
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
