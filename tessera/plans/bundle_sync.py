@@ -28,7 +28,7 @@ def belief_players(have: dict[str, DataFrame]) -> DataFrame:
 
 def _contents(concepts: DataFrame) -> DataFrame:
     meta = F.when(F.size("extra_metadata") > 0, F.to_json("extra_metadata")) if "extra_metadata" in concepts.columns else F.lit(None).cast("string")
-    hint = F.coalesce(F.col("type_hint"), F.lit("okf-concept")) if "type_hint" in concepts.columns else F.lit("okf-concept")
+    hint = F.coalesce(F.col("type_hint"), F.lit("concept")) if "type_hint" in concepts.columns else F.lit("concept")
     extra = {"type": hint, "metadata_json": meta, "retired_at": F.lit(None).cast("timestamp_ntz")}
     return concepts.withColumns(extra)
 
@@ -47,7 +47,7 @@ def sync_bundle(store: Store, concepts: DataFrame, name: str, path: str | None,
     held = have["concept"].join(have["containment"], "concept_id", "left").select("concept_id", "file_hash", "bundle_name")
     if clash := sync.collisions(concepts, held, name).orderBy("concept_id").limit(20).collect():
         raise Collision(f"bundle {name}: ids held elsewhere: {[r[0] for r in clash]}")
-    if "type_hint" in concepts.columns and (bad := concepts.where(F.col("type_hint").isNotNull() & ~F.col("type_hint").isin(*closure("okf-concept"))).limit(1).collect()):
+    if "type_hint" in concepts.columns and (bad := concepts.where(F.col("type_hint").isNotNull() & ~F.col("type_hint").isin(*closure("concept"))).limit(1).collect()):
         raise ValueError(f"{bad[0]['type_hint']} isn't a concept type")
     plan = sync.plan_sync(concepts, held, name).cache()
     pick = lambda *actions: plan.where(F.col("action").isin(*actions)).select("concept_id")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Each type's parent.
 PARENTS = {
-    "okf-concept": None,
-    "memory-item": "okf-concept",
+    "concept": None,
+    "memory-item": "concept",
     "episode": "memory-item",
     "execution-episode": "episode",
     "retrieval-event": "execution-episode",
@@ -23,7 +23,7 @@ PARENTS = {
     "working-set": "memory-item",
     "intention": "memory-item",
     "learned-constraint": "memory-item",
-    "cyber-object": "okf-concept",
+    "cyber-object": "concept",
 } | {
     t: "cyber-object"
     for t in ("attack-pattern", "intrusion-set", "threat-actor", "campaign", "malware", "tool", "indicator", "observable", "course-of-action", "data-source", "data-component", "host-asset", "sensor")
@@ -46,17 +46,17 @@ RELATIONS = {
     "source-link": {"sourced": "memory-item", "run": "doc-run"},
     "prediction-resolution": {"predicted": "belief", "resolving": "episode"},
     "consolidation-step": {"step": "memory-item", "run": "doc-run"},
-    "population-member": {"population": "population", "member": "okf-concept"},
+    "population-member": {"population": "population", "member": "concept"},
     "scoped": {"scoped-belief": "belief", "population": "population"},
-    "resolves": {"resolution": "resolution", "record": "okf-concept"},
-    "surfaced": {"retrieval": "retrieval-event", "candidate": "okf-concept"},
+    "resolves": {"resolution": "resolution", "record": "concept"},
+    "surfaced": {"retrieval": "retrieval-event", "candidate": "concept"},
     "informs-synthesis": {"retrieval": "retrieval-event", "synthesized": "belief"},
-    "containment": {"bundle": "bundle", "contained": "okf-concept"},
-    "hierarchy": {"parent": "okf-concept", "child": "okf-concept"},
-    "concept-link": {"source": "okf-concept", "target": "okf-concept"},
-    "citation": {"citing": "okf-concept", "cited": "external-resource"},
-    "technique-detection": {"detecting-logic": "okf-concept", "detected-technique": "attack-pattern", "detection-claim": "belief"},
-    "alert-disposition": {"dispositioned-logic": "okf-concept", "disposition-belief": "belief"},
+    "containment": {"bundle": "bundle", "contained": "concept"},
+    "hierarchy": {"parent": "concept", "child": "concept"},
+    "concept-link": {"source": "concept", "target": "concept"},
+    "citation": {"citing": "concept", "cited": "external-resource"},
+    "technique-detection": {"detecting-logic": "concept", "detected-technique": "attack-pattern", "detection-claim": "belief"},
+    "alert-disposition": {"dispositioned-logic": "concept", "disposition-belief": "belief"},
     "requires-evidence": {"technique": "attack-pattern", "required": "data-component"},
     "sensor-coverage": {"covering-sensor": "sensor", "covered-component": "data-component"},
 }

@@ -68,7 +68,7 @@ def test_guards(writer):
 
 def test_belief_edges_and_recall(writer):
     store = writer.store
-    store.commit({"concept": store.spark.createDataFrame([("c1", "okf-concept", None, None, None, None)], "concept_id string, type string, title string, body string, file_hash string, retired_at timestamp_ntz")}, 0)
+    store.commit({"concept": store.spark.createDataFrame([("c1", "concept", None, None, None, None)], "concept_id string, type string, title string, body string, file_hash string, retired_at timestamp_ntz")}, 0)
     a = writer.assert_belief(ctx(), Draft("a"), [], "llm-synthesis")
     shown = store.spark.createDataFrame([(a, 0.9)], "belief_id string, similarity double")
     event = writer.record_retrieval(ctx(), shown)
