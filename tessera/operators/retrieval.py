@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.beliefs import Time, believed_at
@@ -93,6 +95,25 @@ def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("id"), "id", "left_anti")
 
 
+def persist_index(index: DataFrame, path: str, model_id: str, dim: int) -> str:
+    """Write an index as a new folder under path, sorted by id in its files, with the model and dimension on every row; return the folder."""
+    folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    index.select("*", F.lit(model_id).alias("model_id"), F.lit(dim).alias("dim")).sortWithinPartitions("id").write.parquet(folder)
+    return folder
+
+
+def open_index(spark: SparkSession, folder: str, model_id: str, dim: int) -> DataFrame:
+    """The index in a folder; empty, so that it is rebuilt, if another model or dimension made it."""
+    held = spark.read.parquet(folder)
+    return held.where((F.col("model_id") == model_id) & (F.col("dim") == dim)).drop("model_id", "dim")
+
+
+def drain_dirty(index: DataFrame, dirty: DataFrame, embeddable: DataFrame) -> DataFrame:
+    """index with the dirty ids embedded again where they still may be (beliefs and episodes), and dropped where not. embeddable has id and the index's columns."""
+    again = embeddable.join(dirty.select("id").distinct(), "id", "left_semi")
+    return remove(index, dirty).unionByName(again.select(index.columns))
+
+
 def fnv1a(data: bytes) -> int:
     h = 0xCBF29CE484222325
     for b in data:

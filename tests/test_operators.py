@@ -170,6 +170,16 @@ def test_index_changes(spark):
         retrieval.upsert(index, index, 2)
 
 
+def test_index_files_and_repairs(spark, tmp_path):
+    index = spark.createDataFrame([("b", [1.0]), ("a", [2.0])], "id string, embedding array<float>")
+    folder = retrieval.persist_index(index, str(tmp_path), "m", 1)
+    assert sorted(tuple(r) for r in retrieval.open_index(spark, folder, "m", 1).collect()) == [("a", [2.0]), ("b", [1.0])]
+    assert retrieval.open_index(spark, folder, "other", 1).count() == 0
+    dirty = spark.createDataFrame([("a",), ("b",)], "id string")
+    fresh = spark.createDataFrame([("a", [9.0])], "id string, embedding array<float>")
+    assert [tuple(r) for r in retrieval.drain_dirty(index, dirty, fresh).collect()] == [("a", [9.0])]
+
+
 def test_sync_plan(spark):
     manifest = spark.createDataFrame([("new", "1"), ("same", "2"), ("changed", "3"), ("nohash", "4"), ("foreign", "5")], "concept_id string, file_hash string")
     stored = spark.createDataFrame([("same", "2", "a"), ("changed", "0", "a"), ("nohash", None, "a"), ("gone", "9", "a"), ("both", "9", "a"), ("both", "9", "b"), ("foreign", "5", "b")], "concept_id string, file_hash string, bundle_name string")
