@@ -226,6 +226,32 @@ def test_cross_entropy_prefers_the_target(trained):
     assert cross_entropy.score(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("size", [600, 8 << 20])
+def test_cross_entropy_counts_exact_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(cross_entropy, "BLOCK_BYTES", size)
+    monkeypatch.setattr(cross_entropy, "SHARD_TOKENS", size)
+    monkeypatch.setattr(cross_entropy, "slices", lambda batch, text: slices(batch, text, 500))
+    rows = corpus(8, 80, vocabulary=900) + [(3, "w1 w2 w1"), (None, "w5 w6")]
+    trusted = {i for i in range(0, 80, 3)}
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = cross_entropy.score(spark.createDataFrame(rows, DOCS), labels).collect()
+    texts = [re.findall(r"[^\s]+|\n", t or "") for _, t in rows]  # a line end is a token
+    vocabulary, losses = len({w for t in texts for w in t}), []
+    for chosen in (lambda i: i in trusted, lambda i: True):
+        own = [t for (i, _), t in zip(rows, texts) if chosen(i)]
+        one, pair = collections.Counter(w for t in own for w in t), collections.Counter(p for t in own for p in zip([None, *t], t))
+        before = collections.Counter(v for t in own for v in [None, *t][: len(t)])
+
+        def loss(v, w):
+            p = (one[w] + 0.5) / (sum(one.values()) + 0.5 * vocabulary)
+            return -math.log(0.5 * pair[v, w] / before[v] + 0.5 * p if before[v] else p)
+
+        losses.append([sum(map(loss, [None, *t], t)) / len(t) if t else None for t in texts])
+    rounded = lambda x: None if x is None else round(x, 9)
+    want = [(-1 if i is None else i, len(t), rounded(a), rounded(b)) for (i, _), t, a, b in zip(rows, texts, *losses)]
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], rounded(r["target_loss"]), rounded(r["background_loss"])) for r in got) == sorted(want)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as C
 
