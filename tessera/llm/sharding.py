@@ -1,14 +1,17 @@
 """Sharding by vector bin packing (operator 10).
 
-Rows of equal text form a group. What is packed are *units*, of bounded number and size: a group that holds at least
-1/LOTS of all bytes, tokens or rows is heavy (there are at most 3 * LOTS of these); it is cut by a hash of the row ids
-into pieces of that size. The other groups are gathered by hash in LOTS lots, whole. So the driver sees at most some
-10 * LOTS vectors (bytes, tokens, rows), whatever the corpus. Largest first, each unit goes to the shard where the dot
-product of its vector with the residual capacity is highest, among those with room for it (else among all).
+Rows of equal text form a group. What is packed are groups of bounded number and size: a group that holds at least 1/LOTS
+of all bytes, tokens or rows (there are at most 3 * LOTS of these) is packed by itself; the others, each under 1/256 of a
+shard, are gathered by hash in LOTS lots, whole. Largest first, each goes to the shard where the dot product of its vector
+(bytes, tokens, rows) with the residual capacity is highest, among those with room for it. A group that no shard has
+room for is cut by a hash of the row ids in pieces of 1/LOTS, which go on one by one; the driver sees at most some 10 *
+LOTS vectors of pieces, whatever the corpus. A lot or a piece that finds no room goes where the product is highest.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,16 +21,27 @@ from tessera.llm.common import stored
 LOTS_PER_SHARD = 256
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each vector."""
+def pack(vectors: np.ndarray, shards: int, groups: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each vector; those of one group have the same, if a shard has room for all when its turn comes."""
     total = np.maximum(vectors.sum(axis=0), 1)
     v = vectors / total * shards  # a shard's capacity is 1 in each dimension
     residual, out = np.ones((shards, v.shape[1])), np.zeros(len(v), np.int64)
-    for k in np.argsort(-v.max(axis=1), kind="stable"):
-        score = residual @ v[k]
-        fits = (residual >= v[k] - 1e-12).all(axis=1)
-        out[k] = np.argmax(np.where(fits, score, -np.inf) if fits.any() else score)
-        residual[out[k]] -= v[k]
+    _, group = np.unique(np.arange(len(v)) if groups is None else groups, return_inverse=True)
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1]) if len(v) else []
+    whole = np.array([v[m].sum(axis=0) for m in members]).reshape(-1, v.shape[1])
+    waiting = [(-whole[g].max(), g, m) for g, m in enumerate(members)]
+    heapq.heapify(waiting)
+    while waiting:
+        _, g, m = heapq.heappop(waiting)
+        x = v[m].sum(axis=0)
+        score, fits = residual @ x, (residual >= x - 1e-12).all(axis=1)
+        if not fits.any() and len(m) > 1:
+            for k in m:
+                heapq.heappush(waiting, (-v[k].max(), len(members) + int(k), np.array([k])))
+            continue
+        to = np.argmax(np.where(fits, score, -np.inf) if fits.any() else score)
+        out[m] = to
+        residual[to] -= x
     return out
 
 
@@ -61,7 +75,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     unit = F.when(F.col("pieces").isNull(), F.pmod(F.hash(F.col("key"), F.lit(7)), F.lit(lots)).cast("long")).otherwise(F.col("first") + F.pmod(F.xxhash64("id", F.lit(11)), F.col("pieces")))
     base = base.join(F.broadcast(listed), "key", "left").withColumn("unit", unit).drop("pieces", "first", "key")
     units = base.groupBy("unit").agg(*sums).orderBy("unit").collect()
-    where = pack(np.array([(u["size"], u["tokens"], u["n"]) for u in units], float).reshape(-1, 3), shards)
+    numbers = np.array([u["unit"] for u in units], np.int64)
+    groups = np.where(numbers < lots, numbers, lots + np.searchsorted(first, numbers, "right"))
+    where = pack(np.array([(u["size"], u["tokens"], u["n"]) for u in units], float).reshape(-1, 3), shards, groups)
     filled, rows = [0] * shards, []
     for u, s in zip(units, where.tolist()):
         rows.append((u["unit"], s, filled[s]))

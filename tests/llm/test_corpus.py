@@ -160,6 +160,26 @@ def test_sharding(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS), 5).count() == 0
 
 
+@pytest.mark.parametrize("n", [150, 3000])
+def test_sharding_keeps_copies_together_that_fit(spark, n):
+    rnd = random.Random(n)
+    rows = [(i, f"t{i} " + "word " * rnd.randint(20, 60)) for i in range(n)]
+    for g, share in enumerate([0.1, 0.05, 0.02, *[0.01] * 5]):  # of all rows; a shard is 0.2
+        rows += [(len(rows) + k, f"copy {g} " + "word " * 40) for k in range(max(2, int(share * n)))]
+    hot = [(len(rows) + k, "hot text " + "word " * 40) for k in range(n // 2)]
+    for more in ([], hot):  # hot fits no shard
+        got = sharding.shard(spark.createDataFrame(rows + more, DOCS), 5, lots_per_shard=64).collect()
+        by, count, size = collections.defaultdict(set), collections.Counter(), collections.Counter()
+        for r in got:
+            by[r["text_crc32"]].add(r["shard"])
+            count[r["shard"]] += 1
+            size[r["shard"]] += r["size"]
+        heavy = zlib.crc32(hot[0][1].encode())
+        assert not [k for k, s in by.items() if len(s) > 1 and k != heavy] and (not more or len(by[heavy]) > 1)
+        for x in (count, size):
+            assert max(x.values()) - min(x.values()) <= 0.06 * sum(x.values()) / 5
+
+
 def test_bm25(spark, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_BYTES", 5000)
     monkeypatch.setattr(bm25, "QUERY_TERMS", 300)
