@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. Between stages the rows are written as Parquet to the shared folder and read again.
+
+The filtering stages judge rows, not ids: each numbers the rows it is given and drops those numbers that it rejects. Ids
+may be null or repeated; a row without an id is judged like any other, and one that shares its id stays or goes by itself.
 """
 
 from __future__ import annotations
@@ -18,30 +21,44 @@ from tessera.llm.queries import table, tokenizer_path
 from tessera.llm.secrets import redact
 
 MOST_BROADCAST_ROWS = 500_000
+ROW = "row_number"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number in ROW for each row; they are stored, so that the numbers stay the same however often they are read."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the ids in rejected (distinct, not null): a broadcast up to a checked size, else a join."""
-    rejected = stored(rejected.distinct(), "rejected")
-    return docs.join(F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST_ROWS else rejected, "doc_id", "left_anti").select(docs.columns)
+    """The numbered docs but for the rows in rejected (distinct, not null), without the numbers: a broadcast up to a checked size, else a join."""
+    rejected = stored(rejected, "rejected")
+    return docs.join(F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST_ROWS else rejected, ROW, "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the trusted model is over the threshold of their language go."""
-    judged = classify(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where("not keep").select("doc_id"))
+    """Rows whose perplexity under the trusted model is over the threshold of their language go."""
+    docs = numbered(docs)
+    judged = classify(docs, table(spark, sf_dir, "labels"), row_col=ROW)
+    return without(docs, judged.where("not keep").select(ROW))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 0.8 or more on five-word shingles connect, the document with the smallest id stays."""
-    linked = link(docs, percent=80, n=5)
-    return without(docs, linked.where("component_id <> doc_id").select("doc_id"))
+    """Of each group that links of 0.8 or more on five-word shingles connect, the row with the smallest id stays (ids come
+    before null, then the row number decides). Rows without words are in no group and stay."""
+    docs = numbered(docs)
+    linked = link(docs, percent=80, n=5, id_col=ROW).where("n_shingles > 0")
+    ids = docs.select(ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("place"))
+    groups = linked.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
+    members = stored(linked.join(groups, "component_id").select("component_id", ROW).join(ids, ROW), "members")
+    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    return without(docs, members.join(first, "component_id").where(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten successive words of a benchmark item go."""
-    found = search(build_index(docs), table(spark, sf_dir, "benchmark"), window=10, slop=0)
-    return without(docs, found.where("n_hit > 0").select(F.col("id").alias("doc_id")))
+    """Rows that hold ten successive words of a benchmark item go."""
+    docs = numbered(docs)
+    found = search(build_index(docs, id_col=ROW), table(spark, sf_dir, "benchmark"), window=10, slop=0)
+    return without(docs, found.where("n_hit > 0").select(F.col("id").alias(ROW)))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
