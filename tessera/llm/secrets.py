@@ -1,14 +1,16 @@
 """Secret scans with a randomness test battery (operator 2), in SQL functions only.
 
 Base spans are the matches of three patterns. The battery adds candidates: maximal runs of letters, digits and +/_=-
-of at least 20 characters. A candidate's encoding is inferred (hex, base32, base36, base64); for the alphabet of that
+of at least 20 characters. A candidate's encoding is inferred (hex in either case, also with dashes, which are left out;
+base32, base36, base64); for the alphabet of that
 encoding three tests ask whether its symbols are independent and uniform: chi-squared of the symbol counts, the number
 of runs of symbols in the lower and upper half, and the serial correlation of successive symbols. The three p-values
 are combined by Bonferroni. Under randomness the combined p is uniform at least; text piles up at 0. For each
 encoding and length class the battery estimates, from the counts of p in 50 bins over all candidates of the corpus,
 which share of those above a threshold is not random, and keeps candidates above the lowest threshold at which that
-share is at most q (false-discovery control; a class with too few random candidates keeps none). The table of
-thresholds has at most 4 x 6 rows whatever the corpus.
+share is at most q (false-discovery control). A class with fewer than ``SPARSE`` candidates above the lowest bin allows
+no estimate; it keeps all of these, so that a random one is lost with a probability of 1/50 at most, whatever else the
+corpus has. The table of thresholds has at most 4 x 6 rows whatever the corpus.
 
 Positions count code points; ends are exclusive.
 """
@@ -28,6 +30,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 BINS, Q = 50, 0.1
+SPARSE = 50
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
@@ -87,7 +90,8 @@ def normal_tail(z: Column) -> Column:
 
 def battery(value: Column) -> Column:
     """struct(encoding, length_class, p) of a candidate: three tests for the alphabet of its inferred encoding, combined; null p without an encoding."""
-    return let(F.rtrim(F.translate(value, "-_=", "+/ ")), _by_encoding)
+    digits = F.lower(F.rtrim(F.translate(value, "=-", " ")))
+    return let(F.when(digits.rlike("^[0-9a-f]+$"), digits).otherwise(F.rtrim(F.translate(value, "-_=", "+/ "))), _by_encoding)
 
 
 def _by_encoding(bare: Column) -> Column:
@@ -140,7 +144,9 @@ def thresholds(tested: DataFrame, q: float = Q) -> DataFrame:
     half = BINS // 2
     classes = classes.withColumn("n", n).withColumn("even", total(F.slice("n", half + 1, half)) / half)
     fits = F.filter(F.sequence(F.lit(0), F.lit(half)), lambda i: total(F.slice("n", i + 1, F.lit(BINS) - i)) * (1 - q) <= F.col("even") * (F.lit(BINS) - i))
-    return classes.where(f"even * {BINS} >= 1").select("encoding", "length_class", (F.array_min(fits) / F.lit(float(BINS))).alias("least")).where("least is not null")
+    estimated = F.when(F.col("even") * BINS >= 1, F.array_min(fits) / F.lit(float(BINS)))
+    least = F.when(total(F.slice("n", 2, BINS - 1)) < SPARSE, F.lit(1.0 / BINS)).otherwise(estimated)
+    return classes.select("encoding", "length_class", least.alias("least")).where("least is not null")
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:

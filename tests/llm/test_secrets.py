@@ -36,6 +36,20 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert len([i for i in found if i < 200]) >= 170 and not [i for i in found if i >= 200]
 
 
+def test_single_keys_are_found(spark):
+    rnd, rows, keys = random.Random(7), [], []
+    for letters, size in (("0123456789ABCDEF", 32), ("0123456789ABCDEF", 40), ("0123456789abcdef", 32), (S.ALPHABETS["base64"], 40), (S.ALPHABETS["base64"], 100)):
+        for _ in range(10):
+            key = "".join(rnd.choice(letters) for _ in range(size))
+            keys.append("-".join((key[:8], key[8:12], key[12:16], key[16:20], key[20:])) if letters[10:] == "abcdef" else key)
+    plain = "thetionandingthetionandingtheretheretionandthe THETIONANDINGTHETIONANDING 2024-01-01-2024-01-01-2024 some/long/path/to/some/file/name"
+    found = lambda texts: [r["n"] for r in S.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).select("doc_id", F.size(F.filter("spans", lambda s: s["kind"] == "random")).alias("n")).orderBy("doc_id").collect()]
+    together = found([*(f"see {k} here" for k in keys), plain])
+    assert sum(together) >= 46 and together[-1] == 0 and max(together) == 1
+    for k in range(4, 50, 10):  # each alone in its corpus
+        assert found([f"see {keys[k]} here", plain]) == [together[k], 0]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "é password=hunter22 x token: abcdef1 y", "k"), (2, None, "k"), (3, "clean", None)], "id long, text string, base string")
     got = {r["id"]: (r["text"], r["base"]) for r in S.redact(df).collect()}
