@@ -413,8 +413,8 @@ UNION ALL SELECT concat('p/', page_id), url, 'source' FROM pages WHERE url NOT L
 def extract_links(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     body = F.concat(F.lit("See [next](./"), (F.col("page_id") + 1).cast("string"), F.lit(".md#top), [source]("), F.col("url"), F.lit(") and ![image](x.md)."))
-    concepts = pages.where("url not like '%)%'").select(F.concat(F.lit("p/"), "page_id").alias("concept_id"), body.alias("body"))
-    return bundle.links(concepts).union(bundle.citations(concepts))
+    concepts = pages.select(F.concat(F.lit("p/"), "page_id").alias("concept_id"), body.alias("body"), "url")
+    return bundle.links(concepts).union(bundle.citations(concepts.where("url not like '%)%'")))
 
 
 @register("SELECT page_id, concat(lower(regexp_extract(url, '^(.*?)://', 1)), '://', lower(regexp_extract(url, '^.*?://([^/?#]*)', 1)), regexp_replace(url, '^.*?://[^/?#]*', '')) AS ioc_value FROM pages")

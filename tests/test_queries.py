@@ -36,6 +36,15 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert rows == expected
 
 
+def test_extract_links_of_urls_with_brackets(spark, tmp_path):
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame([(1, "https://a.org/x_(y)"), (2, "https://a.org/b")], "page_id long, url string").coalesce(1).write.parquet(path)
+    with duckdb.connect() as c:
+        c.execute(f"create view pages as select * from '{path}/*.parquet'")
+        expected = sorted(c.execute(ORACLES["extract_links"]).fetchall())
+    assert len(expected) == 3 and sorted(map(tuple, QUERIES["extract_links"](spark, str(tmp_path)).collect())) == expected
+
+
 def test_stub_embed_is_unit_length(spark, sf):
     v = QUERIES["stub_embed"](spark, sf).first()["embedding"]
     assert len(v) == 384 and abs(sum(x * x for x in v) - 1) < 1e-5
