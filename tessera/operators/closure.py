@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import MOST_BROADCAST_ROWS, stored
+from tessera.session import MOST_BROADCAST_ROWS, scratch, stored
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -44,14 +44,16 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every end of undirected links (a, b); root is the smallest node reached. Minimum labels with pointer jumping."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null").distinct(), "links")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
-    labels = stored(labels, "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = stored(hooked.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")), "labels")
-        labels = new.select("node", "root")
-        if not new.where("root <> old").take(1):
-            return labels
+    with scratch(links.sparkSession) as keep:
+        edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null").distinct(), "links")
+        labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
+        labels = stored(labels, "labels")
+        while True:
+            near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+            hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+            jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+            new = stored(hooked.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")), "labels")
+            labels = new.select("node", "root")
+            if not new.where("root <> old").take(1):
+                keep(new)
+                return labels

@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 MOST_BROADCAST_ROWS = 200_000
+ARROW_BYTES = 4 << 20
+_scopes: list[list[str]] = []
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, name: str = "tessera") -> SparkSession:
@@ -29,7 +33,11 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, name: str = "
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (on a cluster: --py-files)."""
+    """Let Python workers import this package from where the driver has it (on a cluster: --py-files), and get rows in
+    batches of some ARROW_BYTES: the default lets a task hold 64 MB of texts or blobs several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, None) or ARROW_BYTES + 1) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
@@ -50,5 +58,37 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here and no executor's loss matters."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is stored inside is deleted at the end, but for the stored tables given to the function that this yields.
+
+    Those belong to the enclosing scratch, if there is one. Whatever is returned must read from kept tables only.
+    """
+    own: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df.stored_in)
+        if len(_scopes) > 1:
+            _scopes[-2].append(df.stored_in)
+        return df
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
