@@ -1,34 +1,48 @@
 """Byte-level BPE encoding with content-defined chunk reuse, and decoding (operator 8).
 
 A rolling hash over 16 bytes cuts texts where its high bits are zero, so equal passages are cut alike wherever they
-stand. Each distinct chunk is encoded once for a worker (a bounded store, renewed when full) and reused by all its
-documents. A chunk's encoding is exact only between its *anchors*: places where white space follows another character.
-There the tokenizer's pattern always ends a match and no merge crosses, whatever stands further left or right. So a
-join of two chunks is repaired by encoding again from the last anchor before it, widened over further chunks until the
-next anchor after it, where both encodings agree with that of the whole text. The last text of a document ends there.
+stand. Each distinct chunk of the corpus is encoded once, whatever number of documents have it:
 
-Inside a chunk the library encodes each distinct stretch between anchors once, too.
+1. Texts go into stored blocks of some ``BLOCK_BYTES``. A block has the numbers and names (128-bit hashes) of each
+   document's chunks, and each distinct chunk's text once.
+2. Every block hands its distinct chunks to shards of the name space. A shard encodes each name once and answers all
+   blocks that have it. A chunk that is everywhere comes once from a block, so no shard is larger than others for it.
+3. A block joins its answers by name and puts its documents together.
+
+A chunk is encoded from its first to its last *anchor*: a place where white space follows another character. There the
+tokenizer's pattern always ends a match and no merge crosses (``Codec`` verifies that it is such a tokenizer). Joins of
+chunks are repaired: what lies between the last anchor of a chunk and the first of the next (chunks without two anchors lie
+between) is encoded again, together with the last stretch between anchors before it and the first one after it. The
+repair is done when this agrees with both neighbours' own tokens; if it doesn't, the window grows, up to ``EDGE`` stretches
+on either side (since anchors are boundaries, one is always enough; the encoding fails rather than be inexact).
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import U64, mix, ship, slices, utf8
+from tessera.llm.common import SLICE_BYTES, U64, fresh, mix, pack, resident, ship, slices, squeeze, stored, unpack, unsqueeze, utf8
 
 #: White space by every definition of it; Python's \s has also U+001C to U+001F.
 STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 ANCHOR = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 LAST_ANCHOR = re.compile(r"[\s\S]*[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 WINDOW, CUT_BITS = 16, 9
-STORE_BYTES = 64 << 20
-MOST_STRETCHES = 900_000
+BLOCK_BYTES = SHARD_BYTES = 4 << 20
+MOST_STRETCHES = 150_000
+NAME = 16  # bytes of a chunk's name
+EDGE = 4  # stretches at either end of a chunk that its blocks get
 _gear = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
 
 
@@ -51,9 +65,9 @@ def cuts(raw: np.ndarray, at: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
 
 
 class Codec:
-    def __init__(self, path: str, most_stretches: int = MOST_STRETCHES, store_bytes: int = STORE_BYTES):
-        import os
+    """The library, what it has encoded lately, and a decoding table."""
 
+    def __init__(self, path: str, most_stretches: int = MOST_STRETCHES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -61,16 +75,21 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        if self.library.normalizer is not None:
-            raise ValueError("a normaliser may cross anchors")
-        self.most, self.room = most_stretches, store_bytes
+        kind = json.loads(self.library.to_str())
+        before = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] is not None or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            raise ValueError("white space after another character is an anchor for byte-level tokenizers only, without normaliser or prefix")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in kind["added_tokens"]):
+            raise ValueError("an added token may cross anchors")
+        self.most = most_stretches
         self.stretches: dict[str, bytes] = {}
-        self.chunks: dict[str, tuple[str, bytes, str]] = {}
-        self.held = self.encoded = self.reused = 0
         self._table: list[bytes] | None = None
 
-    def learn(self, rows: list[list[str]]) -> None:
-        """Have the library encode those stretches of all rows that it hasn't yet."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def exact(self, rows: list[list[str]]) -> list[list[bytes]]:
+        """The ids of rows of stretches between anchors; the library has each distinct stretch once while it is remembered."""
         found = set().union(*rows)
         new = found.difference(self.stretches)
         if len(self.stretches) + len(new) > self.most:
@@ -78,51 +97,21 @@ class Codec:
         new = list(new)
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            self.stretches.update((s, np.array(e.ids, np.int32).tobytes()) for s, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
-
-    def exact(self, rows: list[list[str]]) -> list[bytes]:
-        """The ids of rows of stretches between anchors."""
-        self.learn(rows)
-        get = self.stretches.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
-
-    def encode_all(self, column: pa.Array) -> list[bytes]:
-        """The ids of each text, as 32-bit integers."""
-        raw, at = utf8(column)
-        begin = cuts(raw, at)
-        data, end = raw.tobytes(), [*begin[1:].tolist(), len(raw)]
-        pieces = [data[b:e].decode("utf-8") for b, e in zip(begin.tolist(), end)]
-        new = {p for p in pieces if p not in self.chunks}
-        self.encoded, self.reused = self.encoded + len(new), self.reused + len(pieces) - len(new)
-        chunks = self.chunks if self.held < self.room else {p: self.chunks[p] for p in {*pieces} & self.chunks.keys()}
-        if chunks is not self.chunks:
-            self.chunks, self.held = chunks, 0
-        anchored, middles = [], []
-        for p in new:
-            self.held += 4 * len(p)
-            if m := ANCHOR.search(p):
-                begin_at, end_at = m.start(), LAST_ANCHOR.match(p).end()
-                anchored.append((p, begin_at, end_at))
-                middles.append(STRETCH.findall(p, begin_at, end_at))
-            else:
-                chunks[p] = None
-        for (p, b, e), ids in zip(anchored, self.exact(middles), strict=True):
-            chunks[p] = (p[:b], ids, p[e:])
-        out, first = [], np.searchsorted(begin, at).tolist()
-        joins = []
-        for k in range(len(at) - 1):
-            row, open_text = [], ""
-            for p in pieces[first[k] : first[k + 1]]:
-                if held := chunks[p]:
-                    joins.append(open_text + held[0])
-                    row += (len(joins) - 1, held[1])
-                    open_text = held[2]
-                else:
-                    open_text += p
-            joins.append(open_text)
-            out.append([*row, len(joins) - 1])
-        repaired = self.exact([STRETCH.findall(j) for j in joins])
-        return [b"".join(repaired[x] if isinstance(x, int) else x for x in row) for row in out]
+            self.stretches.update(zip(part, map(np.ndarray.tobytes, self.encode(part)), strict=True))
+        return [[*map(self.stretches.__getitem__, r)] for r in rows]
+
+    def chunks(self, texts: list[str]) -> list[Chunk]:
+        out, anchored, middles = [Chunk(t) for t in texts], [], []
+        for chunk, text in zip(out, texts):
+            m = ANCHOR.search(text)
+            if m and m.start() < (end := LAST_ANCHOR.match(text).end()):
+                chunk.head, chunk.tail = text[: m.start()], text[end:]
+                anchored.append(chunk)
+                middles.append(STRETCH.findall(text, m.start(), end))
+        for chunk, stretches, ids in zip(anchored, middles, self.exact(middles), strict=True):
+            chunk.ids = np.frombuffer(b"".join(ids), np.int32)
+            chunk.first, chunk.last = (tuple((t, len(x) // 4) for t, x in zip(stretches[pick], ids[pick])) for pick in (slice(EDGE), slice(-EDGE, None)))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included."""
@@ -141,32 +130,182 @@ class Codec:
         return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+class Chunk:
+    """An encoded chunk: the text before its first anchor (all of it, if it has no two), the ids of what comes up to the last one, the text after
+    that, and the stretches at either end (text, number of ids) by which joins are judged."""
+
+    __slots__ = ("first", "head", "ids", "last", "tail")
+
+    def __init__(self, head: str, first: tuple = (), last: tuple = (), ids: np.ndarray | None = None, tail: str = ""):
+        self.head, self.first, self.last, self.ids, self.tail = head, first, last, ids, tail
+
+    def before(self, reach: int) -> tuple[str, np.ndarray]:
+        """The last ``reach`` stretches and their ids."""
+        own = self.last[-reach:]
+        return "".join(t for t, _ in own), self.ids[len(self.ids) - sum(n for _, n in own) :]
+
+    def after(self, reach: int) -> tuple[str, np.ndarray]:
+        own = self.first[:reach]
+        return "".join(t for t, _ in own), self.ids[: sum(n for _, n in own)]
+
+
+def assemble(codec: Codec, documents: list[list[Chunk]]) -> list[np.ndarray]:
+    """The ids of documents from those of their chunks, joins repaired."""
+    rows, joins = [], []
+    for chunks in documents:
+        row, left, text = [], None, ""
+        for chunk in chunks:
+            text += chunk.head
+            if chunk.ids is not None:
+                joins.append((left, text, chunk))
+                row += (len(joins) - 1, chunk.ids)
+                left, text = chunk, chunk.tail
+        joins.append((left, text, None))
+        rows.append([*row, len(joins) - 1])
+    repaired: list = [None] * len(joins)
+    waiting, reach = [*range(len(joins))], 1
+    none = "", np.zeros(0, np.int32)
+    while waiting:
+        sides = [(a.before(reach) if a else none, b.after(reach) if b else none) for a, _, b in (joins[k] for k in waiting)]
+        windows = [a[0] + joins[k][1] + b[0] for k, (a, b) in zip(waiting, sides)]
+        distinct = {w: k for k, w in enumerate(dict.fromkeys(windows))}
+        ids, again = codec.encode([*distinct]), []
+        for k, w, (a, b) in zip(waiting, windows, sides):
+            x = ids[distinct[w]]
+            end = len(x) - len(b[1])
+            if len(a[1]) <= end and np.array_equal(x[: len(a[1])], a[1]) and np.array_equal(x[end:], b[1]):
+                repaired[k] = x[len(a[1]) : end]
+            elif reach >= EDGE:
+                raise ValueError(f"no agreement around {w!r}: white space isn't an anchor of this tokenizer")
+            else:
+                again.append(k)
+        waiting, reach = again, reach * 2
+    return [np.concatenate([repaired[x] if isinstance(x, int) else x for x in row]) for row in rows]
+
+
+def build_blocks(picked: DataFrame) -> DataFrame:
+    """Stored blocks of rows (id, text): ids, chunks per document, number of each chunk among the block's distinct ones by ascending name, their names, sizes, and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, ids, counts, codes, known = TaskContext.get().partitionId() << 32, 0, [], [], [], {}
+
+        def block() -> pa.RecordBatch:
+            names = sorted(known)
+            place = np.zeros(len(known), np.int64)
+            place[[known[x][0] for x in names]] = np.arange(len(names))
+            listed = pa.concat_arrays(ids)
+            texts = [known[x][1] for x in names]
+            blobs = [pack(np.concatenate(counts)), pack(place[np.array(codes, np.int64)] if codes else np.zeros(0, np.int64)), b"".join(names), pack(np.array([*map(len, texts)], np.int64)), squeeze(b"".join(texts))]
+            return pa.record_batch([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed), *(pa.array([x], pa.binary()) for x in blobs), pa.array([sum(map(len, texts))], pa.int64())], schema.names)
+
+        for batch in batches:
+            for piece in slices(batch, 1, min(SLICE_BYTES, BLOCK_BYTES)):
+                raw, at = utf8(piece.column(1))
+                if ids and size + len(raw) > BLOCK_BYTES:
+                    yield block()
+                    number, size, ids, counts, codes, known = number + 1, 0, [], [], [], {}
+                begin = cuts(raw, at)
+                data, first = raw.tobytes(), np.searchsorted(begin, at)
+                for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(raw)]):
+                    chunk = data[b:e]
+                    name = hashlib.blake2b(chunk, digest_size=NAME).digest()
+                    codes.append(known.setdefault(name, (len(known), chunk))[0])
+                ids.append(piece.column(0))
+                counts.append(np.diff(first))
+                size += len(raw)
+        if ids:
+            yield block()
+
+    blobs = [T.StructField(c, T.BinaryType()) for c in ("counts", "codes", "names", "sizes", "texts")]
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(picked.schema["id"].dataType)), *blobs, T.StructField("bytes", T.LongType())])
+    return stored(picked.mapInArrow(fresh(run), schema), "blocks")
+
+
+def ask(shards: int):
+    """A block's distinct chunks by shard of the name space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, names = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                ends, texts = np.concatenate([[0], np.cumsum(unpack(batch.column(2)[r].as_py())[0].astype(np.int64))]), unsqueeze(batch.column(3)[r].as_py())
+                high = np.frombuffer(names, ">u8")[:: NAME // 8].astype(U64)
+                cut = np.append(np.searchsorted(high, np.array([(k << 64) // shards for k in range(shards)], U64)), len(high))
+                own = np.flatnonzero(np.diff(cut))
+                for some in np.array_split(own, max(1, len(own) // 256)):
+                    a, b = cut[some].tolist(), cut[some + 1].tolist()
+                    blobs = [[names[NAME * x : NAME * y] for x, y in zip(a, b)], [pack(np.diff(ends[x : y + 1])) for x, y in zip(a, b)], [squeeze(texts[ends[x] : ends[y]]) for x, y in zip(a, b)]]
+                    yield pa.record_batch([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], ["shard", "block", "names", "sizes", "texts"])
+
+    return run
+
+
+def answer(codec, table: pa.Table) -> pa.Table:
+    """Each distinct chunk of a shard, encoded once, for every block that has it."""
+    asked = [[x[NAME * k : NAME * (k + 1)] for k in range(len(x) // NAME)] for x in table["names"].to_pylist()]
+    texts: dict[bytes, str] = {}
+    for names, sizes, blob in zip(asked, table["sizes"], table["texts"]):
+        if all(n in texts for n in names):
+            continue
+        raw, at = unsqueeze(blob.as_py()), 0
+        for name, size in zip(names, unpack(sizes.as_py())[0].tolist()):
+            if name not in texts:
+                texts[name] = raw[at : at + size].decode()
+            at += size
+    known = dict(zip(texts, codec().chunks([*texts.values()])))
+    return pa.table([table["shard"], table["block"], pa.array([dump([known[n] for n in names]) for names in asked], pa.binary())], ["shard", "block", "chunks"])
+
+
+def dump(chunks: list[Chunk]) -> bytes:
+    texts = [t.encode() for c in chunks for t in (c.head, c.tail, *(t for t, _ in (*c.first, *c.last)))]
+    ids = [np.zeros(0, np.int32) if c.ids is None else c.ids for c in chunks]
+    sizes = [n for c in chunks for _, n in (*c.first, *c.last)]
+    numbers = pack([len(c.first) for c in chunks], [*map(len, ids)], [*map(len, texts)], np.concatenate(ids) if ids else [], sizes)
+    return len(numbers).to_bytes(8, "little") + numbers + squeeze(b"".join(texts))
+
+
+def load(blob: bytes) -> list[Chunk]:
+    size = int.from_bytes(blob[:8], "little")
+    edges, counts, lengths, ids, sizes = unpack(blob[8 : 8 + size])
+    ids, raw = ids.astype(np.int32), unsqueeze(blob[8 + size :])
+    ends = np.cumsum(lengths.astype(np.int64)).tolist()
+    texts = iter([raw[a:b].decode() for a, b in zip([0, *ends], ends)])
+    sizes, out, at = iter(sizes.astype(np.int64).tolist()), [], 0
+    for edge, count in zip(edges.astype(np.int64).tolist(), counts.astype(np.int64).tolist()):
+        head, tail = next(texts), next(texts)
+        first, last = (tuple((next(texts), next(sizes)) for _ in range(edge)) for _ in range(2))
+        out.append(Chunk(head, first, last, ids[at : at + count] if edge else None, tail))
+        at += count
+    return out
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
     """One row per row of docs: the id, ids array<int>, and with decoded, the text that these ids give back.
 
-    Null and empty texts have no ids and decode to ''. Ids may be null or repeated; other columns are not read; an empty
-    table gives no rows. No shuffle; memory is bounded by the longest text plus the two stores.
+    Null and empty texts have no ids and decode to ''. Ids may be null or repeated; other columns are not read, whatever
+    their names; an empty table gives no rows. Memory is bounded by the longest text plus blocks, shards and
+    ``MOST_STRETCHES``; chunks are shuffled compressed, once for each block that has them, and texts never.
     """
     ship(docs.sparkSession)
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    blocks = build_blocks(picked)
+    shards = max(1, (blocks.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES)
+    codec = lambda: resident(("codec", tokenizer_path), lambda: Codec(tokenizer_path))
+    asked = blocks.select("block", "names", "sizes", "texts").mapInArrow(fresh(ask(shards)), "shard int, block bigint, names binary, sizes binary, texts binary")
+    answers = asked.groupBy("shard").applyInArrow(lambda t: answer(codec, t), "shard int, block bigint, chunks binary")
+    kind = picked.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded)
 
-    def run(batches):
-        own = codec(tokenizer_path)
-        for batch in batches:
-            for piece in slices(batch, 1):
-                coded = own.encode_all(piece.column(1))
-                offsets = np.zeros(len(coded) + 1, np.int64)
-                np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                columns = [piece.column(0), ids]
-                if decoded:
-                    columns.append(pa.array([own.decode(np.frombuffer(c, np.int32).tolist()) for c in coded], pa.string()))
-                yield pa.record_batch(columns, ["id", "ids", "decoded"][: len(columns)])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, counts, codes = left["ids"][0].values, unpack(left["counts"][0].as_py())[0].astype(np.int64), unpack(left["codes"][0].as_py())[0].astype(np.int64).tolist()
+        known = [c for blob in right.sort_by("shard")["chunks"] for c in load(blob.as_py())]
+        ends = np.cumsum(counts).tolist()
+        coded = assemble(codec(), [[known[c] for c in codes[a:b]] for a, b in zip([0, *ends], ends)])
+        offsets = np.concatenate([[0], np.cumsum([*map(len, coded)])])
+        columns = [ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(coded) if coded else [], pa.int32()))]
+        if decoded:
+            columns.append(pa.array([codec().decode(c.tolist()) for c in coded], pa.string()))
+        return pa.table(columns, schema.names)
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
+    out = blocks.select("block", "ids", "counts", "codes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), *out.columns[1:])

@@ -6,20 +6,47 @@ per task doesn't follow the number of rows; one longer text makes a piece of its
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from tessera.session import shared_dir, ship, stored
+from tessera.session import scratch, shared_dir, ship, stored
 
-__all__ = ["Words", "by_slice", "byte_class", "grams", "mix", "powers", "shared_path", "ship", "slices", "stored", "utf8"]
-SLICE_BYTES = 2 << 20
+__all__ = ["Words", "by_slice", "byte_class", "fresh", "fresh_but_for", "grams", "mix", "pack", "powers", "release", "resident", "scratch", "shared_path", "ship", "slices", "squeeze", "stored", "unpack", "unsqueeze", "utf8"]
+SLICE_BYTES = 256 << 10
+MOST_POWERS = 1 << 18  # kept; more are made for a longer text and let go
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, U64), np.ones(1, U64)]
+_resident: dict[Any, Any] = {}
+
+
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system; workers outlive tasks and operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def resident(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept in this worker for later tasks of the same key; whatever another operator kept goes first."""
+    if key not in _resident:
+        leave()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def leave() -> None:
+    """Drop what an operator kept in this worker."""
+    if _resident:
+        _resident.clear()
+        release()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -57,6 +84,26 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         begin = end
 
 
+def fresh(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow, in a worker without what other operators kept, and with its memory given back at the end."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave()
+        yield from run(batches)
+        release()
+
+    return alone
+
+
+def fresh_but_for(key: Any, make: Callable[[], Any], run: Callable[[Any, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run(make(), batches) for mapInArrow; a worker keeps what make() gave until another operator runs there."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(resident(key, make), batches)
+
+    return alone
+
+
 def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES):
     """A function for mapInArrow that applies work to bounded pieces."""
 
@@ -65,18 +112,52 @@ def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: int = 1, mo
             for piece in slices(batch, text, most):
                 yield work(piece)
 
-    return run
+    return fresh(run)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd base modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, U64)
+    made = _powers
+    if len(made[0]) < n:
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(max(n, MOST_POWERS), base, U64)
             x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+            made.append(np.multiply.accumulate(x))
+        if n <= MOST_POWERS:
+            _powers[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers that aren't negative, byte plane by byte plane (as many as the largest needs), compressed."""
+    head, planes = [len(arrays)], []
+    for a in arrays:
+        a = np.asarray(a).astype("<u8")
+        width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        head += [len(a), width]
+        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return squeeze(np.array(head, "<u8").tobytes() + b"".join(planes))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(unsqueeze(blob), np.uint8)
+    number = int(raw[:8].view("<u8")[0])
+    head, out, at = raw[8 : 8 + 16 * number].view("<u8").astype(np.int64).reshape(-1, 2).tolist(), [], 8 + 16 * number
+    for n, width in head:
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(a.view(U64).reshape(n))
+        at += n * width
+    return out
+
+
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

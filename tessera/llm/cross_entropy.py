@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, mix, ship, slices, stored
+from tessera.llm.common import U64, fresh, mix, pack, ship, slices, stored, unpack
 from tessera.llm.lm_tokens import Tokens
 
 BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 2_000_000
@@ -32,23 +32,6 @@ SHARE, PSEUDO = 0.5, 0.5
 BLOBS = ["counts", "target", "words", "codes"]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers that aren't negative, byte plane by byte plane, compressed."""
-    planes = b"".join(np.asarray(a).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
-    raw = np.array([len(arrays), *map(len, arrays)], "<u8").tobytes() + planes
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), np.uint8)
-    number = int(raw[:8].view("<u8")[0])
-    lengths, out, at = raw[8 : 8 + 8 * number].view("<u8").astype(np.int64).tolist(), [], 8 + 8 * number
-    for n in lengths:
-        out.append(np.ascontiguousarray(raw[at : at + 8 * n].reshape(8, n).T).view(U64).reshape(n))
-        at += 8 * n
-    return out
-
-
 def build_blocks(flagged: DataFrame) -> DataFrame:
     """Stored blocks of rows (id, text, target): ids, tokens of each, whether of the target, word hashes, and each token's number among them."""
 
@@ -80,7 +63,7 @@ def build_blocks(flagged: DataFrame) -> DataFrame:
 
     names = ["block", "ids", *BLOBS, "n_tokens", "n_target", "n_texts", "n_target_texts"]
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(flagged.schema["id"].dataType))] + [T.StructField(c, T.BinaryType()) for c in BLOBS] + [T.StructField(c, T.LongType()) for c in names[-4:]])
-    return stored(flagged.select("id", "text", "target").mapInArrow(encode, schema), "blocks")
+    return stored(flagged.select("id", "text", "target").mapInArrow(fresh(encode), schema), "blocks")
 
 
 class Block:
@@ -172,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int | None = None, id_col:
     blocks = build_blocks(flagged)
     totals = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_target", "n_texts", "n_target_texts"))).first()
     shards = max(1, -(-totals[0] // SHARD_TOKENS))
-    counted = blocks.select("block", *BLOBS).mapInArrow(tally(shards), "shard int, block bigint, held binary")
+    counted = blocks.select("block", *BLOBS).mapInArrow(fresh(tally(shards)), "shard int, block bigint, held binary")
     sums = counted.groupBy("shard").applyInArrow(add_up, "shard int, block bigint, symbols bigint, rest binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -1,150 +1,190 @@
 """Token counts by a compiled transducer (operator 1).
 
 The tokenizer (merges by rank, white space as U+2581) never joins U+2581 to what stands before it: no piece of the
-vocabulary has U+2581 after another character, which ``Transducer`` verifies. So a text is a row of segments
-``U+2581+ other*``, each tokenised alone. The transducer's states are the segment prefixes read so far (state 0: none);
-a transition reads a character, and emits how many tokens the longer prefix has more than the shorter one (this may be
-negative: a merge). Reading U+2581 after another character returns to the first state and starts a segment. Paths
-through whole segments are compiled on first use, by the library itself, into macro transitions with their emitted
-count; the compiled part is bounded and renewed when full.
-
-A text is cut into chunks. The map of a chunk is (head, inner count, tail): where the chunk has a segment start, every
-entry state leads to the same exit state (the tail), so the map of all states is held by the head, which still depends
-on the entry, and by the count of the segments closed inside. A chunk without a segment start maps entry s to s + chunk.
-Maps compose associatively; ``scan`` composes neighbours in pairs, level by level (a parallel prefix scan's up-sweep).
+vocabulary has U+2581 after another character, which ``Transducer`` verifies. The transducer reads one character at a
+time. Its states are what has been read since the last U+2581 that followed another character; each holds the number of
+tokens of that string. A transition is annotated with the tokens it emits, the difference of its two states' numbers
+(negative where a merge takes tokens back), so that the emissions along a path add up to the tokens of what it reads.
+U+2581 after another character is a *reset*: it leads from every state to state 0. Transitions are determined on first
+use, by the library, and kept in one hash table of bounded size; a string that was read before is never tokenised again.
+
+All texts of a slice are read as one stream, which is cut into chunks of ``CHUNK`` characters; the chunks are read side
+by side, a character of each at a time. The map of a chunk sends the state before it to the state after it and the tokens
+emitted. Where the chunk has a reset, what comes after it doesn't depend on the state before: this constant part is read
+first, for all chunks. Then maps compose: a chunk's entry is its left neighbour's exit, which is constant wherever that
+has a reset, so the rest of all such chunks is read at once, too; only chunks without a reset pass on a state that must be
+known first, and each round of the scan settles all whose left neighbour is settled. Strings between resets that are longer
+than ``DEEP`` aren't compiled (each would add a state a character); the library counts them whole. So at most DEEP / CHUNK + 1
+rounds are needed.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, slices, utf8
+from tessera.llm.common import U64, fresh_but_for, ship, slices, utf8
 
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-MOST_PATHS = 800_000
-LONG_SEGMENT = 256  # longer ones are counted each time, not compiled
-CHUNK = 1 << 16
+CHUNK, DEEP = 64, 256
+WINDOW = 1 << 19  # characters read at a time
+MOST_STATES = 1_500_000
+CHARACTER_BITS, EMIT_BITS, EMIT_MASK = np.int64(21), 16, (1 << 16) - 1
+_MIX = U64(0x9E3779B97F4A7C15)
 
 
 class Transducer:
     """Counts of tokens for a sentencepiece BPE model that turns white space to U+2581 and puts one in front."""
 
-    def __init__(self, path: str, most_paths: int = MOST_PATHS):
+    def __init__(self, path: str, most_states: int = MOST_STATES):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = map(self.library.id_to_piece, range(self.library.get_piece_size()))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
-            raise ValueError("a piece has white space after another character; segments would not be independent")
+            raise ValueError("a piece has white space after another character; resets would not be independent")
         if self.library.encode("a  b ", out_type=str)[-1] != SPACE or self.library.encode("a", out_type=str)[0][0] != SPACE:
             raise ValueError("the model changes white space; only identity normalisation with one space in front is compiled")
         self.alone = len(self.library.encode("a ")) - len(self.library.encode("a"))
-        self.most, self.emits = most_paths, {"": self.alone}  # by segment without its first U+2581
-
-    def compile(self, segments: set[str]) -> None:
-        """Add macro transitions: from the first state, over a whole segment, back to it."""
-        if len(self.emits) + len(segments) > self.most:
-            self.emits = {"": self.alone}
-        new = list(segments)
-        self.emits.update(zip(new, map(len, self.library.encode(new, num_threads=1)), strict=True))
-
-    def emitted(self, segments: list[str]) -> int:
-        """Tokens emitted on the way over closed segments."""
-        return self.emitted_by_row([[s[1:] for s in segments]])[0]
-
-    def emitted_by_row(self, rows: list[list[str]]) -> list[int]:
-        """The same for many rows of segments, without the first U+2581 of each."""
-        new = set().union(*rows).difference(self.emits)
-        long = {s for s in new if len(s) > LONG_SEGMENT}
-        extra = {s: len(self.library.encode(s)) for s in long}
-        new -= long
-        if len(self.emits) + len(new) > self.most:
-            new = set().union(*rows) - long - {""}
-        if len(new) > self.most:  # more than the compiled part holds: piece by piece
-            size = self.most // 2
-            return [sum(self.emitted_by_row([r[k : k + size]])[0] for k in range(0, len(r), size)) for r in rows]
-        if new:
-            self.compile(new)
-        emits = self.emits
-        if not extra:
-            return [sum(map(emits.__getitem__, r)) for r in rows]
-        return [sum(extra[s] if s in extra else emits[s] for s in r) for r in rows]
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, tokens of the segments closed inside, or None if no segment starts here, tail). Segments start at U+2581 after another character."""
-        first = re.search(f"(?<=[^{SPACE}]){SPACE}", chunk)
-        if not first:
-            return chunk, None, ""
-        segments = SEGMENT.findall(chunk, first.start())
-        return chunk[: first.start()], self.emitted(segments[:-1]), segments[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of two neighbouring chunks. If a ends with another character and b begins with U+2581, a segment starts at the seam."""
-        seam = bool(a[2] or a[0]) and (a[2] or a[0])[-1] != SPACE and b[0][:1] == SPACE
-        if a[1] is None and b[1] is None:
-            return (a[0], 0, b[0]) if seam else (a[0] + b[0], None, "")
-        if a[1] is None:
-            return (a[0], b[1] + self.emitted([b[0]]), b[2]) if seam else (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1] + self.emitted([a[2]]), b[0]) if seam else (a[0], a[1], a[2] + b[0])
-        closed = [a[2], b[0]] if seam else [a[2] + b[0]]
-        return a[0], a[1] + b[1] + self.emitted(closed), b[2]
-
-    def scan(self, maps: list[tuple]) -> tuple:
-        while len(maps) > 1:
-            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
-            maps = pairs + maps[len(pairs) * 2 :]
-        return maps[0]
-
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        """The number of tokens that the library gives for text; an empty text has none."""
-        return self.count_all([text], chunk)[0]
-
-    def count_all(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
-        rows, scanned = [], {}
-        for k, text in enumerate(texts):
-            if 0 < len(text) < chunk:
-                row = text.split(" ")
-                if "" in row or SPACE in text:
-                    row = [s[1:] for s in SEGMENT.findall(SPACE + text.replace(" ", SPACE))]
-                rows.append(row)
-                continue
-            rows.append([])
-            if text:
-                text = SPACE + text.replace(" ", SPACE)
-                head, inner, tail = self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-                scanned[k] = self.emitted([head]) + (0 if inner is None else inner + self.emitted([tail]))
-        return [scanned.get(k, n) for k, n in enumerate(self.emitted_by_row(rows))]
-
-
-@lru_cache(2)
-def transducer(path: str) -> Transducer:
-    return Transducer(path)
+        self.most = most_states
+        self.clear()
+
+    def clear(self, bits: int = 16) -> None:
+        """State 0 (just U+2581 read) is all that is left."""
+        self.states, self.tokens = 1, np.full(1 << bits, self.alone, np.int32)  # tokens: of each state
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
+        """A table of transitions: (state, character) and (next state, tokens emitted), each in one integer."""
+        self.bits, self.table = bits, np.full((1 << bits, 2), -1, np.int64)
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, or the free one where it would be, and what is held there."""
+        at = ((keys.view(U64) * _MIX) >> U64(64 - self.bits)).astype(np.int64)
+        held = self.table[at]
+        open_ = np.flatnonzero((held[:, 0] != keys) & (held[:, 0] >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.table) - 1)
+            held[open_] = now = self.table[at[open_]]
+            open_ = open_[(now[:, 0] != keys[open_]) & (now[:, 0] >= 0)]
+        return at, held
+
+    def insert(self, rows: np.ndarray) -> None:
+        """Add transitions whose keys are new and distinct."""
+        while len(rows):
+            at, _ = self.slots(np.ascontiguousarray(rows[:, 0]))
+            self.table[at] = rows
+            rows = rows[self.table[at, 0] != rows[:, 0]]
+
+    def compile(self, keys: np.ndarray, strings: list[str]) -> None:
+        """Add transitions (state, character) with what has then been read since the reset, without its first U+2581."""
+        while self.states + len(keys) > len(self.table) >> 1:
+            old = self.table[self.table[:, 0] >= 0]
+            self._empty(self.bits + 1)
+            self.tokens = np.append(self.tokens, np.zeros(len(self.tokens), np.int32))
+            self.insert(old)
+        new = np.arange(self.states, self.states + len(keys))
+        self.tokens[new] = np.fromiter(map(len, self.library.encode(strings, num_threads=1)), np.int32, len(strings))
+        emitted = (self.tokens[new] - self.tokens[keys >> CHARACTER_BITS]).astype(np.int64)
+        self.insert(np.stack([keys, new << EMIT_BITS | emitted + (1 << EMIT_BITS >> 1)], axis=1))
+        self.states += len(keys)
+
+    def read(self, text: str, codes: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        """The tokens emitted at each character of a stream that begins with a reset."""
+        if self.states > self.most:
+            self.clear()
+        n, chunks = len(codes), -(-len(codes) // CHUNK)
+        fill = chunks * CHUNK - n
+        since = np.maximum.accumulate(np.where(reset, np.arange(n), 0))
+        columns = np.ascontiguousarray(np.append(codes, np.zeros(fill, np.int64)).reshape(chunks, CHUNK).T)
+        resets = np.ascontiguousarray(np.append(reset, np.ones(fill, bool)).reshape(chunks, CHUNK).T)
+        out = np.zeros((CHUNK, chunks), np.int32)
+
+        def step(p: int, lanes: np.ndarray, state: np.ndarray) -> np.ndarray:
+            keys = state << CHARACTER_BITS | columns[p, lanes]
+            _, held = self.slots(keys)
+            missing = held[:, 0] < 0
+            if missing.any():
+                own, first = np.unique(keys[missing], return_index=True)
+                ends = lanes[missing][first] * CHUNK + p
+                self.compile(own, [text[a + 1 : b + 1] for a, b in zip(since[ends].tolist(), ends.tolist())])
+                _, held = self.slots(keys)
+            out[p, lanes] = (held[:, 1] & EMIT_MASK) - (1 << EMIT_BITS >> 1)
+            return held[:, 1] >> EMIT_BITS
+
+        # The constant part of each chunk's map: from its first reset on.
+        exits = np.full(chunks, -1, np.int64)
+        for p in range(CHUNK):
+            lanes = np.flatnonzero((exits >= 0) & ~resets[p])
+            exits[lanes] = step(p, lanes, exits[lanes])
+            exits[resets[p]] = 0
+            out[p, resets[p]] = self.alone
+        # Composition with the exits of the left neighbours.
+        heads = np.where(resets.any(axis=0), resets.argmax(axis=0), CHUNK)
+        waiting = np.flatnonzero(heads > 0)
+        while len(waiting):
+            ready = exits[waiting - 1] >= 0  # the first chunk begins with a reset and never waits
+            lanes, waiting = waiting[ready], waiting[~ready]
+            state = exits[lanes - 1]
+            for p in range(int(heads[lanes].max())):
+                inside = heads[lanes] > p
+                state[inside] = step(p, lanes[inside], state[inside])
+            whole = heads[lanes] == CHUNK
+            exits[lanes[whole]] = state[whole]
+        return out.T.reshape(-1)[:n]
+
+    def count_all(self, texts: list[str]) -> np.ndarray:
+        """The number of tokens that the library gives for each text; an empty text has none."""
+        counts = np.zeros(len(texts), np.int64)
+        filled = np.array([k for k, t in enumerate(texts) if t], np.int64)
+        if not len(filled):
+            return counts
+        stream = "".join(SPACE + texts[k] for k in filled).replace(" ", SPACE)
+        codes = np.frombuffer(stream.encode("utf-32-le"), "<u4").astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(texts[k]) + 1 for k in filled])[:-1]])
+        space = codes == ord(SPACE)
+        reset = np.zeros(len(codes), bool)
+        reset[starts] = True
+        reset[1:] |= space[1:] & ~space[:-1]
+        begins = np.flatnonzero(reset)
+        sizes = np.diff(np.append(begins, len(codes)))
+        deep = sizes > DEEP
+        aside = np.repeat(deep, sizes)
+        reset |= aside
+        emitted, a = np.zeros(len(codes), np.int32), 0
+        while a < len(codes):  # windows end before a reset
+            b = len(codes) if len(codes) - a <= WINDOW else int(begins[np.searchsorted(begins, a + WINDOW, "right") - 1])
+            if b <= a:  # one string that the library counts, longer than a window
+                b = int(np.append(begins, len(codes))[np.searchsorted(begins, a, "right")])
+            emitted[a:b] = self.read(stream[a:b], codes[a:b], reset[a:b])
+            a = b
+        emitted[aside] = 0
+        for x, size in zip(begins[deep].tolist(), sizes[deep].tolist()):
+            emitted[x] = len(self.library.encode(stream[x + 1 : x + size]))
+        counts[filled] = np.add.reduceat(emitted, starts)
+        return counts
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have 0 bytes and 0 tokens; ids may be null or repeated, each row has its own result; other
-    columns are not read; an empty table gives no rows. No shuffle; memory is bounded by the longest text plus
-    ``MOST_PATHS`` compiled paths.
+    columns are not read, whatever their names; an empty table gives no rows. No shuffle; memory is bounded by the longest
+    text plus some ``MOST_STATES`` states.
     """
     ship(docs.sparkSession)
 
-    def run(batches):
-        compiled = transducer(model_path)
+    def run(compiled: Transducer, batches):
         for batch in batches:
             for piece in slices(batch, 1):
                 counts = compiled.count_all([t or "" for t in piece.column(1).to_pylist()])
-                yield pa.record_batch([piece.column(0), pa.array(np.diff(utf8(piece.column(1))[1])), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
+                yield pa.record_batch([piece.column(0), pa.array(np.diff(utf8(piece.column(1))[1])), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    keep = fresh_but_for(("transducer", model_path), lambda: Transducer(model_path), run)
+    out = picked.mapInArrow(keep, f"id {picked.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
