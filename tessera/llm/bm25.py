@@ -1,33 +1,48 @@
-"""Exact top-k search by BM25 over sharded inverted indexes with block-max pruning (operator 4).
-
-A shard is some ``SHARD_BYTES`` of texts: sorted term hashes, each with postings (document, impact without idf) and, for
-every block of 64 documents that the term occurs in, the largest impact there (block maxima). Document counts, lengths
-and document frequencies are global, so scores don't depend on shards. Queries come in blocks of bounded size; a block
-is broadcast and every shard is searched for it. For a query, the block maxima add up to an upper bound for each block
-of documents; the blocks with the highest bounds are scored first, which gives a threshold (the k-th best so far, kept
-from shard to shard of a task), and only blocks whose bound reaches it are scored at all. The k best of each task are
-merged. Ties go by id.
+"""Exact top-k search by BM25 over sharded inverted indexes with block-max WAND pruning (operator 4).
+
+A shard is some ``SHARD_BYTES`` of texts: sorted term hashes, each with postings (document, term frequency). Its documents
+are put in order of their commonest term and their length, so that the 64 documents of a block resemble each other. A
+task that loads a shard derives impacts (BM25 without idf, by the global mean length) and, for each term, the largest
+impact in every block and in the shard. Document counts, lengths and document frequencies are global, so scores don't
+depend on shards.
+
+A query with a floor (its k-th best score so far) is searched in a shard like this. Its terms are put in order of their
+largest contribution; up to the pivot, where these add up to the floor, they can't lift a document over the floor by
+themselves. Only blocks that hold a term from the pivot on are looked at; of these, only blocks are scored whose block
+maxima of all terms add up to the floor.
+
+Shards are searched in rounds of 1, 1, 2, 4, 8, ... of them (on average). After a round the k best of each query are
+merged, and the k-th of them is the floor of the next round in every shard. A query gets about k rows from a round,
+however many shards it has, so candidate rows grow as the number of queries, times the logarithm of the number of shards.
+
+Ties go by id, also inside a shard, so that thousands of copies with equal scores give k rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, Words, ship, slices, stored, utf8
+from tessera.llm.common import U64, Words, fresh, ship, slices, stored, utf8
 from tessera.llm.decontamination import MEMBER
 
 K1, B = 1.2, 0.75
 SHARD_BYTES = 16 << 20
 BLOCK = 64
 QUERY_TERMS = 2_000_000  # of a block of queries; one longer query makes a block of its own
+QUERY_BLOCKS = 8  # searched at the same time; the driver holds no more of the queries
 FIRST_BLOCKS = 4
+SLACK = 1e-8  # scores are rounded to 9 digits; bounds allow for that and for the order of sums
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,6 +51,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in slices(batch, 1, SHARD_BYTES):
                 hashes, docs_of, lengths = [], [], []
@@ -44,18 +60,28 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     hashes.append(words.hashes)
                     docs_of.append(words.doc + sum(map(len, lengths)))
                     lengths.append(words.counts())
-                h, d = np.concatenate(hashes), np.concatenate(docs_of)
+                h, d, n = np.concatenate(hashes), np.concatenate(docs_of), np.concatenate(lengths).astype(np.int64)
                 order = np.lexsort((d, h))
                 h, d = h[order], d[order]
                 new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, np.int64)
-                tf, h, d = np.diff(np.append(new, len(h))).astype(np.int32), h[new], d[new].astype(np.int32)
+                tf, h, d = np.diff(np.append(new, len(h))).astype(np.int32), h[new], d[new]
+                by_doc = np.lexsort((h, tf, d))
+                last = np.searchsorted(d[by_doc], np.arange(len(n)), "right") - 1
+                common = np.where(n > 0, h[by_doc][last], 0) if len(h) else np.zeros(len(n), U64)
+                alike = np.lexsort((n, common))  # the commonest term, then the length
+                place = np.empty_like(alike)
+                place[alike] = np.arange(len(alike))
+                d = place[d].astype(np.int32)
+                order = np.lexsort((d, h))
+                tf, h, d = tf[order], h[order], d[order]
                 term = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-                blobs = [np.concatenate(lengths).astype(np.int64), h[term], np.append(term, len(h)).astype(np.int64), d, tf]
-                ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column(0))
-                yield pa.record_batch([ids, *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["ids", "lengths", "terms", "begin", "docs", "tf"])
+                blobs = [n[alike], h[term], np.append(term, len(h)).astype(np.int64), d, tf]
+                ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column(0).take(pa.array(alike)))
+                yield pa.record_batch([ids, *(pa.array([b.tobytes()], pa.binary()) for b in blobs), pa.array([shard], pa.int64())], schema.names)
+                shard += 1
 
-    schema = T.StructType([T.StructField("ids", T.ArrayType(picked.schema["id"].dataType))] + [T.StructField(c, T.BinaryType()) for c in ("lengths", "terms", "begin", "docs", "tf")])
-    return stored(picked.mapInArrow(shards, schema), "bm25")
+    schema = T.StructType([T.StructField("ids", T.ArrayType(picked.schema["id"].dataType))] + [T.StructField(c, T.BinaryType()) for c in ("lengths", "terms", "begin", "docs", "tf")] + [T.StructField("shard", T.LongType())])
+    return stored(picked.mapInArrow(fresh(shards), schema), "bm25")
 
 
 def frequencies(index: DataFrame) -> tuple[DataFrame, int, float]:
@@ -71,8 +97,8 @@ def frequencies(index: DataFrame) -> tuple[DataFrame, int, float]:
             held = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
             yield pa.record_batch([pa.array([len(x) for x in held], pa.int64()), pa.array([int(x.sum()) for x in held], pa.int64())], ["n", "total"])
 
-    df = index.select("terms", "begin").mapInArrow(per_shard, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    n, total = index.select("lengths").mapInArrow(sizes, "n bigint, total bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    df = index.select("terms", "begin").mapInArrow(fresh(per_shard), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    n, total = index.select("lengths").mapInArrow(fresh(sizes), "n bigint, total bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     return df, n, total / max(n, 1)
 
 
@@ -91,6 +117,7 @@ class Shard:
         self.entry_block = block[self.entry[:-1]]
         self.entry_max = np.maximum.reduceat(self.impact, self.entry[:-1]) if len(docs) else np.zeros(0)
         self.term_entry = np.searchsorted(self.entry, begin)  # each term's first entry
+        self.term_max = np.maximum.reduceat(self.impact, begin[:-1]) if len(docs) else np.zeros(0)
         self.blocks = (self.n + BLOCK - 1) // BLOCK
 
     @staticmethod
@@ -100,32 +127,41 @@ class Shard:
         return np.arange(size.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
 
     def search(self, at: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of all that may be among the k best; at: numbers of the query's terms here. Scores under floor don't matter."""
+        """Documents and rounded scores of all that may be among the k best; at: numbers of the query's terms here. Scores under floor don't matter."""
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(at):
             return none
         begin, end = self.term_entry[at], self.term_entry[at + 1]
+        wanted, floor = np.zeros(self.blocks, bool), floor - SLACK
+        if floor > 0:
+            most = idf * self.term_max[at]
+            by_most = np.argsort(most)
+            pivot = by_most[np.searchsorted(np.cumsum(most[by_most]), floor) :]
+            if not len(pivot):
+                return none
+            wanted[self.entry_block[self.ranges(begin[pivot], end[pivot])]] = True
+        else:
+            wanted[:] = True
         entries, weight = self.ranges(begin, end), np.repeat(idf, end - begin)
-        bound = np.bincount(self.entry_block[entries], weight * self.entry_max[entries], self.blocks) * (1 + 1e-9)
-        scores, done = np.zeros(self.n), np.zeros(self.blocks, bool)
-        for turn in range(2):
-            wanted = ~done & (bound > 0) & (bound >= floor)
-            if turn == 0 and wanted.sum() > FIRST_BLOCKS:
-                best = np.argpartition(-np.where(wanted, bound, 0), FIRST_BLOCKS - 1)[:FIRST_BLOCKS]
-                wanted = np.zeros(self.blocks, bool)
-                wanted[best] = True
-            if not wanted.any():
-                break
-            chosen = wanted[self.entry_block[entries]]
+        block = self.entry_block[entries]
+        bound = np.bincount(block, weight * self.entry_max[entries], self.blocks)
+        wanted &= (bound > 0) & (bound >= floor)
+        scores, rest = np.zeros(self.n), wanted
+        if floor <= 0 and wanted.sum() > FIRST_BLOCKS:  # the most promising blocks give a floor
+            wanted = np.zeros(self.blocks, bool)
+            wanted[np.argpartition(-bound, FIRST_BLOCKS - 1)[:FIRST_BLOCKS]] = True
+        while wanted.any():
+            chosen = wanted[block]
             e = entries[chosen]
             size = self.entry[e + 1] - self.entry[e]
             postings = self.ranges(self.entry[e], self.entry[e + 1])
             scores += np.bincount(self.docs[postings], np.repeat(weight[chosen], size) * self.impact[postings], self.n)
-            done |= wanted
+            rest = rest & ~wanted
             if self.n > k:
-                floor = max(floor, float(np.partition(scores, self.n - k)[self.n - k]))
-        found = np.flatnonzero((scores > 0) & (scores >= floor * (1 - 1e-9)))
-        return found, scores[found]
+                floor = max(floor, float(np.partition(scores, self.n - k)[self.n - k]) - SLACK)
+            wanted = rest & (bound >= floor)
+        found = np.flatnonzero((scores > 0) & (scores >= floor))
+        return found, np.round(scores[found], 9)
 
 
 def query_terms(queries: DataFrame, df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -139,7 +175,7 @@ def query_terms(queries: DataFrame, df: DataFrame, n: int, id_col: str, text_col
                 yield pa.record_batch([piece.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], ["query", "term"])
 
     picked = queries.select(F.col(id_col).alias("query"), F.col(text_col).alias("text")).where("query is not null")
-    rows = picked.mapInArrow(explode, f"query {picked.schema['query'].dataType.simpleString()}, term bigint").distinct()
+    rows = picked.mapInArrow(fresh(explode), f"query {picked.schema['query'].dataType.simpleString()}, term bigint").distinct()
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     listed = rows.join(df, "term").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
     return listed.select("query", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
@@ -149,61 +185,94 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
     """(query, doc_id, score, place) for the k best documents of each query, whole texts on both sides.
 
     A query's document is found too if it is indexed. Queries of null or without known words have no rows; rows that
-    repeat a query id are one query of all their words; documents that repeat an id are searched each. Scores are
-    rounded to 9 digits, and ties go by id.
+    repeat a query id are one query of all their words; documents that repeat an id are searched each. An empty index or
+    an empty table of queries gives no rows. Scores are rounded to 9 digits, and ties go by id, null last. Other columns
+    are ignored, also where they have names used here. A long text makes a shard, and a long query a block, of its own.
     """
     spark = ship(index.sparkSession)
     df, n, mean = frequencies(index)
-    listed = stored(query_terms(queries, df, n, id_col, text_col), "queries")
-    kind = index.schema["ids"].dataType.elementType
-    schema = T.StructType([T.StructField("query", listed.schema["query"].dataType), T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
-    parts = [index.limit(0).mapInArrow(lambda b: iter(()), schema)]
-    for block in _blocks(listed):
-        held = spark.sparkContext.broadcast(block)  # at most QUERY_TERMS terms, or one query
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, offsets, flat, idf = held.value
-            floors = np.zeros(len(names))
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    shard = Shard([batch.column(c)[r].as_py() for c in range(1, 6)], mean)
-                    if not len(shard.terms):
-                        continue
-                    at = np.minimum(np.searchsorted(shard.terms, flat), len(shard.terms) - 1)
-                    known = shard.terms[at] == flat
-                    out = [[], [], []]
-                    for q in range(len(names)):
-                        here = slice(offsets[q], offsets[q + 1])
-                        docs, scores = shard.search(at[here][known[here]], idf[here][known[here]], k, floors[q])
-                        if len(scores) > k:
-                            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                            docs, scores = docs[scores >= least * (1 - 1e-9)], scores[scores >= least * (1 - 1e-9)]
-                        if len(scores) >= k:
-                            floors[q] = max(floors[q], np.partition(scores, len(scores) - k)[len(scores) - k])
-                        for column, value in zip(out, (np.full(len(docs), q), docs, scores)):
-                            column.append(value)
-                    q, docs, scores = map(np.concatenate, out)
-                    ids = batch.column(0).slice(r, 1).flatten()
-                    yield pa.record_batch([pa.array(names).take(pa.array(q)), ids.take(pa.array(docs)), pa.array(scores)], ["query", "doc_id", "score"])
-
-        parts.append(index.mapInArrow(run, schema))
-    found = reduce(DataFrame.unionAll, parts).withColumn("score", F.round("score", 9))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    listed = query_terms(queries, df, n, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
+    listed = stored(listed, "queries")
+    rounds = max(1, math.ceil(math.log2(max(index.count(), 1))) + 1)
+    drawn = F.shiftrightunsigned(F.xxhash64("shard"), 11) / F.lit(float(1 << 53))  # from 0 to 1; half of the shards are in the last round
+    dealt = index.withColumn("round", F.greatest(F.lit(0), F.lit(rounds) + F.floor(F.log2(drawn))).cast("int"))
+    schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("doc_id", index.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType())])
+    parts = []
+    for group in batched(_blocks(listed), QUERY_BLOCKS):
+        best, floors = None, [np.zeros(len(numbers)) for numbers, *_ in group]
+        for turn in range(rounds):
+            own, held = dealt.where(F.col("round") == turn), []
+            for (numbers, *terms), floor in zip(group, floors):
+                held.append(spark.sparkContext.broadcast((numbers, *terms, floor)))  # at most QUERY_TERMS terms, or one query
+            found = reduce(DataFrame.unionAll, [own.mapInArrow(fresh(_searcher(h, mean, k)), schema) for h in held])
+            best = stored(_best(found if best is None else best.unionAll(found), k).drop("place"), "best")
+            for h in held:
+                h.destroy()
+            if turn < rounds - 1:
+                full = best.groupBy("number").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+                now = full.select("number", "floor").toArrow()  # at most one row for each query of the group
+                known, order = now["number"].to_numpy(), np.argsort(now["number"].to_numpy())
+                for (numbers, *_), floor in zip(group, floors):
+                    if len(known):
+                        at = order[np.minimum(np.searchsorted(known, numbers, sorter=order), len(known) - 1)]
+                        floor[:] = np.where(known[at] == numbers, now["floor"].to_numpy()[at], 0.0)
+        parts.append(best)
+    if not parts:
+        parts = [spark.createDataFrame([], schema)]
+    best = reduce(DataFrame.unionAll, parts).join(listed.select("number", "query"), "number")
+    return _best(best, k).select("query", "doc_id", "score", "place")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _searcher(held, mean: float, k: int):
+    """For each shard, at most k rows (number, doc_id, score) of each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, offsets, flat, idf, floors = held.value
+        floors = floors.copy()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                shard = Shard([batch.column(c)[r].as_py() for c in range(1, 6)], mean)
+                if not len(shard.terms):
+                    continue
+                ids = batch.column(0).slice(r, 1).flatten()
+                rank = np.empty(len(ids), np.int64)
+                rank[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
+                at = np.minimum(np.searchsorted(shard.terms, flat), len(shard.terms) - 1)
+                known = shard.terms[at] == flat
+                out = [[], [], []]
+                for q in range(len(numbers)):
+                    here = slice(offsets[q], offsets[q + 1])
+                    docs, scores = shard.search(at[here][known[here]], idf[here][known[here]], k, floors[q])
+                    if len(docs) > k:
+                        first = np.lexsort((rank[docs], -scores))[:k]
+                        docs, scores = docs[first], scores[first]
+                    if len(docs) == k:
+                        floors[q] = max(floors[q], scores.min())
+                    for column, value in zip(out, (np.full(len(docs), numbers[q]), docs, scores)):
+                        column.append(value)
+                number, docs, scores = map(np.concatenate, out)
+                yield pa.record_batch([pa.array(number), ids.take(pa.array(docs)), pa.array(scores)], ["number", "doc_id", "score"])
+
+    return run
+
+
 def _blocks(listed: DataFrame) -> Iterator[tuple]:
     names, terms, idf, size = [], [], [], 0
 
     def made() -> tuple:
-        return names, np.cumsum([0, *map(len, terms)]), np.concatenate([np.array(t, np.int64).view(U64) for t in terms]), np.concatenate([np.array(x, float) for x in idf])
+        return np.array(names, np.int64), np.cumsum([0, *map(len, terms)]), np.concatenate([np.array(t, np.int64).view(U64) for t in terms]), np.concatenate([np.array(x, float) for x in idf])
 
     for row in listed.toLocalIterator():
         if names and size + len(row["terms"]) > QUERY_TERMS:
             yield made()
             names, terms, idf, size = [], [], [], 0
         order = np.argsort(np.array(row["terms"], np.int64).view(U64))
-        names.append(row["query"])
+        names.append(row["number"])
         terms.append(np.array(row["terms"], np.int64)[order])
         idf.append(np.array(row["idf"], float)[order])
         size += len(row["terms"])
