@@ -4,7 +4,8 @@
 sorted term hashes, where each term's postings begin, and the word positions, ascending. Positions count over the texts
 of the shard end to end. ``search`` looks up the test terms in each shard, and for each window of an item begins with
 the postings of the window's rarest term there, shifted by its offset; the other terms' lists, rarest first, keep only
-starts that they hold at their own offset (``slop`` 0: exact phrase; more: each term within so many words of its place).
+starts that they hold at their own offset in the same document (``slop`` 0: exact phrase; more: each term within so many
+words of its place, for one start of the window).
 Shards are independent: nothing is shuffled, no term's list is gathered, and a lost executor repeats single shards.
 
 Terms are 64-bit hashes of words; two words of a corpus share one with a probability under 2**-24 for 10**6 terms looked
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, Words, by_slice, byte_class, ship, stored, utf8
+from tessera.llm.common import U64, Words, by_slice, byte_class, fresh, ship, stored, utf8
 
 #: A-Z are folded first; the word characters are 0-9, a-z and all beyond ASCII.
 MEMBER = byte_class(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
+SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 2_000_000  # items are searched in blocks of at most so many words (one longer item: alone)
 
 
@@ -46,7 +48,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.record_batch([ids, *(pa.array([b.tobytes()], pa.binary()) for b in blobs), name], ["ids", "first", "terms", "begin", "positions", "shard"])
 
     schema = T.StructType([T.StructField("ids", T.ArrayType(picked.schema["id"].dataType))] + [T.StructField(c, T.BinaryType()) for c in ("first", "terms", "begin", "positions")] + [T.StructField("shard", T.StringType())])
-    return stored(picked.mapInArrow(by_slice(shard), schema), "postings")
+    return stored(picked.mapInArrow(by_slice(shard, most=SHARD_BYTES), schema), "postings")
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, np.ndarray]]]:
@@ -79,31 +81,36 @@ class Shard:
     def postings(self, number: int) -> np.ndarray:
         return self.positions[self.begin[number] : self.begin[number + 1]]
 
-    def phrase(self, numbers: np.ndarray, frequency: np.ndarray, slop: int) -> np.ndarray:
-        """Where windows of these terms start, within one text."""
+    def phrase(self, numbers: np.ndarray, frequency: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts s in one text each, and the numbers of the texts, such that each term k is there from s + k - slop to s + k + slop."""
         order = np.argsort(frequency, kind="stable")
-        start = self.postings(numbers[order[0]]).astype(np.int64) - order[0]
-        start = start[(start >= 0) & (start + len(numbers) <= self.first[-1])]
-        if len(start):
-            start = start[np.searchsorted(self.first, start, "right") == np.searchsorted(self.first, start + len(numbers) - 1, "right")]
+        held = self.postings(numbers[order[0]]).astype(np.int64)
+        doc = np.searchsorted(self.first, held, "right") - 1
+        start = held - order[0]
+        if slop:
+            shifts = np.arange(-slop, slop + 1)
+            start, doc = (start[:, None] + shifts).ravel(), np.repeat(doc, len(shifts))
         for k in order[1:]:
             if not len(start):
                 break
-            held = self.postings(numbers[k])
-            at = np.searchsorted(held, start + k - slop)
+            held, low, high = self.postings(numbers[k]), self.first[doc], self.first[doc + 1]
+            at = np.searchsorted(held, np.maximum(start + k - slop, low))
             found = at < len(held)
-            found[found] = held[at[found]] <= start[found] + k + slop
-            start = start[found]
-        return start
+            found[found] = held[at[found]] < np.minimum(start + k + slop + 1, high)[found]
+            start, doc = start[found], doc[found]
+        return start, doc
 
 
 def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 2, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per indexed document: id, n_words, n_hit (words inside an occurrence of a window), items (ids as strings,
-    sorted) with exact occurrences, near_items (those whose window occurs with each term within ``slop`` words of its place).
+    sorted) with exact occurrences, near_items (those with a window such that, for one start, the document has each term
+    within ``slop`` words of its place).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and
     empty texts have no words, null items match nothing; an item id that is repeated counts once; repeated documents
-    have a row each. Items are held in blocks of bounded size; each block is a pass over the index.
+    have a row each, ids may be null. An empty index gives no rows; an empty benchmark gives every document, without hits.
+    Other columns are ignored, whatever their names. A text longer than a shard makes a shard of its own. Items are held in
+    blocks of bounded size; each block is a pass over the index.
     """
     parts = [_search_block(index, block, window, slop) for block in item_blocks(items, item_id, item_text)]
     out = reduce(DataFrame.unionByName, parts)
@@ -137,14 +144,14 @@ def _search_block(index: DataFrame, block: list[tuple[str, np.ndarray]], window:
                     size = min(window, len(at))
                     for w in np.flatnonzero(sliding_window_view(frequency[at], size).min(axis=1)):
                         term = at[w : w + size]
-                        start = shard.phrase(number[term], frequency[term], 0)
+                        start, doc = shard.phrase(number[term], frequency[term], 0)
                         for k in range(size):
                             hit[start + k] = True
-                        for doc in np.unique(np.searchsorted(shard.first, start, "right") - 1).tolist():
-                            exact.setdefault(doc, set()).add(item)
+                        for d in np.unique(doc).tolist():
+                            exact.setdefault(d, set()).add(item)
                         if slop:
-                            for doc in np.unique(np.searchsorted(shard.first, shard.phrase(number[term], frequency[term], slop), "right") - 1).tolist():
-                                near.setdefault(doc, set()).add(item)
+                            for d in np.unique(shard.phrase(number[term], frequency[term], slop)[1]).tolist():
+                                near.setdefault(d, set()).add(item)
                 where = np.flatnonzero(hit)
                 cut = np.searchsorted(where, shard.first)
                 rows = range(len(ids))
@@ -157,4 +164,4 @@ def _search_block(index: DataFrame, block: list[tuple[str, np.ndarray]], window:
 
     kind = index.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("near_items", T.ArrayType(T.StringType())), T.StructField("shard", T.StringType()), T.StructField("place", T.IntegerType())])
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(fresh(run), schema)

@@ -4,9 +4,13 @@ Every record is a gzip member of its own. Archives are written by Spark's text w
 handles lost executors on any file system: a row is the bytes of one member, and the line separator is an empty gzip
 member, which readers of concatenated members pass over.
 
-A reading task has a byte range. It looks for the gzip magic there, validates each candidate by inflating its first
-bytes (they must be a WARC version line), and owns the records whose member starts inside the range; it follows a member
-past the end of the range as far as the member goes, and a false magic inside compressed data is never owned.
+Reading takes two passes over byte ranges. In the first, a task looks for the gzip magic in its range and decodes what
+starts there; a candidate is a member if it inflates to its end with the right checksum. A stored member may embed whole
+members, so a candidate is one of the archive only if it lies where the member before it ends. A range can't know that by
+itself, but it knows where its chain of members leaves it for any place at which the chain may enter: a step function of
+few steps (one, where nothing is embedded). These are composed range by range for each file, which gives every range its
+entry. In the second pass a task goes from the entry from member to member, and owns the records whose member starts inside
+its range; it follows the last one past the end. After damage, both passes go on with the next candidate.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import by_slice, shared_path, ship
+from tessera.llm.common import by_slice, fresh, shared_path, ship, stored
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
@@ -125,35 +130,67 @@ def inflate(source: Source, at: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(unpack.unused_data)
 
 
-def is_record(source: Source, at: int) -> bool:
-    """Whether a member that starts here begins with a WARC version line."""
+def member_end(source: Source, at: int) -> int | None:
+    """Where the member at ``at`` ends, without keeping its content; None if there is no whole member."""
+    unpack, size = zlib.decompressobj(31), 4096
     try:
-        return zlib.decompressobj(31).decompress(source.read(at, 512), 5).startswith(b"WARC/")
+        while not unpack.eof:
+            data = source.read(at, size)
+            if not data:
+                return None
+            at, size = at + len(data), READ_BYTES
+            while data and not unpack.eof:
+                unpack.decompress(data, READ_BYTES)
+                data = unpack.unconsumed_tail
     except zlib.error:
-        return False
+        return None
+    return at - len(unpack.unused_data)
 
 
-def records(source: Source, start: int, end: int) -> Iterator[bytes]:
-    """The contents of the records whose members start in [start, end)."""
-    at, window, base = start, b"", start
+def magics(source: Source, start: int, end: int) -> Iterator[int]:
+    """The places of the gzip magic in [start, end)."""
+    at = start
     while at < end:
-        if not base <= at <= base + len(window) - len(MAGIC):
-            base, window = at, source.read(at, min(READ_BYTES, end - at) + len(MAGIC) - 1)
-            if len(window) < len(MAGIC):
-                return
-        found = window.find(MAGIC, at - base)
-        if found < 0:
-            at = base + len(window) - len(MAGIC) + 1
-            continue
-        at = base + found
-        if at >= end:
-            return
-        member = inflate(source, at) if is_record(source, at) else None
-        if member is None:
-            at += 1
+        window, found = source.read(at, min(READ_BYTES, end - at) + len(MAGIC) - 1), -1
+        while (found := window.find(MAGIC, found + 1)) >= 0:
+            yield at + found
+        at += READ_BYTES
+
+
+def survey(source: Source, start: int, end: int) -> tuple[list[int], list[int]]:
+    """The steps (last entry, exit) of the range: a chain that enters at most at the one, and after the step before, leaves at the other."""
+    members = [(at, stop) for at in magics(source, start, end) if (stop := member_end(source, at)) is not None]
+    starts, exits = [at for at, _ in members], [0] * len(members)
+    for k in range(len(members) - 1, -1, -1):
+        after = bisect_left(starts, members[k][1])
+        exits[k] = exits[after] if after < len(members) else members[k][1]
+    last = [k for k in range(len(members)) if k + 1 == len(members) or exits[k] != exits[k + 1]]
+    return [starts[k] for k in last], [exits[k] for k in last]
+
+
+def entries(starts: list[int], steps: list[tuple[list[int], list[int]]]) -> list[int]:
+    """Where the chain of members enters each range of a file, in order (in its end, if it passes the range over)."""
+    out, at = [], 0
+    for start, (last, exits) in zip(starts, steps):
+        at = max(at, start)
+        out.append(at)
+        if (k := bisect_left(last, at)) < len(last):
+            at = exits[k]
+    return out
+
+
+def records(source: Source, entry: int, end: int) -> Iterator[bytes]:
+    """The contents of the records whose members start in [entry, end); entry is where a member ends, or the next one is to be looked for."""
+    at = entry
+    while at < end:
+        for candidate in magics(source, at, end):
+            if (member := inflate(source, candidate)) is not None:
+                break
         else:
-            yield member[0]
-            at = member[1]
+            return
+        content, at = member
+        if content.startswith(b"WARC/"):
+            yield content
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -173,14 +210,30 @@ def read(spark: SparkSession, path: str, id_type: T.DataType | str = "bigint", s
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start"))
-    parts = max(1, ranges.count())
-    ranges = ranges.repartition(min(parts, 100_000), "path", "start")
+    parts = min(max(1, ranges.count()), 100_000)
+
+    def look(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                source = Source(row["path"], row["length"])
+                last, exits = survey(source, row["start"], min(row["start"] + split_bytes, row["length"]))
+                source.close()
+                yield pa.record_batch([pa.array([row[c]], t) for c, t in (("path", pa.string()), ("length", pa.int64()), ("start", pa.int64()))] + [pa.array([x], pa.list_(pa.int64())) for x in (last, exits)], ["path", "length", "start", "last", "exits"])
+
+    def enter(own: pa.Table) -> pa.Table:
+        own = own.sort_by("start")
+        found = entries(own["start"].to_pylist(), list(zip(own["last"].to_pylist(), own["exits"].to_pylist())))
+        return pa.table([own["path"], own["length"], own["start"], pa.array(found, pa.int64())], ["path", "length", "start", "entry"])
+
+    steps = ranges.repartition(parts, "path", "start").mapInArrow(fresh(look), "path string, length bigint, start bigint, last array<bigint>, exits array<bigint>")
+    placed = stored(steps.groupBy("path").applyInArrow(enter, "path string, length bigint, start bigint, entry bigint"), "ranges")
+    ranges = placed.where(F.col("entry") < F.least(F.col("start") + split_bytes, "length")).repartition(parts, "path", "start")
 
     def scan(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 source, rows, held = Source(row["path"], row["length"]), [], 0
-                for content in records(source, row["start"], min(row["start"] + split_bytes, row["length"])):
+                for content in records(source, row["entry"], min(row["start"] + split_bytes, row["length"])):
                     fields, payload = parse(content)
                     kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
                     if kind == "response":
@@ -196,7 +249,7 @@ def read(spark: SparkSession, path: str, id_type: T.DataType | str = "bigint", s
                 source.close()
                 yield _batch(rows)
 
-    out = ranges.mapInArrow(scan, "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload string")
+    out = ranges.mapInArrow(fresh(scan), "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload string")
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 

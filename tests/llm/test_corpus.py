@@ -75,6 +75,29 @@ def test_proximity(spark):
     assert got == {1: ([], ["1"]), 2: ([], []), 3: (["1"], ["1"])}
 
 
+@pytest.mark.parametrize("slop", [1, 2])
+def test_near_items_by_brute_force(spark, slop):
+    rnd = random.Random(slop)
+    rows = [(i, " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 9)))) for i in range(80)] + [(80, "a a"), (81, "z b c d"), (None, "c"), (83, None)]
+    items = [(k, " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 6)))) for k in range(30)] + [(90, "a b c d"), (91, None)]
+    index = decontamination.build_index(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as first", "2 as shard"))
+    got = {r["id"]: r["near_items"] for r in decontamination.search(index, spark.createDataFrame(items, "item_id long, text string"), 4, slop).collect()}
+
+    def near(w, x):
+        return any(all(any(w[p] == x[k] for p in range(max(0, s + k - slop), min(len(w), s + k + slop + 1))) for k in range(len(x))) for s in range(-9, len(w) + 9))
+
+    for i, t in rows:
+        want = {str(k) for k, text in items if (x := words(text)) and any(near(words(t), x[a : a + 4]) for a in range(max(1, len(x) - 3)))}
+        assert got[i] == sorted(want), (t, got[i], want)
+
+
+def test_decontamination_of_nothing(spark):
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontamination.search(decontamination.build_index(spark.createDataFrame([], DOCS)), items).count() == 0
+    index = decontamination.build_index(spark.createDataFrame([(1, "a b"), (1, "a b")], DOCS))
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in decontamination.search(index, items.limit(0)).collect()] == [(2, 0, [])] * 2
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (2, "v", "same"), (None, "x", "same"), (None, None, None), (5, "a b\n", ""), (6, "q", "é" * 5000), (7, "z", "\x1f�\x08" * 50)]
     path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
@@ -91,16 +114,40 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, empty).count() == 0
 
 
-def test_warc_ignores_false_magic(tmp_path):
+def chained(source, size, step):
+    starts = list(range(0, size, step))
+    ends = [min(b + step, size) for b in starts]
+    found = warc.entries(starts, [warc.survey(source, b, e) for b, e in zip(starts, ends)])
+    return [c for entry, e in zip(found, ends) for c in warc.records(source, entry, e)]
+
+
+def stored_member(content):
+    pack = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return pack.compress(content) + pack.flush()
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_warc_members_embedded_in_a_member(tmp_path, depth):
     first = warc.record("1", None, b"x" * 10, "D", None)
-    junk = zlib.compressobj(0, zlib.DEFLATED, 31)
-    stored = junk.compress(b"WARC/1.1\r\nA: b\r\n\r\n" + warc.MAGIC * 100) + junk.flush()
-    (tmp_path / "a").write_bytes(first + warc.EMPTY + stored + warc.EMPTY + first)
+    inner = first
+    for _ in range(depth):
+        inner = stored_member(b"WARC/1.1\r\nA: b\r\n\r\n" + inner * 3 + warc.MAGIC * 100)
+    (tmp_path / "a").write_bytes(first + warc.EMPTY + inner + warc.EMPTY + first + inner)
+    size = (tmp_path / "a").stat().st_size
+    for step in (7, 40, 50, 200, 333, size):
+        got = chained(warc.Source(str(tmp_path / "a"), size), size, step)
+        assert len(got) == 4 and got[0] == got[2] and got[1] == got[3] and got[1].startswith(b"WARC/1.1\r\nA")
+
+
+def test_warc_goes_on_after_damage(tmp_path):
+    parts = [warc.record(str(k), None, bytes([k]) * 50, "D", None) for k in range(5)]
+    damaged = bytearray(parts[2])
+    damaged[len(damaged) // 2] ^= 255
+    (tmp_path / "a").write_bytes(parts[0] + b"junk" + parts[1] + damaged + warc.EMPTY + parts[3] + parts[4][:-9])
     size = (tmp_path / "a").stat().st_size
-    for step in (7, 50, size):
-        source = warc.Source(str(tmp_path / "a"), size)
-        got = [c for b in range(0, size, step) for c in warc.records(source, b, min(b + step, size))]
-        assert len(got) == 3 and got[0] == got[2]
+    for step in (11, 100, size):
+        got = chained(warc.Source(str(tmp_path / "a"), size), size, step)
+        assert [warc.parse(c)[0]["x-page-id"] for c in got] == ["0", "1", "3"]
 
 
 def test_jaccard_components(spark, monkeypatch):
