@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Words, byte_class, grams, mix, ship, slices, stored, utf8
+from tessera.llm.common import U64, Words, byte_class, fresh, grams, mix, scratch, ship, slices, stored, utf8
 from tessera.operators.closure import components
 
 #: Words are what stands between blanks, tabs and line ends; A-Z are folded.
 MEMBER = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
-FREQUENT, BUFFER = 200_000, 2_000_000
+FREQUENT, BUFFER = 200_000, 600_000
 MOST_FREQUENT = 500_000
-LEAF, WINDOWS, SEEN = 1024, 8, 1_000_000
+LEAF, WINDOWS, SEEN = 1024, 8, 200_000
 SLICES, FINE, LONG = 128, 1024, 1500  # sets of more than LONG shingles have profiles of FINE slices
 MOST_BROADCAST_ROWS = 500_000
 
@@ -130,7 +130,7 @@ def frequencies(picked: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         often = held.counts > 1
         yield pa.record_batch([pa.array(held.items[often].view(np.int64)), pa.array(held.counts[often])], ["token", "c"])
 
-    counted = picked.mapInArrow(summary, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    counted = picked.mapInArrow(fresh(summary), "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
     rows = counted.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).toArrow()
     tokens = rows["token"].to_numpy().astype(np.int64).view(U64)
     order = np.argsort(tokens)
@@ -164,7 +164,7 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
                 own = sets(piece.column(1), n)
                 yield pa.record_batch([piece.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(map(node, own), pa.int64()), pa.array(map(profile, own), pa.binary())], ["id", "n", "node", "profile"])
 
-    named = stored(picked.mapInArrow(name, f"id {kind}, n bigint, node bigint, profile binary"), "nodes")
+    named = stored(picked.mapInArrow(fresh(name), f"id {kind}, n bigint, node bigint, profile binary"), "nodes")
     held = spark.sparkContext.broadcast(frequencies(picked, n))  # at most MOST_FREQUENT
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,10 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
 
     found = named.where("n > 0")
     profiles = found.groupBy("node").agg(F.first("profile").alias("profile"), F.first("n").alias("n"))
-    links = linked_nodes(picked, picked.mapInArrow(first, "token bigint, node bigint"), profiles, percent, n)
+    with scratch(spark) as keep:
+        links = linked_nodes(picked, picked.mapInArrow(fresh(first), "token bigint, node bigint"), profiles, percent, n)
+        if hasattr(links, "stored_in"):
+            keep(links)
     classes = found.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     joined = components(links)
     classes = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -252,7 +255,7 @@ def _join_leaves(regions: DataFrame, held: DataFrame, percent: int) -> DataFrame
             yield pa.record_batch([pa.array(names[[a for a, _ in found]]), pa.array(names[[b for _, b in found]])], ["a", "b"])
 
     joined = _with_sets(regions, held).repartition("region").sortWithinPartitions("region").select("region", "node", "root", "shingles")
-    return joined.mapInArrow(leaves, "a bigint, b bigint")
+    return joined.mapInArrow(fresh(leaves), "a bigint, b bigint")
 
 
 def _apart(regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -272,7 +275,7 @@ def _apart(regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([pa.array(np.concatenate(r)) for r in rows], columns)
 
     joined = regions.join(profiles, "node").repartition("region").sortWithinPartitions("region")
-    return joined.select("region", "node", "m", "root", "profile", "n").mapInArrow(choose, "region bigint, node bigint, m bigint, root bigint")
+    return joined.select("region", "node", "m", "root", "profile", "n").mapInArrow(fresh(choose), "region bigint, node bigint, m bigint, root bigint")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -373,7 +376,7 @@ def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFr
             r = np.concatenate([np.full(linked.sum(), region, np.int64), region_of[j].view(np.int64)])
             yield pa.record_batch([pa.array(np.full(len(a), region)), pa.array(r), pa.array(a), b], ["parent", "region", "node", "b"])
 
-    return both.select("region", "node", "chunk", "kind", "shingles").mapInArrow(deal, "parent bigint, region bigint, node bigint, b bigint")
+    return both.select("region", "node", "chunk", "kind", "shingles").mapInArrow(fresh(deal), "parent bigint, region bigint, node bigint, b bigint")
 
 
 def _blocks(stuck: DataFrame, leaf: int) -> DataFrame:
@@ -397,7 +400,7 @@ def node_sets(picked: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 keep = np.isin(names, wanted.value) if wanted.value is not None else np.ones(len(names), bool)
                 yield pa.record_batch([pa.array(names[keep]), pa.array([s.tobytes() for s, k in zip(own.values(), keep.tolist()) if k], pa.binary())], ["node", "shingles"])
 
-    all_sets = picked.mapInArrow(whole, "node bigint, shingles binary")
+    all_sets = picked.mapInArrow(fresh(whole), "node bigint, shingles binary")
     if few > MOST_BROADCAST_ROWS:
         all_sets = all_sets.join(nodes, "node", "left_semi")
     return stored(all_sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
