@@ -258,18 +258,79 @@ def trained(spark, sf):
     return docs, labels, kneser_ney.train(kneser_ney.trusted_sample(docs, labels, 60))
 
 
-def test_kneser_ney_sums_to_one(trained):
-    model = kneser_ney.gathered(trained[2])
-    w = np.arange(len(model.uni))
-    contexts = [0, (7 << kneser_ney.BITS) | 9, *model.ctx3[0][:: max(1, len(model.ctx3[0]) // 5)].tolist()]
-    assert all(abs(np.exp(model.log_p((c << kneser_ney.BITS) | w)).sum() - 1) < 1e-9 for c in contexts)
+def test_kneser_ney_sums_to_one(spark, trained):
+    shards = trained[2]
+    some = [r["context"] for r in shards["ctx3"].orderBy("context").collect()]
+    contexts = sorted({0, (7 << kneser_ney.BITS) | 9, *some[:: max(1, len(some) // 5)]})
+    keyed = spark.createDataFrame(pa.table({"key": np.concatenate([(np.int64(c) << kneser_ney.BITS) | np.arange(len(shards["uni"])) for c in contexts])}))
+    sums = kneser_ney.log_probabilities(keyed, shards, lambda x: x).groupBy("uv").agg(F.sum(F.exp("log_p")).alias("p")).collect()
+    assert len(sums) == len(contexts) and all(abs(r["p"] - 1) < 1e-9 for r in sums)
 
 
-def test_scores_by_joins_are_the_same(trained):
+def test_scores_by_shuffled_joins_are_the_same(trained, monkeypatch):
     docs, _, shards = trained
-    few = docs.limit(40)
-    a, b = ({r["id"]: (r["n_tokens"], round(r["log_p"], 6)) for r in kneser_ney.score(few, shards, most_rows=m).collect()} for m in (10**9, 0))
-    assert a == b
+    few = docs.limit(40).unionByName(docs.limit(3))
+    got = []
+    for most, hot in ((10**9, 10), (0, 10), (0, 10**6)):
+        monkeypatch.setattr(kneser_ney, "MOST_BROADCAST_ROWS", most)
+        monkeypatch.setattr(kneser_ney, "HOT_SHARE", hot)
+        got.append(sorted((r["id"], r["lang"], r["n_tokens"], round(r["log_p"], 6)) for r in kneser_ney.score(few, shards).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 43
+
+
+def plain_kneser_ney(texts, vocabulary, more):
+    """Probability of w after (u, v): interpolated modified Kneser-Ney of order 3 by its definition; more: symbols besides the vocabulary."""
+    rows = [["<s>", "<s>", *t] for t in texts]
+    tri = collections.Counter((r[k - 2], r[k - 1], r[k]) for r in rows for k in range(2, len(r)))
+    bi = collections.Counter((v, w) for _, v, w in tri)
+    uni = collections.Counter(w for _, w in bi)
+
+    def discount(counts):
+        n = collections.Counter(counts.values())
+        if not n[1] or not n[2]:
+            d = (0.5, 0.75, 0.9)
+        else:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    d1, d2, d3 = map(discount, (uni, bi, tri))
+
+    def p1(w):
+        total = sum(uni.values())
+        return (uni[w] - d1(uni[w])) / total + sum(map(d1, uni.values())) / total / (len(vocabulary) + more)
+
+    def level(counts, d, context, w, lower):
+        own = {k[-1]: c for k, c in counts.items() if k[:-1] == context}
+        if not own:
+            return lower
+        total = sum(own.values())
+        return ((own[w] - d(own[w])) / total if w in own else 0.0) + sum(map(d, own.values())) / total * lower
+
+    return lambda u, v, w: level(tri, d3, (u, v), w, level(bi, d2, (v,), w, p1(w)))
+
+
+def test_kneser_ney_by_brute_force(spark):
+    rnd, voc = random.Random(9), [f"word{k}" for k in range(12)]
+
+    def sentence(n):
+        out = [rnd.choice(voc)]
+        while len(out) < n:  # no word twice in a row: that is a symbol of its own
+            out.append(rnd.choice([w for w in voc[: rnd.choice((3, 12))] if w != out[-1]]))
+        return out
+
+    texts = [sentence(rnd.randint(1, 15)) for _ in range(40)] + [voc[k:] + voc[:k] for k in range(3)]
+    shards = kneser_ney.train(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string"))
+    assert len(shards["vocabulary"]) == len(voc)
+    p = plain_kneser_ney(texts, voc, kneser_ney.FIRST_WORD)
+    new = [sentence(rnd.randint(1, 25)) for _ in range(30)]
+    want = {k: (len(t), sum(math.log(p(*x)) for x in zip(["<s>", "<s>", *t], ["<s>", *t], t))) for k, t in enumerate(new)}
+    rows = [(k, " ".join(t)) for k, t in enumerate(new)] + [(100, None), (101, ""), (102, " ")]
+    got = {r["id"]: (r["n_tokens"], r["log_p"]) for r in kneser_ney.score(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as key", "2 as row"), shards).collect()}
+    assert {k: got.pop(k) for k in (100, 101, 102)} == dict.fromkeys((100, 101, 102), (0, 0.0))
+    assert got.keys() == want.keys()
+    for k, (n, log_p) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - log_p) < 1e-9 * max(1, abs(log_p))
 
 
 def test_classifier_keeps_trusted_and_rejects_junk(spark):
