@@ -1,22 +1,24 @@
 """Jaccard similarity join of n-gram sets in their metric space (operator 9).
 
-The Jaccard distance is a metric. Unrelated documents share nothing, so they are at distance 1 from each other and from
-any pivot document; a Voronoi partition around documents alone would put all of them in one region. The first pivots are
-therefore single shingles: the distance of a set x to {s} is 1 - 1/|x| if s is in x, else 1. Two sets within the limit
-share a shingle among the first |x| - ceil(0.85 |x|) + 1 of each, in any order of shingles that all documents share. So a
-document belongs to the regions of those first shingles only (a boundary window of regions; the others can't hold a
-partner that these miss). The order is rarest first, by a mergeable frequent-items summary over all documents, so that
-frequent lines and passages come last. Of each such region the document with the smallest hash is the pivot, and the
-regions with the same pivot unite.
-
-Then regions join recursively. In a region of more than ``LEAF`` members some are drawn as pivots, and all members are
-compared with them. Members within the limit r link to a pivot. A member belongs to the Voronoi region of its nearest
-pivot, and to the region of any other pivot that is at most 2r further away (a partner in that region can't be nearer, by
-the triangle inequality). Regions whose members are all connected already are done: a group of copies of any size ends
-here. A region that splitting doesn't shrink is cut into blocks, and each pair of blocks is a region (of those members only
-that profiles, see below, allow a link with one that isn't connected yet). Regions of at
-most LEAF members are joined exactly, each in one task that holds their sets: its members serve as pivots in turn, and a
-pair is compared only where their distances to all earlier pivots differ by r at most and no links connect them yet.
+The Jaccard distance is a metric. Regions around pivot documents divide those that share something with a pivot, but all
+documents that share nothing are at distance 1 from each other and from any pivot, so that Voronoi regions of the whole
+corpus would leave most of it in one. The first division is therefore by content: two sets within the limit share a
+shingle among the first |x| - ceil(0.85 |x|) + 1 of each, in any order of shingles that all documents share, so a document
+belongs to the regions of those first shingles only. The order is rarest first, by a mergeable frequent-items summary over
+all documents, so that frequent lines and passages come last. Of each such region the document with the smallest hash gives
+the name, and regions of one name unite.
+
+Inside, regions join recursively (``voronoi``). Some members are drawn as pivots, and all members are compared with them.
+Members within the limit r link to a pivot. A member's home is the region of its nearest pivot, if that is nearer than
+1 - r, else the far region. A member is also replicated to the region of any other pivot that is at most 2r further away
+than its nearest one, and to the far region from 1 - 2r on: by the triangle inequality a partner's home is among these.
+Regions whose members are all connected already are done: a group of copies of any size ends here. A region of more than
+``LEAF`` members is divided by Spark in this way, and one that pivots don't shrink is cut into blocks, where each pair of
+blocks is a region (of those members only that profiles, see below, allow a link with one that isn't connected yet).
+Regions of at most LEAF members are divided further in one task that holds their sets, down to cells of ``CELL`` members.
+In a cell, members serve as pivots in turn, and a pair is compared only where their distances to all earlier pivots differ
+by r at most and no links connect them yet.
+
 Before whole sets are moved there, members are held against each other by their profiles: the distances to SLICES
 pivots, which are fixed slices of all shingles, in the metric of symmetric differences (the numbers of a set's shingles
 in each slice). By the triangle inequality their differences, added up, bound the symmetric difference of two sets from
@@ -44,7 +46,8 @@ from tessera.operators.closure import components
 MEMBER = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 FREQUENT, BUFFER = 200_000, 600_000
 MOST_FREQUENT = 500_000
-LEAF, WINDOWS, SEEN = 1024, 8, 200_000
+LEAF, CELL, WINDOWS, SEEN = 1024, 16, 8, 200_000
+HOT, SALTS = 50_000, 64
 SLICES, FINE, LONG = 128, 1024, 1500  # sets of more than LONG shingles have profiles of FINE slices
 MOST_BROADCAST_ROWS = 500_000
 
@@ -137,14 +140,15 @@ def frequencies(picked: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rows["c"].to_numpy().astype(np.int64)[order]
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first |s| - ceil(percent |s| / 100) + 1 shingles, rarest first."""
+def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first |s| - ceil(percent |s| / 100) + 1 shingles, rarest first, and their known counts."""
     size = len(s) - -(-percent * len(s) // 100) + 1
     if not len(frequent):
-        return s[:size]
+        return s[:size], np.zeros(size, np.int64)
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     c = np.where(frequent[at] == s, counts[at], 0)
-    return s[np.lexsort((s, c))[:size]]
+    first = np.lexsort((s, c))[:size]
+    return s[first], c[first]
 
 
 def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,13 +179,15 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
                 own = {name: s for name, s in own.items() if name not in seen}
                 seen = seen | own.keys() if len(seen) < SEEN else {*own}
                 parts = [prefix(s, *held.value, percent) for s in own.values()]
-                tokens = np.concatenate(parts) if parts else np.zeros(0, U64)
-                yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), [*map(len, parts)]))], ["token", "node"])
+                tokens, counts = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64))
+                nodes = np.repeat(np.array([*own], np.int64), [len(t) for t, _ in parts])
+                salts = np.where(counts >= HOT, 1 + nodes % SALTS, 0).astype(np.int32)
+                yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(salts), pa.array(nodes)], ["token", "salt", "node"])
 
     found = named.where("n > 0")
     profiles = found.groupBy("node").agg(F.first("profile").alias("profile"), F.first("n").alias("n"))
     with scratch(spark) as keep:
-        links = linked_nodes(picked, picked.mapInArrow(fresh(first), "token bigint, node bigint"), profiles, percent, n)
+        links = linked_nodes(picked, picked.mapInArrow(fresh(first), "token bigint, salt int, node bigint"), profiles, percent, n)
         if hasattr(links, "stored_in"):
             keep(links)
     classes = found.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
@@ -196,11 +202,17 @@ def link(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id",
 
 
 def linked_nodes(picked: DataFrame, tokens: DataFrame, profiles: DataFrame, percent: int, n: int, leaf: int = LEAF) -> DataFrame:
-    """Links (a, b) between nodes that connect all nodes which a path of pairs within the limit connects."""
+    """Links (a, b) between nodes that connect all nodes which a path of pairs within the limit connects.
+
+    tokens: (token, salt, node); rows of frequent tokens are dealt by their salt, too, others have salt 0.
+    """
     spark = picked.sparkSession
-    rows = tokens.repartition("token").dropDuplicates(["token", "node"])  # a node comes once from a task, so copies are few here
-    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", F.lit(5))).alias("region")).where("m > 1").drop("m")
-    regions = stored(rows.join(groups, "token").select("region", "node").distinct(), "regions")
+    rows = tokens.repartition("token", "salt").dropDuplicates(["token", "salt", "node"])  # a node comes once from a task, so copies are few here
+    groups = rows.groupBy("token", "salt").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(5)).alias("at"), "node")).alias("least"), F.max("salt").alias("salted"))
+    salted = groups.where("salted > 0").groupBy("token").agg(F.sum("m").alias("all_m"), F.min("least").alias("all_least"))  # at most MOST_FREQUENT
+    groups = groups.join(F.broadcast(salted), "token", "left").where(F.coalesce("all_m", "m") > 1)
+    regions = rows.join(groups.select("token", "salt", F.coalesce("all_least", "least")["node"].alias("region")), ["token", "salt"])
+    regions = stored(regions.select("region", "node").distinct(), "regions")
     if not regions.take(1):
         return spark.createDataFrame([], "a bigint, b bigint")
     # root: a name that members share which links connect already
@@ -308,27 +320,66 @@ def overlaps(s: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return np.add.reduceat((s[at] == flat).astype(np.int64), offsets[:-1])
 
 
+def voronoi(members: list[np.ndarray], own: np.ndarray, pivots: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(membership, within): which of the members own belongs to the region of each pivot (a row each, the far region last), and which are within the limit of it."""
+    sizes = np.array([len(members[k]) for k in own])
+    flat, offsets = np.concatenate([members[k] for k in own]), np.concatenate([[0], np.cumsum(sizes)])
+    shared = np.stack([overlaps(members[p], flat, offsets) for p in pivots])
+    united = sizes + np.array([[len(members[p])] for p in pivots]) - shared
+    return regions_of(1 - shared / united, 1 - percent / 100), 100 * shared >= percent * united
+
+
+def regions_of(distance: np.ndarray, limit: float) -> np.ndarray:
+    """Membership (regions x members) by distances (pivots x members): near regions by windows of 2 x limit, and the far one."""
+    nearest = distance.min(axis=0)
+    near = (distance <= nearest + 2 * limit + 1e-9) & (distance < 1)
+    return np.vstack([near, nearest >= 1 - 2 * limit - 1e-9])
+
+
 def join_region(members: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links by number that connect what pairs of members within the limit connect; members of equal roots are connected already."""
-    m = len(members)
-    sizes = np.array([len(s) for s in members])
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    items, flat = np.unique(np.concatenate(members), return_inverse=True)
-    mark = np.zeros(len(items), bool)
     _, group = np.unique(roots, return_inverse=True)
-    found, seen, groups = [], [], int(group.max()) + 1
-    limit = 1 - percent / 100 + 1e-9
+    found: list[tuple[int, int]] = []
+
+    def unite(x: int, y: int) -> None:
+        if group[x] != group[y]:
+            group[group == group[y]] = group[x]
+            found.append((x, y))
+
+    waiting, drawn = [np.arange(len(members))], np.random.default_rng(len(members))
+    while waiting:
+        own = waiting.pop()
+        if (group[own] == group[own[0]]).all():
+            continue
+        if len(own) > CELL:
+            pivots = drawn.choice(own, -(-len(own) // CELL) + 1, replace=False)
+            inside, within = voronoi(members, own, pivots, percent)
+            for p, k in zip(*np.nonzero(within)):
+                unite(int(pivots[p]), int(own[k]))
+            counts = inside.sum(axis=1)
+            if counts.sum() <= 1.5 * len(own) and counts.max() <= 0.8 * len(own):
+                waiting += [own[x] for x in inside if x.sum() > 1]
+                continue
+        join_cell(members, own, group, unite, percent)
+    return found
+
+
+def join_cell(members: list[np.ndarray], own: np.ndarray, group: np.ndarray, unite, percent: int) -> None:
+    """Compare the members own with each other, but for pairs that sizes, distances to earlier ones or links rule out."""
+    m, sizes = len(own), np.array([len(members[k]) for k in own])
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    items, flat = np.unique(np.concatenate([members[k] for k in own]), return_inverse=True)
+    mark, seen, limit = np.zeros(len(items), bool), [], 1 - percent / 100 + 1e-9
     for x in range(m - 1):
         y = np.arange(x + 1, m)
-        open_pair = (group[y] != group[x]) & (100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x]))
+        open_pair = (group[own[y]] != group[own[x]]) & (100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x]))
         for d in seen:
             open_pair &= np.abs(d[y] - d[x]) <= limit
         y = y[open_pair]
         if not len(y):
             continue
         mark[flat[offsets[x] : offsets[x + 1]]] = True
-        whole = len(seen) < WINDOWS and len(y) > 16
-        if whole:
+        if len(seen) < WINDOWS and len(y) > 16:
             shared = np.add.reduceat(mark[flat].astype(np.int32), offsets[:-1])
             seen.append(1 - shared / (sizes + sizes[x] - shared))
             shared = shared[y]
@@ -336,12 +387,9 @@ def join_region(members: list[np.ndarray], roots: np.ndarray, percent: int) -> l
             shared = np.array([np.count_nonzero(mark[flat[offsets[k] : offsets[k + 1]]]) for k in y])
         mark[flat[offsets[x] : offsets[x + 1]]] = False
         for k in y[100 * shared >= percent * (sizes[y] + sizes[x] - shared)].tolist():
-            if group[k] != group[x]:
-                group[group == group[k]] = group[x]
-                found.append((x, k))
-        if len(found) == groups - 1:
-            break
-    return found
+            unite(int(own[x]), int(own[k]))
+        if (group[own] == group[own[0]]).all():
+            return
 
 
 def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFrame:
@@ -354,7 +402,6 @@ def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFr
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), chunks).cast("int")).withColumn("kind", F.lit(1))
     shown = members.where("pivot = 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("kind", F.lit(0))
     both = _with_sets(dealt.union(shown.select(dealt.columns)), held).repartition("region", "chunk").sortWithinPartitions("region", "chunk", "kind")
-    limit = 1 - percent / 100
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["region", "chunk"]):
@@ -362,15 +409,12 @@ def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFr
             region = group.column("region")[0].as_py()
             whole = [np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")]
             centres, own = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            sizes = np.array([len(whole[k]) for k in own])
-            flat, offsets = np.concatenate([whole[k] for k in own]), np.concatenate([[0], np.cumsum(sizes)])
-            shared = np.stack([overlaps(whole[c], flat, offsets) for c in centres])
-            united = sizes + np.array([[len(whole[c])] for c in centres]) - shared
-            distance = 1 - shared / united
-            c, k = np.nonzero(100 * shared >= percent * united)
+            inside, within = voronoi(whole, own, centres, percent)
+            c, k = np.nonzero(within)
             linked = names[own[k]] != names[centres[c]]
-            j, x = np.nonzero(distance <= distance.min(axis=0) + 2 * limit + 1e-9)
-            region_of = grams(np.concatenate([np.array([region], np.int64).view(U64)]), 1)[0] + mix(names[centres].view(U64))
+            j, x = np.nonzero(inside)
+            near = mix(names[centres].view(U64))  # the far region has the number 0
+            region_of = grams(np.array([region], np.int64).view(U64), 1)[0] + np.append(near, U64(0))
             a = np.concatenate([names[own[k]][linked], names[own[x]]])
             b = pa.array(np.concatenate([names[centres[c]][linked], np.zeros(len(x), np.int64)]), mask=np.concatenate([np.zeros(linked.sum(), bool), np.ones(len(x), bool)]))
             r = np.concatenate([np.full(linked.sum(), region, np.int64), region_of[j].view(np.int64)])

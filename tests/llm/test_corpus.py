@@ -184,6 +184,78 @@ def test_jaccard_components(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df).collect()} == want
 
 
+def near_copies(seed, groups, most):
+    rnd = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = rnd.integers(0, 2**62, rnd.integers(5, 150)).astype(np.uint64)
+        common = rnd.integers(0, 50, rnd.integers(0, 30)).astype(np.uint64)
+        for _ in range(rnd.integers(1, most)):
+            x = base.copy()
+            x[rnd.random(len(x)) < rnd.choice([0, 0.03, 0.2])] = rnd.integers(0, 2**62)
+            out.append(np.unique(np.concatenate([x, common])))
+    return out
+
+
+@pytest.mark.parametrize("cell", [3, 16])
+def test_regions_join_what_brute_force_joins(monkeypatch, cell):
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    divided, whole = [], jaccard_join.voronoi
+    monkeypatch.setattr(jaccard_join, "voronoi", lambda *a: divided.append(whole(*a)) or divided[-1])
+    for seed in range(12):
+        members = near_copies(seed, 12, 12)
+        edges = [(a, b) for a in range(len(members)) for b in range(a) if 100 * len(np.intersect1d(members[a], members[b])) >= 85 * len(np.union1d(members[a], members[b]))]
+
+        def labels(links, n=len(members)):
+            group = list(range(n))
+            for a, b in links:
+                group = [group[b] if g == group[a] else g for g in group]
+            return [group.index(g) for g in group]
+
+        found = jaccard_join.join_region(members, np.arange(len(members)), 85)
+        assert labels(found) == labels(edges) and set(map(frozenset, found)) <= set(map(frozenset, edges))
+    assert len(divided) >= 12
+
+
+def test_windows_hold_every_partner():
+    members = near_copies(99, 40, 10)
+    own, pivots = np.arange(len(members)), np.arange(0, len(members), 7)
+    inside, _ = jaccard_join.voronoi(members, own, pivots, 85)
+    for a in range(len(members)):
+        for b in range(a):
+            if 100 * len(np.intersect1d(members[a], members[b])) >= 85 * len(np.union1d(members[a], members[b])):
+                assert (inside[:, a] & inside[:, b]).any()
+
+
+def test_voronoi_regions_hold_members_of_the_tables(spark, monkeypatch):
+    """On the documents themselves, regions around pivots hold members, and each fewer than the region they divide."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] for r in docs.where("text is not null").orderBy("doc_id").collect()]
+    members = [s for s in jaccard_join.sets(pa.array(texts), 4) if len(s)]
+    calls, whole = [], jaccard_join.voronoi
+    monkeypatch.setattr(jaccard_join, "voronoi", lambda *a: calls.append(whole(*a)[0]) or whole(*a))
+    shared = collections.defaultdict(list)  # the regions of rare shingles
+    for k, s in enumerate(members):
+        for t in s[: len(s) - -(-85 * len(s) // 100) + 1].tolist():
+            shared[t].append(k)
+    large = sorted({tuple(v) for v in shared.values() if len(v) > jaccard_join.CELL}, key=len)[-5:]
+    assert large
+    for region in large:
+        jaccard_join.join_region([members[k] for k in region], np.arange(len(region)), 85)
+    assert calls and all(x[:-1].any() for x in calls) and sum((x[:-1].sum(axis=1) > 1).sum() for x in calls) > 0
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_frequent_tokens_are_salted(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    rows = [(k, "the same words in all of these documents again and again " + ("x " * 3 + str(k % 40)) * (k % 2)) for k in range(300)] + [(900, ""), (900, None), (None, "the same"), (901, "the same"), (901, "the same")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as token", "2 as region")).collect()}
+    monkeypatch.setattr(jaccard_join, "HOT", 10**9)
+    assert got == {(r["doc_id"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {(900, 900), (901, 901), (None, 901)} <= got
+    assert jaccard_join.link(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_frequent_items_are_bounded(monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 50)
     monkeypatch.setattr(jaccard_join, "BUFFER", 200)
