@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 MOST_BROADCAST_ROWS = 200_000
 ARROW_BYTES = 4 << 20
+#: Tables of blobs: by default, a writer looks at the size of a page or row group after 100 rows only, and holds 128 MB of each file.
+SMALL_PAGES = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 _scopes: list[list[str]] = []
 
 
@@ -60,7 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**SMALL_PAGES).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_in = path
     return out
