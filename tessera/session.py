@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[1])
 MOST_BROADCAST_ROWS = 200_000
@@ -94,3 +96,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 def discard(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number in the column name for each row that stays the same however often it is read: made of the file's
+    rank and the row's place in it if df is a plain scan of Parquet files, else stored with the rows."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not df.inputFiles():
+        return stored(df.select(*columns, F.monotonically_increasing_id().alias(name)), "numbered")
+    path = F.col("_metadata.file_path")
+    files = df.select(path.alias("file")).distinct().toArrow()["file"].to_pylist()  # a row for each file
+    ranks = df.sparkSession.createDataFrame(pa.table({"file_rank": pa.array(range(len(files)), pa.int64()), "ranked_file": pa.array(sorted(files), pa.string())}))
+    placed = df.select(*columns, path.alias("file_name"), F.col("_metadata.row_index").alias("row_place"))
+    joined = placed.join(F.broadcast(ranks) if len(files) <= MOST_BROADCAST_ROWS else ranks, F.col("file_name") == F.col("ranked_file"))
+    return joined.select(*columns, (F.shiftleft("file_rank", 40) + F.col("row_place")).alias(name))
