@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SLICE_BYTES, U64, fresh, mix, pack, resident, ship, slices, squeeze, stored, unpack, unsqueeze, utf8
+from tessera.llm.common import SLICE_BYTES, U64, fresh, mix, pack, release, resident, ship, slices, squeeze, stored, unpack, unsqueeze, utf8
 
 #: White space by every definition of it; Python's \s has also U+001C to U+001F.
 STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 ANCHOR = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 LAST_ANCHOR = re.compile(r"[\s\S]*[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 WINDOW, CUT_BITS = 16, 9
-BLOCK_BYTES = SHARD_BYTES = 4 << 20
-MOST_STRETCHES = 150_000
+BLOCK_BYTES = SHARD_BYTES = 2 << 20
+MOST_STRETCHES = 100_000
 NAME = 16  # bytes of a chunk's name
 EDGE = 4  # stretches at either end of a chunk that its blocks get
 _gear = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
@@ -253,6 +253,7 @@ def answer(codec, table: pa.Table) -> pa.Table:
                 texts[name] = raw[at : at + size].decode()
             at += size
     known = dict(zip(texts, codec().chunks([*texts.values()])))
+    release()
     return pa.table([table["shard"], table["block"], pa.array([dump([known[n] for n in names]) for names in asked], pa.binary())], ["shard", "block", "chunks"])
 
 
@@ -305,6 +306,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         columns = [ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(coded) if coded else [], pa.int32()))]
         if decoded:
             columns.append(pa.array([codec().decode(c.tolist()) for c in coded], pa.string()))
+        release()
         return pa.table(columns, schema.names)
 
     out = blocks.select("block", "ids", "counts", "codes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
