@@ -44,21 +44,28 @@ def plan(rows: DataFrame, requested: DataFrame) -> DataFrame:
     return both.select("spec_hash", "member", action.alias("action"))
 
 
-def materialize(rows: DataFrame, requested: DataFrame, at: Time) -> DataFrame:
-    """The membership rows after a pass at ``at``: closing sets end and computed_at of the open row, refreshing only its
-    computed_at, and a member that comes (back) gets a new row."""
-    steps = plan(rows, requested)
-    old = rows.join(steps.where("action <> 'open'"), ["spec_hash", "member"], "left")
-    touched = F.col("valid_to").isNull() & F.col("action").isNotNull()
-    kept = old.select(
+def steps(rows: DataFrame, requested: DataFrame, at: Time) -> tuple[DataFrame, DataFrame]:
+    """What a pass at ``at`` does: (new rows of members that come, or come back; all rows of the members that stay or go, after it).
+    Closing sets end and computed_at of the open row, refreshing only its computed_at."""
+    planned = plan(rows, requested)
+    held = rows.join(planned.where("action <> 'open'"), ["spec_hash", "member"])
+    touched = F.col("valid_to").isNull()
+    changed = held.select(
         "spec_hash",
         "member",
         "valid_from",
         F.when(touched & (F.col("action") == "close"), moment(at)).otherwise(F.col("valid_to")).alias("valid_to"),
         F.when(touched, moment(at)).otherwise(F.col("computed_at")).alias("computed_at"),
     )
-    new = steps.where("action = 'open'").select("spec_hash", "member", moment(at).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), moment(at).alias("computed_at"))
-    return kept.unionByName(new)
+    opened = planned.where("action = 'open'").select("spec_hash", "member", moment(at).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), moment(at).alias("computed_at"))
+    return opened, changed
+
+
+def materialize(rows: DataFrame, requested: DataFrame, at: Time) -> DataFrame:
+    """The membership rows after a pass at ``at``."""
+    opened, changed = steps(rows, requested, at)
+    kept = rows.join(plan(rows, requested).where("action <> 'open'"), ["spec_hash", "member"], "left_anti")
+    return kept.unionByName(changed).unionByName(opened)
 
 
 def check_pass(rows: DataFrame, requested: DataFrame, at: dt.datetime, now: dt.datetime, populations: DataFrame | None = None, concepts: DataFrame | None = None) -> None:

@@ -1,22 +1,30 @@
-"""A versioned Parquet store: immutable table folders, and a small pointer file that names the folder of each table.
+"""A versioned Parquet store: immutable folders, and a small pointer file that says which of them make up each table.
 
-A commit writes every changed table to a folder of its own, checks what was asked for on the written rows, and then
-writes the next pointer. A reader that holds a pointer sees one consistent version; what fails before the pointer leaves
-nothing visible. Pointers are numbered and created without overwriting, so that of two writers from one version one fails.
+A table is a list of parts. A part has rows that are added, or rows that take the place of those with the same key in the
+parts before it. So an insert writes its own rows, and an update those that change; after ``MOST_PARTS`` parts a commit
+writes the table anew. A commit writes its parts, checks what was asked for on the tables as they would be, and then
+publishes the next pointer: it is written aside and moved to its number, without overwriting. A reader that holds a pointer
+sees one version; what fails before that is deleted and was never visible; of two writers from one version one fails. The
+move is atomic where the file system's rename is (HDFS, local files), not on plain object stores.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import discard
+
+MOST_PARTS = 32
 TABLES = {
-    "concept": "concept_id string, type string, title string, body string, file_hash string, retired_at timestamp_ntz, concept_type string, description string, resource_uri string, tags array<string>, program string, engine string, scopes array<string>, metadata_json string",
+    "concept": "concept_id string, type string, title string, body string, file_hash string, retired_at timestamp_ntz, concept_type string, description string, resource_uri string, tags array<string>, program string, engine string, scopes array<string>, metadata_json string, stix_id string, ioc_type string, ioc_value string, attack_id string, platform array<string>, kill_chain_phase array<string>, stix_pattern string, valid_until timestamp_ntz, revoked boolean",
     "bundle": "bundle_name string, bundle_path string, title string, description string",
     "containment": "bundle_name string, concept_id string",
     "hierarchy": "parent_id string, child_id string",
@@ -25,7 +33,7 @@ TABLES = {
     "agent": "agent_id string",
     "doc_run": "run_id string, actor string, started_at timestamp_ntz",
     "belief": "belief_id string, title string, belief_state string, confidence double, entrenchment string, valid_from timestamp_ntz, valid_to timestamp_ntz, salience double, base_activation double, last_access timestamp_ntz, retrieval_provenance string",
-    "episode": "episode_id string, type string, title string, event_time timestamp_ntz, ingest_time timestamp_ntz, consolidation_state string",
+    "episode": "episode_id string, type string, title string, event_time timestamp_ntz, ingest_time timestamp_ntz, consolidation_state string, method string, candidate_count bigint",
     "anomaly": "anomaly_id string, condition string",
     "ownership": "owned string, owner string, visibility string",
     "source_link": "sourced string, run_id string, origin_kind string",
@@ -36,6 +44,7 @@ TABLES = {
     "prediction": "belief_id string, p double, outcome string, episode_id string",
     "surfaced": "run_id string, retrieval string, concept_id string, similarity double, was_used boolean",
     "informs_synthesis": "retrieval string, synthesized string",
+    "typed_edge": "source string, target string, relation string",
     "population": "spec_hash string, spec_dialect string, spec_text string",
     "population_member": "spec_hash string, member string, valid_from timestamp_ntz, valid_to timestamp_ntz, computed_at timestamp_ntz",
     "consolidation_step": "run_id string, episode_id string, action string",
@@ -47,12 +56,31 @@ class Conflict(RuntimeError):
     """Somebody else committed first."""
 
 
+class Snapshot(Mapping):
+    """The tables of one version, each read when it is asked for."""
+
+    def __init__(self, store: Store, parts: dict[str, list[dict]]):
+        self.store, self.parts, self.held = store, parts, {}
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self.held:
+            self.held[table] = self.store._fold(table, self.parts.get(table, []))
+        return self.held[table]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(self._conf)
 
     def version(self) -> int:
         folder = self._path(f"{self.path}/versions")
@@ -60,45 +88,106 @@ class Store:
             return 0
         return max((int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit()), default=0)
 
-    def _pointer(self, version: int) -> dict[str, str]:
+    def _pointer(self, version: int) -> dict[str, list[dict]]:
         if not version:
             return {}
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{version}", wholetext=True).first()[0])
+        stream = self._fs.open(self._path(f"{self.path}/versions/{version}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        where = self._pointer(self.version() if version is None else version).get(table)
+    def _fold(self, table: str, parts: list[dict]) -> DataFrame:
         schema = T._parse_datatype_string(TABLES[table])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{where}") if where else self.spark.createDataFrame([], schema)
+        out, waiting = None, []
 
-    def snapshot(self) -> tuple[int, dict[str, DataFrame]]:
+        def added(out: DataFrame | None) -> DataFrame | None:
+            if not waiting:
+                return out
+            new = self.spark.read.schema(schema).parquet(*waiting)
+            waiting.clear()
+            return new if out is None else out.unionByName(new)
+
+        for part in parts:
+            where = f"{self.path}/{part['at']}"
+            if part["key"]:
+                new = self.spark.read.schema(schema).parquet(where)
+                before = added(out)
+                out = new if before is None else before.join(new.select(part["key"]).distinct(), part["key"], "left_anti").select(schema.names).unionByName(new)
+            else:
+                waiting.append(where)
+        out = added(out)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def snapshot(self) -> tuple[int, Snapshot]:
         version = self.version()
-        return version, {t: self.read(t, version) for t in TABLES}
-
-    def commit(self, changes: dict[str, DataFrame], base: int, expected: dict[str, int] | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None) -> int:
-        """Publish changes on top of version base: all of them or none. ``expected``: rows that tables must have; ``check`` may raise."""
-        staged, written = {}, {}
-        for table, df in changes.items():
-            where = f"data/{table}/{uuid.uuid4().hex}"
-            wanted = T._parse_datatype_string(TABLES[table])
-            df.select(*(df[f.name].cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted)).write.parquet(f"{self.path}/{where}")
-            staged[table], written[table] = where, self.spark.read.schema(wanted).parquet(f"{self.path}/{where}")
+        return version, Snapshot(self, self._pointer(version))
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        return self._fold(table, self._pointer(self.version() if version is None else version).get(table, []))
+
+    def _write(self, table: str, df: DataFrame, key: list[str]) -> dict:
+        at = f"data/{table}/{uuid.uuid4().hex}"
+        wanted = T._parse_datatype_string(TABLES[table])
+        df.select(*(df[f.name].cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted)).write.parquet(f"{self.path}/{at}")
+        return {"at": at, "key": key}
+
+    def commit(
+        self,
+        changes: dict[str, DataFrame],
+        base: int,
+        expected: dict[str, int] | None = None,
+        check: Callable[[Snapshot], None] | None = None,
+        adds: dict[str, DataFrame] | None = None,
+        patches: dict[str, tuple[DataFrame, list[str]]] | None = None,
+    ) -> int:
+        """Publish on top of version base, all of it or none: ``changes`` are whole tables, ``adds`` further rows, ``patches``
+        rows in place of those with the same key. ``expected``: rows that tables must have then; ``check`` sees the tables as
+        they would be, and may raise."""
+        parts, written = {t: list(p) for t, p in self._pointer(base).items()}, []
+
+        def put(table: str, df: DataFrame, key: list[str] = ()) -> dict:  # noqa: B006
+            written.append(self._write(table, df, [*key]))
+            return written[-1]
+
         try:
+            for table, df in changes.items():
+                parts[table] = [put(table, df)]
+            for table, (df, key) in (patches or {}).items():
+                parts.setdefault(table, []).append(put(table, df, key))
+            for table, df in (adds or {}).items():
+                parts.setdefault(table, []).append(put(table, df))
+            for table in {*(adds or {}), *(patches or {})}:
+                if len(parts[table]) > MOST_PARTS:
+                    parts[table] = [put(table, self._fold(table, parts[table]))]
+            after = Snapshot(self, parts)
             for table, n in (expected or {}).items():
-                if (found := written[table].count()) != n:
+                if (found := after[table].count()) != n:
                     raise ValueError(f"{table} would have {found} rows; {n} were expected")
             if check:
-                check(written)
+                check(after)
             if self.version() != base:
                 raise Conflict(f"version {base} isn't the latest any more")
+            self._publish(base + 1, json.dumps(parts))
         except Exception:
-            for where in staged.values():
-                self._fs.delete(self._path(f"{self.path}/{where}"), True)
+            for part in written:
+                discard(self.spark, f"{self.path}/{part['at']}")
             raise
-        text = json.dumps(self._pointer(base) | staged)
+        return base + 1
+
+    def _publish(self, version: int, text: str) -> None:
+        aside, to = f"{self.path}/versions/.{uuid.uuid4().hex}", f"{self.path}/versions/{version}"
+        out = self._fs.create(self._path(aside), False)
+        out.write(bytearray(text.encode()))
+        out.close()
         try:
-            out = self._fs.create(self._path(f"{self.path}/versions/{base + 1}"), False)
+            if self._fs.getUri().getScheme() == "file":  # its rename overwrites; a link doesn't
+                local = [unquote(urlparse(x).path) if "://" in x or x.startswith("file:") else x for x in (aside, to)]
+                os.link(*local)
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                context.rename(self._path(aside), self._path(to), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Exception as e:
             raise Conflict(str(e)) from e
-        out.write(bytearray(text.encode()))
-        out.close()
-        return base + 1
+        finally:
+            self._fs.delete(self._path(aside), False)
