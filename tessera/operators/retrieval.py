@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -13,6 +14,7 @@ from tessera.operators.beliefs import Time, believed_at
 from tessera.session import ship
 
 MAX_CHUNKS, OVER_FETCH = 8, 4
+EMBED_ROWS = 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -114,31 +116,46 @@ def drain_dirty(index: DataFrame, dirty: DataFrame, embeddable: DataFrame) -> Da
     return remove(index, dirty).unionByName(again.select(index.columns))
 
 
-def fnv1a(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+#: White space by Unicode's property, without U+001C to U+001F.
+BLANK = re.compile(r"[^\S\x1c-\x1f]+")
+
+
+def fnv1a(tokens: list[bytes]) -> np.ndarray:
+    """The 64-bit FNV-1a hash of each token, all tokens a byte at a time."""
+    sizes = np.array([len(t) for t in tokens])
+    data = np.frombuffer(b"".join(tokens), np.uint8).astype(np.uint64)
+    begin, h = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.full(len(tokens), 0xCBF29CE484222325, np.uint64)
+    own = np.arange(len(tokens))
+    for k in range(int(sizes.max(initial=0))):
+        own = own[sizes[own] > k]
+        h[own] = (h[own] ^ data[begin[own] + k]) * np.uint64(0x100000001B3)
     return h
 
 
+def stub_vectors(texts: list[str], dim: int = 384) -> np.ndarray:
+    """Signed hashing of lower-case tokens to unit length, a row for each text; nothing gives the first unit vector."""
+    words = [[t for t in BLANK.split(x.lower()) if t] for x in texts]
+    number = {t: k for k, t in enumerate({t for w in words for t in w})}
+    h = fnv1a([t.encode() for t in number])
+    place, sign = (h % np.uint64(dim)).astype(np.int64), np.where(h // np.uint64(dim) % np.uint64(2) == 0, 1.0, -1.0)
+    token, row = np.array([number[t] for w in words for t in w], np.int64), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    v = np.bincount(row * dim + place[token], sign[token], len(texts) * dim).reshape(len(texts), dim)
+    norm = np.sqrt((v * v).sum(axis=1))
+    v[norm == 0, 0] = 1.0
+    return (v / np.where(norm == 0, 1.0, norm)[:, None]).astype(np.float32)
+
+
 def stub_vector(text: str, dim: int = 384) -> list[float]:
-    """Signed hashing of lower-case tokens to unit length; nothing gives the first unit vector."""
-    v = np.zeros(dim)
-    for token in text.lower().split():
-        h = fnv1a(token.encode())
-        v[h % dim] += 1.0 if (h // dim) % 2 == 0 else -1.0
-    norm = float(np.sqrt((v * v).sum()))
-    if norm == 0:
-        v[0], norm = 1.0, 1.0
-    return (v / norm).astype(np.float32).tolist()
+    return stub_vectors([text], dim)[0].tolist()
 
 
 def stub_embed(df: DataFrame, text_col: str = "text", dim: int = 384) -> DataFrame:
-    """df with ``embedding``: the stub vector of a text (null: empty)."""
+    """df with ``embedding``: the stub vector of a text (null: empty). A batch's distinct tokens are hashed once."""
     ship(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: stub_vector(t or "", dim))
+        parts = [stub_vectors([t or "" for t in texts.iloc[k : k + EMBED_ROWS]], dim) for k in range(0, len(texts), EMBED_ROWS)]
+        return pd.Series([v for p in parts for v in p], index=texts.index)
 
     return df.withColumn("embedding", embed(F.col(text_col)))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import jobs, sync
 from tessera.schema import closure
+from tessera.session import scratch, stored
 from tessera.sources import bundle as source
+from tessera.sources import stix
 from tessera.store import Store
 
 #: Tables of the belief tier; a sync may not change how many rows they have.
@@ -20,6 +22,10 @@ class Collision(ValueError):
     """The bundle has ids that others hold."""
 
 
+class BeliefTierChanged(RuntimeError):
+    """A sync may not change what the belief tier has."""
+
+
 def belief_players(have: dict[str, DataFrame]) -> DataFrame:
     """(concept_id): concepts that play in a relation of the belief tier."""
     from_edges = have["belief_edge"].select(F.explode(F.map_values("players")).alias("concept_id"))
@@ -27,19 +33,21 @@ def belief_players(have: dict[str, DataFrame]) -> DataFrame:
 
 
 def _contents(concepts: DataFrame) -> DataFrame:
-    meta = F.when(F.size("extra_metadata") > 0, F.to_json("extra_metadata")) if "extra_metadata" in concepts.columns else F.lit(None).cast("string")
+    meta = F.when(F.size("extra_metadata") > 0, F.to_json("extra_metadata")) if "extra_metadata" in concepts.columns else F.col("metadata_json") if "metadata_json" in concepts.columns else F.lit(None).cast("string")
     hint = F.coalesce(F.col("type_hint"), F.lit("concept")) if "type_hint" in concepts.columns else F.lit("concept")
     extra = {"type": hint, "metadata_json": meta, "retired_at": F.lit(None).cast("timestamp_ntz")}
     return concepts.withColumns(extra)
 
 
-def sync_bundle(store: Store, concepts: DataFrame, name: str, path: str | None, now: dt.datetime, description: str | None = None, links: DataFrame | None = None) -> dict[str, int]:
+def sync_bundle(store: Store, concepts: DataFrame, name: str, path: str | None, now: dt.datetime, description: str | None = None, links: DataFrame | None = None, typed: DataFrame | None = None) -> dict[str, int]:
     """Bring what the store holds of the bundle in line with its concepts, and say how many were touched.
 
     Ids that another bundle (or none) holds refuse the whole sync. Unchanged hashes are skipped. What the bundle dropped is
     released if others contain it, retired if the belief tier refers to it (once; it keeps its id and its place), else
     deleted. Updated concepts lose their outgoing links and citations and get the new ones; links and hierarchy need both
-    ends in the bundle. Everything is one commit, which must leave the belief tier as it was.
+    ends in the bundle. Typed edges (source, target, relation) are added once; those of a deleted or retired concept go.
+    Everything is one commit, which isn't published if it would change the belief tier. Concepts without bodies have no
+    links, citations or hierarchy of their own.
     """
     concepts = concepts.dropDuplicates(["concept_id"])
     base, have = store.snapshot()
@@ -79,18 +87,29 @@ def sync_bundle(store: Store, concepts: DataFrame, name: str, path: str | None,
         return df.select(have[table].columns)
 
     cleared = pick("update").withColumnRenamed("concept_id", "source_id")
-    found = links if links is not None else source.links(concepts)
+    texts = "body" in concepts.columns
+    none = lambda schema: store.spark.createDataFrame([], schema)
+    found = links if links is not None else source.links(concepts) if texts else none("source_id string, target_id string, link_text string")
     found = sync.within(found, concepts, "source_id", "target_id").cache()
-    cited = source.citations(concepts).cache()
-    edges = source.hierarchy(concepts, within_bundle=True)
+    cited = (source.citations(concepts) if texts else none("source_id string, target_url string, link_text string")).cache()
+    edges = source.hierarchy(concepts, within_bundle=True) if texts else none("parent_id string, child_id string")
     old_links = without("concept_link", "source_id", "target_id").join(cleared, "source_id", "left_anti").select(have["concept_link"].columns)
     old_citations = without("citation", "source_id").join(cleared, "source_id", "left_anti").select(have["citation"].columns)
     old_edges = without("hierarchy", "parent_id", "child_id")
     bundles = have["bundle"]
     if not bundles.where(F.col("bundle_name") == name).take(1):  # path and description are set once
         bundles = bundles.unionByName(store.spark.createDataFrame([(name, path, name, description)], "bundle_name string, bundle_path string, title string, description string"))
+    old_typed = without("typed_edge", "source", "target")
+    new_typed = sync.missing_from(typed, old_typed, ["source", "target", "relation"]) if typed is not None else none("source string, target string, relation string")
+    new_typed = new_typed.cache()
+
+    def guard(after) -> None:
+        if changed := jobs.fingerprint_changes(before, jobs.fingerprint({(t, "rows"): after[t] for t in BELIEF_TIER})).collect():
+            raise BeliefTierChanged(f"the sync would change the belief tier: {[r.asDict() for r in changed]}")
+
     store.commit(
         {
+            "typed_edge": old_typed.unionByName(new_typed),
             "bundle": bundles,
             "concept": kept.unionByName(fresh),
             "containment": inside.unionByName(sync.missing_from(placed, inside, ["bundle_name", "concept_id"])),
@@ -99,9 +118,8 @@ def sync_bundle(store: Store, concepts: DataFrame, name: str, path: str | None,
             "citation": old_citations.unionByName(sync.missing_from(cited, old_citations, ["source_id", "target_url"])),
         },
         base,
+        check=guard,
     )
-    after = jobs.fingerprint({(t, "rows"): store.read(t) for t in BELIEF_TIER})
-    assert not jobs.fingerprint_changes(before, after).take(1), "a sync changed the belief tier"
     counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
     out = {
         "inserted": counts.get("insert", 0),
@@ -112,12 +130,24 @@ def sync_bundle(store: Store, concepts: DataFrame, name: str, path: str | None,
         "retired": retire.count(),
         "links_attempted": found.count(),
         "citations_attempted": cited.count(),
+        "typed_added": new_typed.count(),
     }
-    for df in (plan, retire, delete, release, found, cited):
+    for df in (plan, retire, delete, release, found, cited, new_typed):
         df.unpersist()
     return out
 
 
+def sync_stix(store: Store, objects: DataFrame, name: str, path: str | None, now: dt.datetime) -> dict[str, int]:
+    """Bring the store in line with a STIX bundle's objects: concepts, plain links, and typed edges where their shape admits them."""
+    with scratch(store.spark):
+        objects = stored(objects, "stix")
+        concepts = stored(stix.concepts(objects), "stix-concepts")
+        edges = stored(stix.relations(objects, concepts), "stix-edges")
+        links = edges.where("relation is null").groupBy(F.col("source").alias("source_id"), F.col("target").alias("target_id")).agg(F.min("rel_type").alias("link_text"))
+        typed = edges.where("relation is not null").select("source", "target", "relation")
+        return sync_bundle(store, concepts.withColumn("program", F.lit(None).cast("string")).drop("source_ref"), name, path, now, links=links, typed=typed)
+
+
 def status(store: Store) -> DataFrame:
     """(bundle_name, bundle_path, n): bundles and how many concepts they contain."""
     n = store.read("containment").groupBy("bundle_name").agg(F.count("*").alias("n"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.ioc import normalize_ioc
 
@@ -63,10 +60,9 @@ def strings(path: str):
     return F.coalesce(F.from_json(get(path), "array<string>"), F.expr("cast(array() as array<string>)"))
 
 
-@F.udf(T.StringType())
-def canonical(text: str | None) -> str | None:
-    """JSON with sorted keys and no blanks, so that equal objects have equal hashes."""
-    return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def canonical(text: Column) -> Column:
+    """JSON with sorted keys and no blanks, so that equal objects have equal hashes; a variant keeps its keys sorted."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
 def concepts(stix: DataFrame) -> DataFrame:
@@ -105,7 +101,7 @@ def concepts(stix: DataFrame) -> DataFrame:
         F.when(~retired & (F.size(attack) > 0), F.get(attack, F.lit(0))["external_id"]).alias("attack_id"),
         F.when(F.col("type_hint").isin(*WITH_PLATFORM), F.array_sort(F.array_distinct(strings("x_mitre_platforms")))).otherwise(F.expr("cast(array() as array<string>)")).alias("platform"),
         F.coalesce(F.filter(F.transform(phases, lambda p: p["phase_name"]), lambda p: p.isNotNull()), F.expr("cast(array() as array<string>)")).alias("kill_chain_phase"),
-        F.sha2(canonical("object").cast("binary"), 256).alias("file_hash"),
+        F.sha2(canonical(F.col("object")).cast("binary"), 256).alias("file_hash"),
         F.col("object").alias("metadata_json"),
         F.when(F.col("type") == "x-mitre-data-component", get("x_mitre_data_source_ref")).alias("source_ref"),
     )
