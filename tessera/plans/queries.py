@@ -131,7 +131,7 @@ def blast_radius_at(spark, d):
 
 
 def identity_sql(live: str) -> str:
-    return f"""links AS (SELECT record_a AS a, record_b AS b FROM resolves WHERE derivation_method IN ('type-join', 'cardinality', 'functional-dependency') AND {live}),
+    return f"""links AS (SELECT record_a AS a, record_b AS b FROM resolves WHERE {live} AND resolution IN (SELECT derived FROM resolution_derivation WHERE derivation_method IN ('type-join', 'cardinality', 'functional-dependency'))),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), pairs AS (SELECT a AS seed, a AS node FROM both_ways UNION SELECT p.seed, w.b FROM pairs p JOIN both_ways w ON w.a = p.node)"""
 
 
@@ -143,19 +143,19 @@ def all_records(spark, d):
     return r.select(F.col("record_a").alias("seed")).union(r.select("record_b")).distinct()
 
 
-@register(f"WITH RECURSIVE {ctes('resolves')}, {ID_NOW} SELECT seed, node FROM pairs")
+@register(f"WITH RECURSIVE {ctes('resolves', 'resolution_derivation')}, {ID_NOW} SELECT seed, node FROM pairs")
 def canonical_entity(spark, d):
-    return graph.canonical_entity(view(spark, d, "resolves"), all_records(spark, d))
+    return graph.canonical_entity(view(spark, d, "resolves"), view(spark, d, "resolution_derivation"), all_records(spark, d))
 
 
-@register(f"WITH RECURSIVE {ctes('resolves')}, {ID_AT} SELECT seed, node FROM pairs")
+@register(f"WITH RECURSIVE {ctes('resolves', 'resolution_derivation')}, {ID_AT} SELECT seed, node FROM pairs")
 def canonical_entity_at(spark, d):
-    return graph.canonical_entity(view(spark, d, "resolves"), all_records(spark, d), ID_T)
+    return graph.canonical_entity(view(spark, d, "resolves"), view(spark, d, "resolution_derivation"), all_records(spark, d), ID_T)
 
 
-@register(f"WITH RECURSIVE {ctes('resolves')}, {ID_NOW} SELECT seed AS record, min(node) AS entity FROM pairs GROUP BY seed")
+@register(f"WITH RECURSIVE {ctes('resolves', 'resolution_derivation')}, {ID_NOW} SELECT seed AS record, min(node) AS entity FROM pairs GROUP BY seed")
 def canonical_components(spark, d):
-    return graph.canonical_components(view(spark, d, "resolves"))
+    return graph.canonical_components(view(spark, d, "resolves"), view(spark, d, "resolution_derivation"))
 
 
 @register(f"WITH {ctes('population_member')} SELECT DISTINCT spec_hash, member FROM population_member WHERE valid_to IS NULL")
@@ -422,10 +422,22 @@ def normalize_ioc_urls(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", normalize_ioc(F.lit("url"), F.col("url")).alias("ioc_value"))
 
 
-@register()
+FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(octet_length(encode(token))), lambda i: ('0x' || substr(hex(encode(token)), 2 * i + 1, 2))::INT::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+
+
+@register(
+    f"""WITH words AS (SELECT doc_id, unnest(string_split(lower(regexp_replace(text, '[\\s\\x1c-\\x1f\\x85\\pZ]+', ' ', 'g')), ' ')) AS token FROM documents),
+hashed AS (SELECT token, {FNV} AS h FROM (SELECT DISTINCT token FROM words WHERE token <> '')),
+sums AS (SELECT doc_id, (h % 384)::INT AS place, sum(CASE WHEN (h // 384) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM words JOIN hashed USING (token) GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(sum(v * v)::DOUBLE) AS norm FROM sums GROUP BY doc_id)
+SELECT doc_id, place, round((v::DOUBLE / norm)::FLOAT::DOUBLE, 5) AS value FROM sums JOIN norms USING (doc_id) WHERE v <> 0
+UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM norms WHERE norm > 0)"""
+)
 def stub_embed(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return retrieval.stub_embed(docs).select("doc_id", "embedding")
+    """The places of each text's vector that aren't zero. White space but blanks is left out, so that SQL splits texts alike."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.regexp_replace("text", r"[\s\x1c-\x1f\x85\p{Z}]+", " ").alias("text"))
+    rows = retrieval.stub_embed(docs).select("doc_id", F.posexplode("embedding").alias("place", "v"))
+    return rows.where("v <> 0").select("doc_id", "place", F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
 @register("SELECT concat('docs/', doc_id) AS concept_id, lang AS concept_type, source AS title, [lang, source] AS tags, sha256(concat('---\ntype: ', lang, '\ntitle: ', source, '\ntags: [', lang, ', ', source, ']\n---\n', text)) AS file_hash FROM documents")
@@ -450,12 +462,17 @@ def stix_to_records(spark, d):
     return stix.concepts(patterns.union(urls)).select("concept_id", "type_hint", "attack_id")
 
 
-@register("SELECT concept_id, array_to_string(list_reverse(list_reverse(string_split(p, '/'))[1:2]), '/') AS tail FROM (SELECT concat('p/', page_id) AS concept_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages) WHERE p NOT LIKE '%//%' AND p NOT LIKE '%/' AND len(string_split(p, '/')) >= 2")
+#: Empty steps and "." are passed over, and a link with an end slash names the directory.
+@register(
+    """WITH paths AS (SELECT concat('p/', page_id) AS concept_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages),
+split AS (SELECT concept_id, string_split(p, '/') AS steps FROM paths), tails AS (SELECT concept_id, CASE WHEN len(steps) < 2 THEN [] ELSE steps[-2:] END AS two FROM split)
+SELECT concept_id, regexp_replace(array_to_string(list_filter(two, lambda s: s NOT IN ('', '.')), '/'), CASE WHEN two[-1] = '' THEN '^$' ELSE '\\.md$' END, '') AS tail FROM tails"""
+)
 def resolve_paths(spark, d):
-    """Links from inside each page's path to the path's own last two steps, resolved."""
+    """Links from inside each page's path to the path's own last two steps (none, if it has fewer), resolved."""
     pages = spark.read.parquet(f"{d}/pages.parquet")
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     steps = F.split("p", "/")
-    rows = pages.select(F.concat(F.lit("p/"), "page_id").alias("concept_id"), path.alias("p")).where((F.size(steps) >= 2) & ~F.col("p").contains("//") & ~F.col("p").endswith("/"))
-    tail = F.array_join(F.slice(steps, -2, 2), "/")
-    return rows.select("concept_id", markdown.resolve_path(F.concat(F.lit("../"), tail, F.lit(".md?x=1#y")), F.lit("dir/concept")).alias("tail"))
+    rows = pages.select(F.concat(F.lit("p/"), "page_id").alias("concept_id"), path.alias("p"))
+    tail = F.when(F.size(steps) >= 2, F.array_join(F.slice(steps, -2, 2), "/")).otherwise("")
+    return rows.select("concept_id", markdown.resolve_path(F.concat(F.lit("../"), tail, F.lit("?x=1#y")), F.lit("dir/concept")).alias("tail"))

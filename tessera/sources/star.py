@@ -51,9 +51,12 @@ SELECT concat('mem/bel/', o_orderkey) AS scoped_belief, concat('pop/', c_nationk
     "resolves": """
 SELECT concat('mem/bel/res', c_custkey) AS resolution, concat('cust/', c_custkey) AS record_a, concat('cust/', c_custkey + 1) AS record_b,
   CASE WHEN c_custkey % 9 = 0 THEN 'superseded' ELSE 'asserted' END AS belief_state, CAST('1996-01-01 00:00:00' AS {ntz}) AS valid_from,
-  CASE WHEN c_custkey % 9 = 0 THEN CAST('1998-01-01 00:00:00' AS {ntz}) END AS valid_to,
-  CASE c_custkey % 7 WHEN 0 THEN 'type-join' WHEN 1 THEN 'cardinality' WHEN 2 THEN 'functional-dependency' WHEN 3 THEN 'external-tool' WHEN 4 THEN 'type-join' WHEN 5 THEN 'human-assertion' ELSE 'llm-synthesis' END AS derivation_method
+  CASE WHEN c_custkey % 9 = 0 THEN CAST('1998-01-01 00:00:00' AS {ntz}) END AS valid_to
 FROM {customer} WHERE c_custkey % 5 <> 0 AND c_custkey + 1 <= (SELECT max(c_custkey) FROM {customer})""",
+    "resolution_derivation": """
+SELECT concat('r', c_custkey) AS rel_id, concat('mem/bel/res', c_custkey) AS derived, concat('mem/ep/', c_custkey) AS source,
+  CASE c_custkey % 7 WHEN 0 THEN 'type-join' WHEN 1 THEN 'cardinality' WHEN 2 THEN 'functional-dependency' WHEN 3 THEN 'external-tool' WHEN 4 THEN 'type-join' WHEN 5 THEN 'human-assertion' ELSE 'llm-synthesis' END AS derivation_method FROM {customer}
+UNION ALL SELECT concat('s', c_custkey), concat('mem/bel/res', c_custkey), 'mem/ep/1', 'llm-synthesis' FROM {customer} WHERE c_custkey % 2 = 0""",
     "informs_synthesis": """
 SELECT concat('mem/ep/re', CASE WHEN vec_id % 11 = 0 THEN vec_id + 1000 ELSE vec_id % 40 END) AS retrieval, concat('mem/bel/', vec_id) AS synthesized FROM {embeddings}""",
     "technique_detection": """

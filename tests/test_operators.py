@@ -1,12 +1,13 @@
 """Small graphs with exact expectations."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import beliefs as B
-from tessera.operators import disposition, graph, jobs, populations, retrieval, sync
+from tessera.operators import closure, disposition, graph, jobs, populations, retrieval, sync
 from tessera.operators.closure import components, reach
 from tessera.session import stored
 
@@ -75,15 +76,39 @@ def test_blast_radius_follows_windows(spark):
 
 
 def test_canonical_entity(spark):
-    rows = [("r1", "c1", "c2", "asserted", at("2026-01-01"), None, "type-join"), ("r2", "c2", "c3", "superseded", at("2026-06-01"), None, "cardinality"), ("r3", "c3", "c4", "asserted", at("2026-01-01"), None, "llm-synthesis")]
-    resolves = spark.createDataFrame(rows, "resolution string, record_a string, record_b string, belief_state string, valid_from timestamp_ntz, valid_to timestamp_ntz, derivation_method string")
+    rows = [("r1", "c1", "c2", "asserted", at("2026-01-01"), None), ("r2", "c2", "c3", "superseded", at("2026-06-01"), None), ("r3", "c3", "c4", "asserted", at("2026-01-01"), None), ("r4", "c4", "c5", "asserted", at("2026-01-01"), None)]
+    resolves = spark.createDataFrame(rows, "resolution string, record_a string, record_b string, belief_state string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    methods = [("r1", "llm-synthesis"), ("r1", "type-join"), ("r2", "cardinality"), ("r3", "llm-synthesis")]  # one provable derivation suffices; r4 has none
+    derivation = spark.createDataFrame(methods, "derived string, derivation_method string")
     seed = spark.createDataFrame([("c1",), ("c9",)], "seed string")
-    of = lambda t=None: ids(graph.canonical_entity(resolves, seed, t), "node")
+    of = lambda t=None: ids(graph.canonical_entity(resolves, derivation, seed, t), "node")
     assert of() == ["c1", "c2"]
     assert of("2026-03-01") == ["c1", "c2"]
     assert of("2026-08-01") == ["c1", "c2", "c3"]
 
 
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_reach_by_both_routes(spark, monkeypatch, local):
+    monkeypatch.setattr(closure, "MOST_LOCAL_EDGES", local)
+    rnd = random.Random(4)
+    edges = {(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(80)}
+    seeds = [0, 1, 2, 3, 99, None, 3]
+    want = set()
+    for s in {0, 1, 2, 3}:
+        todo, seen = [s], set()
+        while todo:
+            x = todo.pop()
+            for a, b in edges:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        want |= {(s, x) for x in seen}
+    frame = spark.createDataFrame([*edges, *list(edges)[:5], (None, 1), (1, None)], "src long, dst long")
+    got = [tuple(r) for r in reach(frame, spark.createDataFrame([(s,) for s in seeds], "seed long")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert reach(frame.limit(0), spark.createDataFrame([(1,)], "seed long")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(40).select(F.format_string("n%03d", "id").alias("a"), F.format_string("n%03d", F.col("id") + 1).alias("b"))
     got = components(links).collect()

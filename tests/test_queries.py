@@ -45,11 +45,6 @@ def test_extract_links_of_urls_with_brackets(spark, tmp_path):
     assert len(expected) == 3 and sorted(map(tuple, QUERIES["extract_links"](spark, str(tmp_path)).collect())) == expected
 
 
-def test_stub_embed_is_unit_length(spark, sf):
-    v = QUERIES["stub_embed"](spark, sf).first()["embedding"]
-    assert len(v) == 384 and abs(sum(x * x for x in v) - 1) < 1e-5
-
-
 def test_entry(spark):
     import __spark_entry__
 
