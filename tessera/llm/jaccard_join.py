@@ -329,6 +329,25 @@ def voronoi(members: list[np.ndarray], own: np.ndarray, pivots: np.ndarray, perc
     return regions_of(1 - shared / united, 1 - percent / 100), 100 * shared >= percent * united
 
 
+def spanning(within: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots, members) of links that connect what all links (within and other: pivots x members) connect: one for each
+    member, and more only where they connect pivots that aren't connected yet."""
+    near = within & other
+    first = near.argmax(axis=0)
+    members = np.flatnonzero(near.any(axis=0))
+    pivots, out_p, out_k = np.arange(len(near)), [first[members]], [members]
+    for k in np.flatnonzero(within.sum(axis=0) > 1).tolist():
+        p = np.flatnonzero(within[:, k])  # a pivot among the members connects itself with the others
+        for q in p[1:].tolist():
+            if pivots[q] != pivots[p[0]]:
+                pivots[pivots == pivots[q]] = pivots[p[0]]
+                for z in (p[0], q):
+                    if other[z, k] and not (z == first[k] and near[z, k]):
+                        out_p.append(np.array([z]))
+                        out_k.append(np.array([k]))
+    return np.concatenate(out_p), np.concatenate(out_k)
+
+
 def regions_of(distance: np.ndarray, limit: float) -> np.ndarray:
     """Membership (regions x members) by distances (pivots x members): near regions by windows of 2 x limit, and the far one."""
     nearest = distance.min(axis=0)
@@ -410,14 +429,13 @@ def _split(large: DataFrame, held: DataFrame, percent: int, leaf: int) -> DataFr
             whole = [np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")]
             centres, own = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
             inside, within = voronoi(whole, own, centres, percent)
-            c, k = np.nonzero(within)
-            linked = names[own[k]] != names[centres[c]]
+            c, k = spanning(within, names[own][None, :] != names[centres][:, None])
             j, x = np.nonzero(inside)
             near = mix(names[centres].view(U64))  # the far region has the number 0
             region_of = grams(np.array([region], np.int64).view(U64), 1)[0] + np.append(near, U64(0))
-            a = np.concatenate([names[own[k]][linked], names[own[x]]])
-            b = pa.array(np.concatenate([names[centres[c]][linked], np.zeros(len(x), np.int64)]), mask=np.concatenate([np.zeros(linked.sum(), bool), np.ones(len(x), bool)]))
-            r = np.concatenate([np.full(linked.sum(), region, np.int64), region_of[j].view(np.int64)])
+            a = np.concatenate([names[own[k]], names[own[x]]])
+            b = pa.array(np.concatenate([names[centres[c]], np.zeros(len(x), np.int64)]), mask=np.concatenate([np.zeros(len(k), bool), np.ones(len(x), bool)]))
+            r = np.concatenate([np.full(len(k), region, np.int64), region_of[j].view(np.int64)])
             yield pa.record_batch([pa.array(np.full(len(a), region)), pa.array(r), pa.array(a), b], ["parent", "region", "node", "b"])
 
     return both.select("region", "node", "chunk", "kind", "shingles").mapInArrow(fresh(deal), "parent bigint, region bigint, node bigint, b bigint")

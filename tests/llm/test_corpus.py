@@ -245,6 +245,26 @@ def test_voronoi_regions_hold_members_of_the_tables(spark, monkeypatch):
     assert calls and all(x[:-1].any() for x in calls) and sum((x[:-1].sum(axis=1) > 1).sum() for x in calls) > 0
 
 
+def test_spanning_links_connect_what_all_links_connect():
+    rnd = np.random.default_rng(5)
+    for _ in range(200):
+        pivots, members = rnd.integers(1, 6), rnd.integers(1, 12)
+        within = rnd.random((pivots, members)) < rnd.choice([0.2, 0.6])
+        names, centres = np.arange(members) + 100, rnd.integers(0, 130, pivots)  # some pivots are among the members
+        other = names[None, :] != centres[:, None]
+        within |= ~other
+
+        def classes(links, all_names=(*names, *centres)):
+            group = {x: x for x in all_names}
+            for p, k in links:
+                a, b = group[centres[p]], group[names[k]]
+                group = {x: (a if g == b else g) for x, g in group.items()}
+            return {frozenset(x for x in group if group[x] == g) for g in group.values()}
+
+        every, few = [*zip(*np.nonzero(within & other))], [*zip(*jaccard_join.spanning(within, other))]
+        assert classes(few) == classes(every) and len(few) <= members + 2 * pivots and set(few) <= set(every)
+
+
 @pytest.mark.parametrize("hot", [1, 3])
 def test_frequent_tokens_are_salted(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard_join, "HOT", hot)
