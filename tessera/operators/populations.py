@@ -68,6 +68,11 @@ def materialize(rows: DataFrame, requested: DataFrame, at: Time) -> DataFrame:
     return kept.unionByName(changed).unionByName(opened)
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """(latest): the last time that any row tells of."""
+    return rows.agg(F.max(F.greatest("valid_from", "valid_to", "computed_at")).alias("latest"))
+
+
 def check_pass(rows: DataFrame, requested: DataFrame, at: dt.datetime, now: dt.datetime, populations: DataFrame | None = None, concepts: DataFrame | None = None) -> None:
     """The guards of a pass: known population, no blank member, not older than what is recorded, at most five minutes ahead of now, new members stored."""
     if at > now + SKEW:
@@ -77,8 +82,8 @@ def check_pass(rows: DataFrame, requested: DataFrame, at: dt.datetime, now: dt.d
         raise ValueError(f"unknown populations: {[r[0] for r in lost]}")
     if requested.where("member is null or trim(member) = ''").take(1):
         raise ValueError("a member id is blank")
-    latest = rows.join(asked, "spec_hash", "left_semi").agg(F.max(F.greatest("valid_from", "valid_to", "computed_at"))).first()[0]
-    if latest is not None and at < latest:
+    last = latest(rows.join(asked, "spec_hash", "left_semi")).first()[0]
+    if last is not None and at < last:
         raise ValueError("the pass is older than one recorded")
     if concepts is not None:
         opened = plan(rows, requested).where("action = 'open'").select(F.col("member").alias("concept_id"))

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.beliefs import Time, believed_at
 from tessera.session import ship
 
 MAX_CHUNKS, OVER_FETCH = 8, 4
 EMBED_ROWS = 1000
+QUERY_BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,6 +39,39 @@ def similar_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "
     return scored.orderBy(F.desc("similarity"), id_col).limit(k).select(id_col, "similarity")
 
 
+def similar_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "belief_id", query_col: str = "query", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, id, similarity, place): similar_topk for a stated set of queries (query, embedding), by products of matrices.
+
+    Queries come in blocks of bounded size, each broadcast for one pass; a batch of vectors hands on k rows for each query.
+    """
+    ship(vectors.sparkSession)
+    schema = T.StructType([queries.schema[query_col], vectors.schema[id_col], T.StructField("similarity", T.DoubleType())])
+    parts, rows = [], queries.select(query_col, "embedding").where("embedding is not null").toLocalIterator()
+    for own in batched(rows, block):
+        wide = np.array([r["embedding"] for r in own], np.float64)
+        held = vectors.sparkSession.sparkContext.broadcast((pa.array([r[query_col] for r in own]), wide / np.sqrt((wide * wide).sum(axis=1))[:, None]))
+
+        def run(batches, held=held):
+            names, q = held.value
+            for batch in batches:
+                fits = pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]).fill_null(False)
+                batch = batch.filter(fits)
+                if not batch.num_rows:
+                    continue
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+                s = np.round((v / np.sqrt((v * v).sum(axis=1))[:, None]) @ q.T, 6)
+                rank = pc.sort_indices(batch.column(0)).to_numpy()
+                best = rank[np.argsort(-s[rank], axis=0, kind="stable")[:k]]  # ties by id
+                number = np.broadcast_to(np.arange(s.shape[1]), best.shape).ravel()
+                yield pa.record_batch([names.take(pa.array(number)), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, axis=0).ravel())], schema.names)
+
+        parts.append(vectors.select(id_col, "embedding").mapInArrow(run, schema))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("place", T.IntegerType())]))
+    place = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("similarity"), id_col))
+    return reduce(DataFrame.unionAll, parts).withColumn("place", place).where(F.col("place") <= k)
+
+
 def recall_as_of(beliefs: DataFrame, t: Time, max_chunks: int = MAX_CHUNKS, gated: DataFrame | None = None) -> DataFrame:
     """Beliefs valid at t with their titles; the query's words don't matter, and no gate unless ``gated`` is given."""
     rows = believed_at(beliefs, t)

@@ -150,8 +150,12 @@ def sync_stix(store: Store, objects: DataFrame, name: str, path: str | None, now
 
 def status(store: Store) -> DataFrame:
     """(bundle_name, bundle_path, n): bundles and how many concepts they contain."""
-    n = store.read("containment").groupBy("bundle_name").agg(F.count("*").alias("n"))
-    return store.read("bundle").join(n, "bundle_name", "left").select("bundle_name", "bundle_path", F.coalesce("n", F.lit(0)).alias("n"))
+    return bundle_counts(store.read("bundle"), store.read("containment")).select("bundle_name", "bundle_path", "n")
+
+
+def bundle_counts(bundles: DataFrame, containment: DataFrame) -> DataFrame:
+    n = containment.groupBy("bundle_name").agg(F.count("*").alias("n"))
+    return bundles.join(n, "bundle_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def playbook(store: Store, concept_id: str) -> dict:

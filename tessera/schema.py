@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Each type's parent.
@@ -70,6 +70,16 @@ def label(text: str) -> str:
     return text
 
 
+def is_label(c: Column) -> Column:
+    return c.rlike(LABEL.pattern)
+
+
+def enum_violations(df: DataFrame, key: str) -> DataFrame:
+    """(key, name, value) for every value outside its enumeration."""
+    values = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.col(c).isin(*ENUMS[c]).alias("fits")) for c in ENUMS if c in df.columns))
+    return df.select(key, F.explode(values).alias("v")).where("v.value is not null and not v.fits").select(key, "v.name", "v.value")
+
+
 def closure(root: str) -> list[str]:
     """The type and all its subtypes."""
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import markdown
@@ -97,7 +97,13 @@ def parse_files(files: DataFrame) -> DataFrame:
     hashed = files.select("path", "content", F.sha2(F.col("content").cast("binary"), 256).alias("file_hash"))
     parsed = hashed.mapInPandas(run, PARSED)
     parsed = parsed.withColumn("program", markdown.program(F.col("body"), F.col("engine")))
-    return parsed.withColumn("timestamp", F.try_to_timestamp("timestamp").cast("timestamp_ntz"))
+    return parsed.withColumn("timestamp", moment(F.col("timestamp")))
+
+
+def moment(text: Column) -> Column:
+    """An RFC 3339 time as naive UTC; null if it isn't one."""
+    fits = text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$")
+    return F.when(fits, F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.upper(text).try_cast("timestamp_ltz").cast("timestamp_ntz")))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

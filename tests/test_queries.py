@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tessera.plans import write_queries  # noqa: F401 - registers its queries
 from tessera.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
