@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. Between stages the rows are written as Parquet to the shared folder and read again.
 
-The filtering stages judge rows, not ids: each numbers the rows it is given and drops those numbers that it rejects. Ids
-may be null or repeated; a row without an id is judged like any other, and one that shares its id stays or goes by itself.
+The filtering stages judge rows, not ids: each row has a number, from the file and the place it is read from, and a stage
+drops the numbers that it rejects. Ids may be null or repeated; a row without an id is judged like any other, and one that
+shares its id stays or goes by itself. What a stage stores on its way is deleted before it returns, but for the numbers.
 """
 
 from __future__ import annotations
@@ -13,52 +14,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe_codec import encode
-from tessera.llm.common import stored
+from tessera.llm.common import scratch, stored
 from tessera.llm.decontamination import build_index, search
 from tessera.llm.jaccard_join import link
 from tessera.llm.kneser_ney import classify
 from tessera.llm.queries import table, tokenizer_path
 from tessera.llm.secrets import redact
+from tessera.session import discard, numbered
 
 MOST_BROADCAST_ROWS = 500_000
 ROW = "row_number"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number in ROW for each row; they are stored, so that the numbers stay the same however often they are read."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The numbered docs but for the rows in rejected (distinct, not null), without the numbers: a broadcast up to a checked size, else a join."""
-    rejected = stored(rejected, "rejected")
+    """The numbered docs but for the rows in rejected (stored, distinct, not null), without the numbers: a broadcast up to a checked size, else a join."""
     return docs.join(F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST_ROWS else rejected, ROW, "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose perplexity under the trusted model is over the threshold of their language go."""
-    docs = numbered(docs)
-    judged = classify(docs, table(spark, sf_dir, "labels"), row_col=ROW)
-    return without(docs, judged.where("not keep").select(ROW))
+    docs = numbered(docs, ROW)
+    with scratch(spark) as keep:
+        judged = classify(docs, table(spark, sf_dir, "labels"), row_col=ROW)
+        rejected = keep(stored(judged.where("not keep").select(ROW), "rejected"))
+    return without(docs, rejected)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of 0.8 or more on five-word shingles connect, the row with the smallest id stays (ids come
     before null, then the row number decides). Rows without words are in no group and stay."""
-    docs = numbered(docs)
-    linked = link(docs, percent=80, n=5, id_col=ROW).where("n_shingles > 0")
-    ids = docs.select(ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("place"))
-    groups = linked.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
-    members = stored(linked.join(groups, "component_id").select("component_id", ROW).join(ids, ROW), "members")
-    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
-    return without(docs, members.join(first, "component_id").where(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW))
+    docs = numbered(docs, ROW)
+    with scratch(spark) as keep:
+        linked = stored(link(docs, percent=80, n=5, id_col=ROW).where("n_shingles > 0"), "linked")
+        groups = linked.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
+        ids = docs.select(ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("place"))
+        members = stored(linked.join(groups, "component_id").select("component_id", ROW).join(ids, ROW), "members")
+        first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+        rejected = members.join(first, "component_id").where(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW)
+        rejected = keep(stored(rejected, "rejected"))
+    return without(docs, rejected)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold ten successive words of a benchmark item go."""
-    docs = numbered(docs)
-    found = search(build_index(docs, id_col=ROW), table(spark, sf_dir, "benchmark"), window=10, slop=0)
-    return without(docs, found.where("n_hit > 0").select(F.col("id").alias(ROW)))
+    docs = numbered(docs, ROW)
+    with scratch(spark) as keep:
+        found = search(build_index(docs, id_col=ROW), table(spark, sf_dir, "benchmark"), window=10, slop=0)
+        rejected = keep(stored(found.where("n_hit > 0").select(F.col("id").alias(ROW)), "rejected"))
+    return without(docs, rejected)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,7 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before:
+            discard(spark, before)
+        before = docs.stored_in
     return STAGES[-1][1](spark, docs, sf_dir)
