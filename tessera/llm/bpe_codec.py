@@ -3,7 +3,7 @@
 A rolling hash over 16 bytes cuts texts where its high bits are zero, so equal passages are cut alike wherever they
 stand. Each distinct chunk of the corpus is encoded once, whatever number of documents have it:
 
-1. Texts go into stored blocks of some ``BLOCK_BYTES``. A block has the numbers and names (128-bit hashes) of each
+1. Texts are gathered in blocks of some ``BLOCK_BYTES``. A block has the numbers and names (128-bit hashes) of each
    document's chunks, and each distinct chunk's text once.
 2. Every block hands its distinct chunks to shards of the name space. A shard encodes each name once and answers all
    blocks that have it. A chunk that is everywhere comes once from a block, so no shard is larger than others for it.
@@ -13,8 +13,8 @@ A chunk is encoded from its first to its last *anchor*: a place where white spac
 tokenizer's pattern always ends a match and no merge crosses (``Codec`` verifies that it is such a tokenizer). Joins of
 chunks are repaired: what lies between the last anchor of a chunk and the first of the next (chunks without two anchors lie
 between) is encoded again, together with the last stretch between anchors before it and the first one after it. The
-repair is done when this agrees with both neighbours' own tokens; if it doesn't, the window grows, up to ``EDGE`` stretches
-on either side (since anchors are boundaries, one is always enough; the encoding fails rather than be inexact).
+repair is done when this agrees with both neighbours' own tokens. Since anchors are boundaries, one stretch on either side
+is always enough; if it weren't, the encoding would fail rather than be inexact.
 """
 
 from __future__ import annotations
@@ -24,25 +24,26 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SLICE_BYTES, U64, fresh, mix, pack, release, resident, ship, slices, squeeze, stored, unpack, unsqueeze, utf8
+from tessera.llm.common import SLICE_BYTES, U64, fresh, mix, pack, release, resident, ship, slices, squeeze, unpack, unsqueeze, utf8
 
 #: White space by every definition of it; Python's \s has also U+001C to U+001F.
-STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 ANCHOR = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 LAST_ANCHOR = re.compile(r"[\s\S]*[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
+FIRST_STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+")
 WINDOW, CUT_BITS = 16, 9
-BLOCK_BYTES = SHARD_BYTES = 2 << 20
-MOST_STRETCHES = 100_000
+BLOCK_BYTES = SHARD_BYTES = 4 << 20
 NAME = 16  # bytes of a chunk's name
-EDGE = 4  # stretches at either end of a chunk that its blocks get
+TOGETHER = 2000  # chunks that the library has at a time
 _gear = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
 
 
@@ -65,9 +66,9 @@ def cuts(raw: np.ndarray, at: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
 
 
 class Codec:
-    """The library, what it has encoded lately, and a decoding table."""
+    """The library and a decoding table."""
 
-    def __init__(self, path: str, most_stretches: int = MOST_STRETCHES):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -81,36 +82,31 @@ class Codec:
             raise ValueError("white space after another character is an anchor for byte-level tokenizers only, without normaliser or prefix")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in kind["added_tokens"]):
             raise ValueError("an added token may cross anchors")
-        self.most = most_stretches
-        self.stretches: dict[str, bytes] = {}
         self._table: list[bytes] | None = None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def exact(self, rows: list[list[str]]) -> list[list[bytes]]:
-        """The ids of rows of stretches between anchors; the library has each distinct stretch once while it is remembered."""
-        found = set().union(*rows)
-        new = found.difference(self.stretches)
-        if len(self.stretches) + len(new) > self.most:
-            self.stretches, new = {}, found
-        new = list(new)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.stretches.update(zip(part, map(np.ndarray.tobytes, self.encode(part)), strict=True))
-        return [[*map(self.stretches.__getitem__, r)] for r in rows]
+        """The ids of each text by the library; distinct texts are encoded once."""
+        distinct = [*dict.fromkeys(texts)]
+        ids: dict[str, np.ndarray] = {}
+        for some in batched(distinct, TOGETHER):
+            ids.update(zip(some, (np.array(e.ids, np.int32) for e in self.library.encode_batch_fast([*some], add_special_tokens=False)), strict=True))
+        return [ids[t] for t in texts]
 
     def chunks(self, texts: list[str]) -> list[Chunk]:
-        out, anchored, middles = [Chunk(t) for t in texts], [], []
+        """The texts, encoded from their first to their last anchor."""
+        out, middles = [Chunk(t) for t in texts], []
         for chunk, text in zip(out, texts):
             m = ANCHOR.search(text)
             if m and m.start() < (end := LAST_ANCHOR.match(text).end()):
-                chunk.head, chunk.tail = text[: m.start()], text[end:]
-                anchored.append(chunk)
-                middles.append(STRETCH.findall(text, m.start(), end))
-        for chunk, stretches, ids in zip(anchored, middles, self.exact(middles), strict=True):
-            chunk.ids = np.frombuffer(b"".join(ids), np.int32)
-            chunk.first, chunk.last = (tuple((t, len(x) // 4) for t, x in zip(stretches[pick], ids[pick])) for pick in (slice(EDGE), slice(-EDGE, None)))
+                chunk.head, middle, chunk.tail = text[: m.start()], text[m.start() : end], text[end:]
+                inner = LAST_ANCHOR.match(middle)
+                chunk.first, chunk.last = FIRST_STRETCH.match(middle)[0], middle[inner.end() :] if inner else middle
+                middles.append((chunk, middle))
+        for (chunk, _), ids in zip(middles, self.encode([m for _, m in middles])):
+            chunk.ids = ids
+        edges = iter(map(len, self.encode([t for c, _ in middles for t in (c.first, c.last)])))
+        for chunk, _ in middles:
+            chunk.n_first, chunk.n_last = next(edges), next(edges)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -132,77 +128,66 @@ class Codec:
 
 class Chunk:
     """An encoded chunk: the text before its first anchor (all of it, if it has no two), the ids of what comes up to the last one, the text after
-    that, and the stretches at either end (text, number of ids) by which joins are judged."""
+    that, and the first and last stretch between anchors, by which joins are judged, with their numbers of ids."""
 
-    __slots__ = ("first", "head", "ids", "last", "tail")
+    __slots__ = ("first", "head", "ids", "last", "n_first", "n_last", "tail")
 
-    def __init__(self, head: str, first: tuple = (), last: tuple = (), ids: np.ndarray | None = None, tail: str = ""):
-        self.head, self.first, self.last, self.ids, self.tail = head, first, last, ids, tail
-
-    def before(self, reach: int) -> tuple[str, np.ndarray]:
-        """The last ``reach`` stretches and their ids."""
-        own = self.last[-reach:]
-        return "".join(t for t, _ in own), self.ids[len(self.ids) - sum(n for _, n in own) :]
-
-    def after(self, reach: int) -> tuple[str, np.ndarray]:
-        own = self.first[:reach]
-        return "".join(t for t, _ in own), self.ids[: sum(n for _, n in own)]
+    def __init__(self, head: str, first: str = "", last: str = "", n_first: int = 0, n_last: int = 0, ids: np.ndarray | None = None, tail: str = ""):
+        self.head, self.first, self.last, self.n_first, self.n_last, self.ids, self.tail = head, first, last, n_first, n_last, ids, tail
 
 
 def assemble(codec: Codec, documents: list[list[Chunk]]) -> list[np.ndarray]:
     """The ids of documents from those of their chunks, joins repaired."""
-    rows, joins = [], []
+    rows, joins, edge = [], [], Chunk("", ids=np.zeros(0, np.int32))
     for chunks in documents:
-        row, left, text = [], None, ""
+        row, left, text = [], edge, ""
         for chunk in chunks:
             text += chunk.head
             if chunk.ids is not None:
                 joins.append((left, text, chunk))
                 row += (len(joins) - 1, chunk.ids)
                 left, text = chunk, chunk.tail
-        joins.append((left, text, None))
+        joins.append((left, text, edge))
         rows.append([*row, len(joins) - 1])
-    repaired: list = [None] * len(joins)
-    waiting, reach = [*range(len(joins))], 1
-    none = "", np.zeros(0, np.int32)
-    while waiting:
-        sides = [(a.before(reach) if a else none, b.after(reach) if b else none) for a, _, b in (joins[k] for k in waiting)]
-        windows = [a[0] + joins[k][1] + b[0] for k, (a, b) in zip(waiting, sides)]
-        distinct = {w: k for k, w in enumerate(dict.fromkeys(windows))}
-        ids, again = codec.encode([*distinct]), []
-        for k, w, (a, b) in zip(waiting, windows, sides):
-            x = ids[distinct[w]]
-            end = len(x) - len(b[1])
-            if len(a[1]) <= end and np.array_equal(x[: len(a[1])], a[1]) and np.array_equal(x[end:], b[1]):
-                repaired[k] = x[len(a[1]) : end]
-            elif reach >= EDGE:
-                raise ValueError(f"no agreement around {w!r}: white space isn't an anchor of this tokenizer")
-            else:
-                again.append(k)
-        waiting, reach = again, reach * 2
+    windows = [a.last + text + b.first for a, text, b in joins]
+    repaired = []
+    for (a, _, b), window, ids in zip(joins, windows, codec.encode(windows)):
+        end = len(ids) - b.n_first
+        if a.n_last > end or ids[: a.n_last].tobytes() != a.ids[len(a.ids) - a.n_last :].tobytes() or ids[end:].tobytes() != b.ids[: b.n_first].tobytes():
+            raise ValueError(f"no agreement around {window!r}: white space isn't an anchor of this tokenizer")
+        repaired.append(ids[a.n_last : end])
     return [np.concatenate([repaired[x] if isinstance(x, int) else x for x in row]) for row in rows]
 
 
-def build_blocks(picked: DataFrame) -> DataFrame:
-    """Stored blocks of rows (id, text): ids, chunks per document, number of each chunk among the block's distinct ones by ascending name, their names, sizes, and texts."""
+def ask(picked: DataFrame, shards: int) -> DataFrame:
+    """Rows for the shards of the name space: the distinct chunks of a block that belong to the shard (names, sizes, texts), and for each block one row
+    of its ids, chunks per document, and the number of each chunk among the block's distinct ones by ascending name."""
+    kind = T.ArrayType(picked.schema["id"].dataType)
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("names", "sizes", "texts")), T.StructField("ids", kind), *(T.StructField(c, T.BinaryType()) for c in ("counts", "codes"))])
+    bounds = np.array([(k << 64) // shards for k in range(shards)], U64)
+
+    def rows(block: int, ids: list[pa.Array], counts: list[np.ndarray], codes: list[int], known: dict[bytes, tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        names = sorted(known)
+        place = np.zeros(len(known), np.int64)
+        place[[known[x][0] for x in names]] = np.arange(len(names))
+        listed, coded = pa.concat_arrays(ids), place[np.array(codes, np.int64)] if codes else np.zeros(0, np.int64)
+        head = [pa.array([block % shards], pa.int32()), pa.array([block], pa.int64()), *[pa.nulls(1, pa.binary())] * 3]
+        yield pa.record_batch([*head, pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed), pa.array([pack(np.concatenate(counts))], pa.binary()), pa.array([pack(coded)], pa.binary())], schema.names)
+        high = np.array([int.from_bytes(x[:8], "big") for x in names], U64)
+        cut = np.append(np.searchsorted(high, bounds), len(names)).tolist()
+        for shard in np.flatnonzero(np.diff(cut)).tolist():
+            own = names[cut[shard] : cut[shard + 1]]
+            texts = [known[x][1] for x in own]
+            blobs = [b"".join(own), pack(np.array([*map(len, texts)])), squeeze(b"".join(texts))]
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), pa.nulls(1, pa.list_(listed.type)), *[pa.nulls(1, pa.binary())] * 2], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, ids, counts, codes, known = TaskContext.get().partitionId() << 32, 0, [], [], [], {}
-
-        def block() -> pa.RecordBatch:
-            names = sorted(known)
-            place = np.zeros(len(known), np.int64)
-            place[[known[x][0] for x in names]] = np.arange(len(names))
-            listed = pa.concat_arrays(ids)
-            texts = [known[x][1] for x in names]
-            blobs = [pack(np.concatenate(counts)), pack(place[np.array(codes, np.int64)] if codes else np.zeros(0, np.int64)), b"".join(names), pack(np.array([*map(len, texts)], np.int64)), squeeze(b"".join(texts))]
-            return pa.record_batch([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed), *(pa.array([x], pa.binary()) for x in blobs), pa.array([sum(map(len, texts))], pa.int64())], schema.names)
-
         for batch in batches:
             for piece in slices(batch, 1, min(SLICE_BYTES, BLOCK_BYTES)):
                 raw, at = utf8(piece.column(1))
                 if ids and size + len(raw) > BLOCK_BYTES:
-                    yield block()
+                    yield from rows(number, ids, counts, codes, known)
                     number, size, ids, counts, codes, known = number + 1, 0, [], [], [], {}
                 begin = cuts(raw, at)
                 data, first = raw.tobytes(), np.searchsorted(begin, at)
@@ -214,38 +199,17 @@ def build_blocks(picked: DataFrame) -> DataFrame:
                 counts.append(np.diff(first))
                 size += len(raw)
         if ids:
-            yield block()
-
-    blobs = [T.StructField(c, T.BinaryType()) for c in ("counts", "codes", "names", "sizes", "texts")]
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(picked.schema["id"].dataType)), *blobs, T.StructField("bytes", T.LongType())])
-    return stored(picked.mapInArrow(fresh(run), schema), "blocks")
-
+            yield from rows(number, ids, counts, codes, known)
 
-def ask(shards: int):
-    """A block's distinct chunks by shard of the name space."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block, names = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                ends, texts = np.concatenate([[0], np.cumsum(unpack(batch.column(2)[r].as_py())[0].astype(np.int64))]), unsqueeze(batch.column(3)[r].as_py())
-                high = np.frombuffer(names, ">u8")[:: NAME // 8].astype(U64)
-                cut = np.append(np.searchsorted(high, np.array([(k << 64) // shards for k in range(shards)], U64)), len(high))
-                own = np.flatnonzero(np.diff(cut))
-                for some in np.array_split(own, max(1, len(own) // 256)):
-                    a, b = cut[some].tolist(), cut[some + 1].tolist()
-                    blobs = [[names[NAME * x : NAME * y] for x, y in zip(a, b)], [pack(np.diff(ends[x : y + 1])) for x, y in zip(a, b)], [squeeze(texts[ends[x] : ends[y]]) for x, y in zip(a, b)]]
-                    yield pa.record_batch([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], ["shard", "block", "names", "sizes", "texts"])
-
-    return run
+    return picked.mapInArrow(fresh(run), schema)
 
 
 def answer(codec, table: pa.Table) -> pa.Table:
-    """Each distinct chunk of a shard, encoded once, for every block that has it."""
-    asked = [[x[NAME * k : NAME * (k + 1)] for k in range(len(x) // NAME)] for x in table["names"].to_pylist()]
+    """Each distinct chunk of a shard, encoded once, for every block that has it; the blocks' own rows pass through."""
+    asked = [[x[NAME * k : NAME * (k + 1)] for k in range(len(x) // NAME)] if x is not None else None for x in table["names"].to_pylist()]
     texts: dict[bytes, str] = {}
     for names, sizes, blob in zip(asked, table["sizes"], table["texts"]):
-        if all(n in texts for n in names):
+        if names is None or all(n in texts for n in names):
             continue
         raw, at = unsqueeze(blob.as_py()), 0
         for name, size in zip(names, unpack(sizes.as_py())[0].tolist()):
@@ -254,52 +218,48 @@ def answer(codec, table: pa.Table) -> pa.Table:
             at += size
     known = dict(zip(texts, codec().chunks([*texts.values()])))
     release()
-    return pa.table([table["shard"], table["block"], pa.array([dump([known[n] for n in names]) for names in asked], pa.binary())], ["shard", "block", "chunks"])
+    chunks = pa.array([None if names is None else dump([known[n] for n in names]) for names in asked], pa.binary())
+    return pa.table([table["block"], table["shard"], chunks, table["ids"], table["counts"], table["codes"]], ["block", "shard", "chunks", "ids", "counts", "codes"])
 
 
 def dump(chunks: list[Chunk]) -> bytes:
-    texts = [t.encode() for c in chunks for t in (c.head, c.tail, *(t for t, _ in (*c.first, *c.last)))]
+    texts = [t.encode() for c in chunks for t in (c.head, c.first, c.last, c.tail)]
     ids = [np.zeros(0, np.int32) if c.ids is None else c.ids for c in chunks]
-    sizes = [n for c in chunks for _, n in (*c.first, *c.last)]
-    numbers = pack([len(c.first) for c in chunks], [*map(len, ids)], [*map(len, texts)], np.concatenate(ids) if ids else [], sizes)
+    numbers = pack([*map(len, ids)], [c.n_first for c in chunks], [c.n_last for c in chunks], [*map(len, texts)], np.concatenate(ids) if ids else [])
     return len(numbers).to_bytes(8, "little") + numbers + squeeze(b"".join(texts))
 
 
 def load(blob: bytes) -> list[Chunk]:
     size = int.from_bytes(blob[:8], "little")
-    edges, counts, lengths, ids, sizes = unpack(blob[8 : 8 + size])
+    *numbers, ids = unpack(blob[8 : 8 + size])
+    counts, n_first, n_last, lengths = (x.astype(np.int64) for x in numbers)
     ids, raw = ids.astype(np.int32), unsqueeze(blob[8 + size :])
-    ends = np.cumsum(lengths.astype(np.int64)).tolist()
+    ends, cut = np.cumsum(lengths).tolist(), np.cumsum(counts).tolist()
     texts = iter([raw[a:b].decode() for a, b in zip([0, *ends], ends)])
-    sizes, out, at = iter(sizes.astype(np.int64).tolist()), [], 0
-    for edge, count in zip(edges.astype(np.int64).tolist(), counts.astype(np.int64).tolist()):
-        head, tail = next(texts), next(texts)
-        first, last = (tuple((next(texts), next(sizes)) for _ in range(edge)) for _ in range(2))
-        out.append(Chunk(head, first, last, ids[at : at + count] if edge else None, tail))
-        at += count
-    return out
+    rows = zip(texts, texts, texts, texts, n_first.tolist(), n_last.tolist(), [0, *cut], cut)
+    return [Chunk(head, first, last, f, n, ids[a:b] if b > a else None, tail) for head, first, last, tail, f, n, a, b in rows]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
     """One row per row of docs: the id, ids array<int>, and with decoded, the text that these ids give back.
 
     Null and empty texts have no ids and decode to ''. Ids may be null or repeated; other columns are not read, whatever
-    their names; an empty table gives no rows. Memory is bounded by the longest text plus blocks, shards and
-    ``MOST_STRETCHES``; chunks are shuffled compressed, once for each block that has them, and texts never.
+    their names; an empty table gives no rows. Memory is bounded by the longest text plus a block and a shard; chunks are
+    shuffled compressed, once for each block that has them, as texts to the shards and as ids back.
     """
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = build_blocks(picked)
-    shards = max(1, (blocks.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES)
-    codec = lambda: resident(("codec", tokenizer_path), lambda: Codec(tokenizer_path))
-    asked = blocks.select("block", "names", "sizes", "texts").mapInArrow(fresh(ask(shards)), "shard int, block bigint, names binary, sizes binary, texts binary")
-    answers = asked.groupBy("shard").applyInArrow(lambda t: answer(codec, t), "shard int, block bigint, chunks binary")
     kind = picked.schema["id"].dataType
+    shards = max(1, (picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    codec = lambda: resident(("codec", tokenizer_path), lambda: Codec(tokenizer_path))
+    answers = ask(picked, shards).groupBy("shard").applyInArrow(lambda t: answer(codec, t), T.StructType([T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("chunks", T.BinaryType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType())]))
     schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, counts, codes = left["ids"][0].values, unpack(left["counts"][0].as_py())[0].astype(np.int64), unpack(left["codes"][0].as_py())[0].astype(np.int64).tolist()
-        known = [c for blob in right.sort_by("shard")["chunks"] for c in load(blob.as_py())]
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.is_null(table["chunks"]))
+        ids, counts, codes = own["ids"][0].values, unpack(own["counts"][0].as_py())[0].astype(np.int64), unpack(own["codes"][0].as_py())[0].astype(np.int64).tolist()
+        held = table.filter(pc.is_valid(table["chunks"])).sort_by("shard")
+        known = [c for blob in held["chunks"] for c in load(blob.as_py())]
         ends = np.cumsum(counts).tolist()
         coded = assemble(codec(), [[known[c] for c in codes[a:b]] for a, b in zip([0, *ends], ends)])
         offsets = np.concatenate([[0], np.cumsum([*map(len, coded)])])
@@ -309,5 +269,5 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         release()
         return pa.table(columns, schema.names)
 
-    out = blocks.select("block", "ids", "counts", "codes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    out = answers.groupBy("block").applyInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), *out.columns[1:])

@@ -25,6 +25,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 _resident: dict[Any, Any] = {}
+_zstd = pa.Codec("zstd", compression_level=6)
 
 
 def release() -> None:
@@ -153,11 +154,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
 
 
 def unsqueeze(blob: bytes) -> bytes:
-    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    return _zstd.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
