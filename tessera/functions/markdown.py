@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as a link and as a code fence, and the fence languages that are programs.
 LINK = r"(!?)\[([^\]]+)\]\(([^)]+)\)"
 FENCE = r"```(\w*)[^\n]*\n([\s\S]*?)\n```"
 JAVASCRIPT = ("js", "javascript", "quickjs")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tessera.operators.beliefs import Time, believed_at
 from tessera.session import ship
+from tessera.store import Pointers
 
 MAX_CHUNKS, OVER_FETCH = 8, 4
 EMBED_ROWS = 1000
@@ -137,16 +138,21 @@ def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def persist_index(index: DataFrame, path: str, model_id: str, dim: int) -> str:
-    """Write an index as a new folder under path, sorted by id in its files, with the model and dimension on every row; return the folder."""
-    folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
-    index.select("*", F.lit(model_id).alias("model_id"), F.lit(dim).alias("dim")).sortWithinPartitions("id").write.parquet(folder)
-    return folder
-
-
-def open_index(spark: SparkSession, folder: str, model_id: str, dim: int) -> DataFrame:
-    """The index in a folder; empty, so that it is rebuilt, if another model or dimension made it."""
-    held = spark.read.parquet(folder)
-    return held.where((F.col("model_id") == model_id) & (F.col("dim") == dim)).drop("model_id", "dim")
+    """Write an index as a new folder under path, sorted by id in its files, and point to it with the model and dimension; return the folder.
+    Readers see the old snapshot or the new one."""
+    pointers, folder = Pointers(index.sparkSession, f"{path.rstrip('/')}/versions"), f"data/{uuid.uuid4().hex}"
+    index.sortWithinPartitions("id").write.parquet(f"{path.rstrip('/')}/{folder}")
+    pointers.publish(pointers.latest() + 1, {"model_id": model_id, "dim": dim, "at": folder})
+    return f"{path.rstrip('/')}/{folder}"
+
+
+def open_index(spark: SparkSession, path: str, model_id: str, dim: int) -> DataFrame | None:
+    """The latest snapshot under path; None, so that it is rebuilt, if there is none or another model or dimension made it."""
+    pointers = Pointers(spark, f"{path.rstrip('/')}/versions")
+    held = pointers.read(pointers.latest())
+    if (held.get("model_id"), held.get("dim")) != (model_id, dim):
+        return None
+    return spark.read.parquet(f"{path.rstrip('/')}/{held['at']}")
 
 
 def drain_dirty(index: DataFrame, dirty: DataFrame, embeddable: DataFrame) -> DataFrame:

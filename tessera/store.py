@@ -74,7 +74,9 @@ class Snapshot(Mapping):
         return len(TABLES)
 
 
-class Store:
+class Pointers:
+    """Numbered small files in a folder; the highest number is the latest."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
@@ -82,21 +84,49 @@ class Store:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.path).getFileSystem(self._conf)
 
-    def version(self) -> int:
-        folder = self._path(f"{self.path}/versions")
+    def latest(self) -> int:
+        folder = self._path(self.path)
         if not self._fs.exists(folder):
             return 0
         return max((int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit()), default=0)
 
-    def _pointer(self, version: int) -> dict[str, list[dict]]:
+    def read(self, version: int) -> dict:
         if not version:
             return {}
-        stream = self._fs.open(self._path(f"{self.path}/versions/{version}"))
+        stream = self._fs.open(self._path(f"{self.path}/{version}"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def publish(self, version: int, held: dict) -> None:
+        aside, to = f"{self.path}/.{uuid.uuid4().hex}", f"{self.path}/{version}"
+        out = self._fs.create(self._path(aside), False)
+        out.write(bytearray(json.dumps(held).encode()))
+        out.close()
+        try:
+            if self._fs.getUri().getScheme() == "file":  # its rename overwrites; a link doesn't
+                os.link(*(unquote(urlparse(x).path) if x.startswith("file:") else x for x in (aside, to)))
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                context.rename(self._path(aside), self._path(to), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            raise Conflict(str(e)) from e
+        finally:
+            self._fs.delete(self._path(aside), False)
+
+
+class Store:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.pointers = Pointers(spark, f"{self.path}/versions")
+
+    def version(self) -> int:
+        return self.pointers.latest()
+
+    def _pointer(self, version: int) -> dict[str, list[dict]]:
+        return self.pointers.read(version)
+
     def _fold(self, table: str, parts: list[dict]) -> DataFrame:
         schema = T._parse_datatype_string(TABLES[table])
         out, waiting = None, []
@@ -168,26 +198,9 @@ class Store:
                 check(after)
             if self.version() != base:
                 raise Conflict(f"version {base} isn't the latest any more")
-            self._publish(base + 1, json.dumps(parts))
+            self.pointers.publish(base + 1, parts)
         except Exception:
             for part in written:
                 discard(self.spark, f"{self.path}/{part['at']}")
             raise
         return base + 1
-
-    def _publish(self, version: int, text: str) -> None:
-        aside, to = f"{self.path}/versions/.{uuid.uuid4().hex}", f"{self.path}/versions/{version}"
-        out = self._fs.create(self._path(aside), False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        try:
-            if self._fs.getUri().getScheme() == "file":  # its rename overwrites; a link doesn't
-                local = [unquote(urlparse(x).path) if "://" in x or x.startswith("file:") else x for x in (aside, to)]
-                os.link(*local)
-            else:
-                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-                context.rename(self._path(aside), self._path(to), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Exception as e:
-            raise Conflict(str(e)) from e
-        finally:
-            self._fs.delete(self._path(aside), False)
