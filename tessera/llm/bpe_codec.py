@@ -41,9 +41,11 @@ ANCHOR = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 LAST_ANCHOR = re.compile(r"[\s\S]*[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 FIRST_STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+")
 WINDOW, CUT_BITS = 16, 9
-BLOCK_BYTES = SHARD_BYTES = 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 NAME = 16  # bytes of a chunk's name
 TOGETHER = 2000  # chunks that the library has at a time
+# Fixed value: where byte-level tokenizers cut before they merge.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _gear = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
 
 
@@ -83,11 +85,31 @@ class Codec:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in kind["added_tokens"]):
             raise ValueError("an added token may cross anchors")
         self._table: list[bytes] | None = None
+        self.engine = self._engine(kind)
+
+    def _engine(self, kind: dict):
+        """The same merges in a faster library, if ids are in the order of merges and only special tokens were added; else None."""
+        model, letter, added = kind["model"], self._letters(), kind["added_tokens"]
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        own = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        single = [i for t, i in model["vocab"].items() if len(t) == 1]
+        special = {t["content"]: t["id"] for t in added if t["special"] and not t["normalized"]}
+        ranks = {bytes(map(letter.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
+        if len(special) < len(added) or own != sorted(own) or len(single) != 256 or max(single) > min(own) or len(own) + 256 != len(ranks):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text by the library; distinct texts are encoded once."""
+        """The ids that the library gives for each text; distinct texts are encoded once."""
         distinct = [*dict.fromkeys(texts)]
         ids: dict[str, np.ndarray] = {}
+        if self.engine is not None:
+            one = self.engine.encode
+            ids = {t: np.array(one(t, allowed_special="all"), np.int32) for t in distinct}
+            distinct = []
         for some in batched(distinct, TOGETHER):
             ids.update(zip(some, (np.array(e.ids, np.int32) for e in self.library.encode_batch_fast([*some], add_special_tokens=False)), strict=True))
         return [ids[t] for t in texts]
@@ -100,13 +122,10 @@ class Codec:
             if m and m.start() < (end := LAST_ANCHOR.match(text).end()):
                 chunk.head, middle, chunk.tail = text[: m.start()], text[m.start() : end], text[end:]
                 inner = LAST_ANCHOR.match(middle)
-                chunk.first, chunk.last = FIRST_STRETCH.match(middle)[0], middle[inner.end() :] if inner else middle
-                middles.append((chunk, middle))
-        for (chunk, _), ids in zip(middles, self.encode([m for _, m in middles])):
-            chunk.ids = ids
-        edges = iter(map(len, self.encode([t for c, _ in middles for t in (c.first, c.last)])))
-        for chunk, _ in middles:
-            chunk.n_first, chunk.n_last = next(edges), next(edges)
+                middles.append((chunk, middle, FIRST_STRETCH.match(middle)[0], middle[inner.end() :] if inner else middle))
+        whole, *edges = (self.encode([row[k] for row in middles]) for k in (1, 2, 3))
+        for (chunk, *_), ids, first, last in zip(middles, whole, *edges, strict=True):
+            chunk.ids, chunk.n_first, chunk.n_last = ids, len(first), len(last)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -128,12 +147,12 @@ class Codec:
 
 class Chunk:
     """An encoded chunk: the text before its first anchor (all of it, if it has no two), the ids of what comes up to the last one, the text after
-    that, and the first and last stretch between anchors, by which joins are judged, with their numbers of ids."""
+    that, and how many ids the first and last stretch between anchors have, by which joins are judged."""
 
-    __slots__ = ("first", "head", "ids", "last", "n_first", "n_last", "tail")
+    __slots__ = ("head", "ids", "n_first", "n_last", "tail")
 
-    def __init__(self, head: str, first: str = "", last: str = "", n_first: int = 0, n_last: int = 0, ids: np.ndarray | None = None, tail: str = ""):
-        self.head, self.first, self.last, self.n_first, self.n_last, self.ids, self.tail = head, first, last, n_first, n_last, ids, tail
+    def __init__(self, head: str, n_first: int = 0, n_last: int = 0, ids: np.ndarray | None = None, tail: str = ""):
+        self.head, self.n_first, self.n_last, self.ids, self.tail = head, n_first, n_last, ids, tail
 
 
 def assemble(codec: Codec, documents: list[list[Chunk]]) -> list[np.ndarray]:
@@ -149,7 +168,7 @@ def assemble(codec: Codec, documents: list[list[Chunk]]) -> list[np.ndarray]:
                 left, text = chunk, chunk.tail
         joins.append((left, text, edge))
         rows.append([*row, len(joins) - 1])
-    windows = [a.last + text + b.first for a, text, b in joins]
+    windows = [codec.decode(a.ids[len(a.ids) - a.n_last :].tolist()) + text + codec.decode(b.ids[: b.n_first].tolist()) for a, text, b in joins]
     repaired = []
     for (a, _, b), window, ids in zip(joins, windows, codec.encode(windows)):
         end = len(ids) - b.n_first
@@ -223,21 +242,24 @@ def answer(codec, table: pa.Table) -> pa.Table:
 
 
 def dump(chunks: list[Chunk]) -> bytes:
-    texts = [t.encode() for c in chunks for t in (c.head, c.first, c.last, c.tail)]
+    texts = [t.encode() for c in chunks for t in (c.head, c.tail)]
     ids = [np.zeros(0, np.int32) if c.ids is None else c.ids for c in chunks]
-    numbers = pack([*map(len, ids)], [c.n_first for c in chunks], [c.n_last for c in chunks], [*map(len, texts)], np.concatenate(ids) if ids else [])
-    return len(numbers).to_bytes(8, "little") + numbers + squeeze(b"".join(texts))
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    narrow = int(flat.max(initial=0) < 1 << 16)  # left in order, so that repeated words compress
+    numbers = pack([*map(len, ids)], [c.n_first for c in chunks], [c.n_last for c in chunks], [*map(len, texts)], [narrow])
+    rest = flat.astype("<u2" if narrow else "<u4").tobytes() + b"".join(texts)
+    return len(numbers).to_bytes(8, "little") + numbers + squeeze(rest)
 
 
 def load(blob: bytes) -> list[Chunk]:
     size = int.from_bytes(blob[:8], "little")
-    *numbers, ids = unpack(blob[8 : 8 + size])
-    counts, n_first, n_last, lengths = (x.astype(np.int64) for x in numbers)
-    ids, raw = ids.astype(np.int32), unsqueeze(blob[8 + size :])
-    ends, cut = np.cumsum(lengths).tolist(), np.cumsum(counts).tolist()
-    texts = iter([raw[a:b].decode() for a, b in zip([0, *ends], ends)])
-    rows = zip(texts, texts, texts, texts, n_first.tolist(), n_last.tolist(), [0, *cut], cut)
-    return [Chunk(head, first, last, f, n, ids[a:b] if b > a else None, tail) for head, first, last, tail, f, n, a, b in rows]
+    counts, n_first, n_last, lengths, narrow = (x.astype(np.int64) for x in unpack(blob[8 : 8 + size]))
+    raw, kind = unsqueeze(blob[8 + size :]), np.dtype("<u2" if narrow[0] else "<u4")
+    ids = np.frombuffer(raw, kind, int(counts.sum())).astype(np.int32)
+    ends, cut = (len(ids) * kind.itemsize + np.cumsum(lengths)).tolist(), np.cumsum(counts).tolist()
+    texts = iter([raw[a:b].decode() for a, b in zip([len(ids) * kind.itemsize, *ends], ends)])
+    rows = zip(texts, texts, n_first.tolist(), n_last.tolist(), [0, *cut], cut)
+    return [Chunk(head, f, n, ids[a:b] if b > a else None, tail) for head, tail, f, n, a, b in rows]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ from tessera.llm.bpe_codec import Codec, encode  # noqa: E402
 from tessera.llm.common import utf8  # noqa: E402
 from tessera.llm.token_counts import Transducer, token_counts  # noqa: E402
 
-PIECES = ["a", "b", " ", "  ", "\n", "\t", "\x1c", "\xa0", "éth", "'s", "中", " <", "<|endoftext|>", "<s>", "▁", "😀", "!", "12", "　", " \r\n", "<0x0A>"]
+PIECES = ["a", "b", " ", "  ", "\n", "\t", "\x1c", "\xa0", "éth", "'s", "中", " <", "<|endoftext|>", "<s>", "▁", "😀", "!", "12", "　", " \r\n", "<0x0A>", "\x85", "\u180e", "\u200b", "\u2028", "\ufeff", "I'll", "\x00", "٣", "ª", "e\u0301"]
 EDGE = ["", " ", "a" * 5000, " " * 300, "word " * 3000, "▁▁a", "\n\n\n", "<|endoftext|>" * 3, "x<|endoftext|> y"]
 
 
