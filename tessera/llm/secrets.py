@@ -34,22 +34,34 @@ SPARSE = 50
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
+SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string,match:string>"
+TOGETHER = 64  # matches added up at a time: an array grows by copying
+
+
 def matches(text: Column, pattern: str, kind: str, order: int) -> Column:
     """The spans of all matches, leftmost and not overlapping: the lengths of the gaps between them and of the matches, added up."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g).cast("long"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(g.alias("gap"), F.char_length(m).cast("long").alias("size"), m.alias("match")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,kind_no:int,end:bigint,kind:string,match:string>>)").alias("out"))
 
     def add(state: Column, step: Column) -> Column:
         start = state["at"] + step["gap"]
         span = F.struct(start.alias("start"), F.lit(order).alias("kind_no"), (start + step["size"]).alias("end"), F.lit(kind).alias("kind"), step["match"].alias("match"))
         return F.struct((start + step["size"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(steps, empty, add, lambda s: s["out"])
+    def add_some(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")), add)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["parts"], F.array(x["out"])).alias("parts")))
+
+    def all_of(steps: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / TOGETHER).cast("int")), lambda k: F.slice(steps, k * TOGETHER + 1, F.lit(TOGETHER)))
+        empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("parts"))
+        return F.aggregate(parts, empty, add_some, lambda s: F.flatten(s["parts"]))
+
+    return let(steps, all_of)
 
 
-NONE = "cast(array() as array<struct<start:bigint,kind_no:int,end:bigint,kind:string,match:string>>)"
+NONE = f"cast(array() as array<{SPAN}>)"
 
 
 def scanned(text: Column, pattern: str, kind: str, order: int, likely: Column) -> Column:
@@ -57,18 +69,6 @@ def scanned(text: Column, pattern: str, kind: str, order: int, likely: Column) -
     return F.when(likely, matches(text, pattern, kind, order)).otherwise(F.expr(NONE))
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the arrays ``base`` and ``candidates`` of spans (start, kind_no, end, kind, match)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    assign = F.filter(scanned(t, ASSIGN, "assign", 0, t.rlike(ASSIGN)), lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= LEAST["assign"])
-    access = F.filter(scanned(t, ACCESS, "access", 1, F.contains(t, F.lit("AKIA"))), lambda s: s["end"] - s["start"] >= LEAST["access"])
-    #: Runs are maximal, so the length can be asked for at once.
-    long_hex = f"[0-9a-f]{{{LEAST['hex']},}}+"
-    hexes = scanned(t, f"(?<![0-9a-f]){long_hex}", "hex", 2, t.rlike(long_hex))
-    runs = scanned(t, CANDIDATE + "+", "random", 3, t.rlike(CANDIDATE))
-    return docs.withColumn("base", F.array_sort(F.concat(assign, access, hexes))).withColumn("candidates", runs)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
