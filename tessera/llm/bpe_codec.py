@@ -41,7 +41,8 @@ ANCHOR = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 LAST_ANCHOR = re.compile(r"[\s\S]*[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 FIRST_STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+")
 WINDOW, CUT_BITS = 16, 9
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+LEVEL = 15  # of compression: texts and ids are what is shuffled
 NAME = 16  # bytes of a chunk's name
 TOGETHER = 2000  # chunks that the library has at a time
 # Fixed value: where byte-level tokenizers cut before they merge.
@@ -197,7 +198,7 @@ def ask(picked: DataFrame, shards: int) -> DataFrame:
         for shard in np.flatnonzero(np.diff(cut)).tolist():
             own = names[cut[shard] : cut[shard + 1]]
             texts = [known[x][1] for x in own]
-            blobs = [b"".join(own), pack(np.array([*map(len, texts)])), squeeze(b"".join(texts))]
+            blobs = [b"".join(own), pack(np.array([*map(len, texts)])), squeeze(b"".join(texts), LEVEL)]
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), pa.nulls(1, pa.list_(listed.type)), *[pa.nulls(1, pa.binary())] * 2], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +249,7 @@ def dump(chunks: list[Chunk]) -> bytes:
     narrow = int(flat.max(initial=0) < 1 << 16)  # left in order, so that repeated words compress
     numbers = pack([*map(len, ids)], [c.n_first for c in chunks], [c.n_last for c in chunks], [*map(len, texts)], [narrow])
     rest = flat.astype("<u2" if narrow else "<u4").tobytes() + b"".join(texts)
-    return len(numbers).to_bytes(8, "little") + numbers + squeeze(rest)
+    return len(numbers).to_bytes(8, "little") + numbers + squeeze(rest, LEVEL)
 
 
 def load(blob: bytes) -> list[Chunk]:

@@ -25,7 +25,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 _resident: dict[Any, Any] = {}
-_zstd = pa.Codec("zstd", compression_level=6)
+_zstd = pa.Codec("zstd", compression_level=3)
 
 
 def release() -> None:
@@ -153,8 +153,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
+def squeeze(raw: bytes, level: int | None = None) -> bytes:
+    codec = _zstd if level is None else pa.Codec("zstd", compression_level=level)
+    return len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
 
 
 def unsqueeze(blob: bytes) -> bytes:
