@@ -111,31 +111,37 @@ def tally(shards: int):
             for r in range(batch.num_rows):
                 block = Block(*(batch.column(c)[r].as_py() for c in range(1, 5)))
                 w, p = block.cuts(shards)
-                for begin in range(0, shards, 256):
-                    own = range(begin, min(begin + 256, shards))
+                filled = np.flatnonzero(np.diff(w) + np.diff(p))  # a block of a large corpus has nothing for most shards
+                for own in np.array_split(filled, -(-len(filled) // 256)) if len(filled) else ():
                     blobs = [
                         pack(*(np.diff(x[c[k] : c[k + 1]], prepend=U64(0)) for x, c in ((block.words, w), (block.pairs, p))), *(x[w[k] : w[k + 1]] for x in block.word_sums), *(x[p[k] : p[k + 1]] for x in block.pair_sums)) for k in own
                     ]
-                    yield pa.record_batch([pa.array(own, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(own), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "block", "held"])
+                    yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array([batch.column(0)[r].as_py()] * len(own), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "block", "held"])
 
     return run
 
 
 def add_up(table: pa.Table) -> pa.Table:
-    """For each block of a shard, the counts that all others have of its keys, and how many words the shard has."""
+    """For each block of a shard, the counts that all others have of its keys."""
     held = [unpack(blob.as_py()) for blob in table.column("held")]
     rest: list[list[np.ndarray]] = [[] for _ in held]
-    symbols = 0
     for kind, columns in ((1, (6, 7)), (0, (2, 3, 4, 5))):
         distinct, at = np.unique(np.concatenate([np.cumsum(h[kind], dtype=U64) for h in held]), return_inverse=True)
-        symbols, cut = len(distinct), np.cumsum([len(h[kind]) for h in held])[:-1]  # of words in the end
+        cut = np.cumsum([len(h[kind]) for h in held])[:-1]
         for c in columns:
             own = np.concatenate([h[c] for h in held]).astype(np.int64)
             whole = np.bincount(at, own, len(distinct)).astype(np.int64)
             for r, x in zip(rest, np.split(whole[at] - own, cut)):
                 r.append(x)
     blobs = [pack(*r) for r in rest]
-    return pa.table([table.column("shard"), table.column("block"), pa.array([symbols] * len(held), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "block", "symbols", "rest"])
+    return pa.table([table.column("shard"), table.column("block"), pa.array(blobs, pa.binary())], ["shard", "block", "rest"])
+
+
+def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of each block's words."""
+    for batch in batches:
+        for blob in batch.column(0):
+            yield pa.record_batch([pa.array(unpack(blob.as_py())[0].view(np.int64))], ["h"])
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,14 +162,14 @@ def score(docs: DataFrame, labels: DataFrame, sample: int | None = None, id_col:
     totals = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_target", "n_texts", "n_target_texts"))).first()
     shards = max(1, -(-totals[0] // SHARD_TOKENS))
     counted = blocks.select("block", *BLOBS).mapInArrow(fresh(tally(shards)), "shard int, block bigint, held binary")
-    sums = counted.groupBy("shard").applyInArrow(add_up, "shard int, block bigint, symbols bigint, rest binary")
+    sums = counted.groupBy("shard").applyInArrow(add_up, "shard int, block bigint, rest binary")
+    symbols = blocks.select("words").mapInArrow(fresh(vocabulary), "h bigint").distinct().count()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, *blobs = (left.column(c)[0] for c in ("ids", *BLOBS))
         block = Block(*(b.as_py() for b in blobs))
         right = right.sort_by("shard")
-        symbols = sum(right.column("symbols").to_pylist())
-        rest = [np.concatenate(x).astype(np.int64) for x in zip(*(unpack(blob.as_py()) for blob in right.column("rest")))]
+        rest = [np.concatenate(x).astype(np.int64) for x in zip(*(unpack(blob.as_py()) for blob in right.column("rest")))] or [np.zeros(0, np.int64)] * 6
         block.pair_sums = [a + b for a, b in zip(block.pair_sums, rest[:2])]
         block.word_sums = [a + b for a, b in zip(block.word_sums, rest[2:])]
         tokens = block.counts
