@@ -1,6 +1,7 @@
 """Nulls, repeats, ties, empty tables, clashing columns and brute force, for the operators that other tests leave out."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -145,3 +146,60 @@ def test_warc_of_clashing_columns(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").selectExpr("*", "1 as id", "2 as payload", "3 as rank", "4 as first", "5 as n")
     got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(spark, warc.write(pages)).collect()}
     assert got == {1: (1, "response", None), 2: (0, "response", None), 3: (300_000, "response", None)}
+
+
+def odd_documents(spark, path, empty=False):
+    """A table of documents as files, with nulls, empty and long texts, and repeated rows."""
+    rows = [(1, "see api_key = " + "9f86d081884c7d65" + " here", "en"), (1, "see api_key = " + "9f86d081884c7d65" + " here", "en"), (None, None, None), (2, "", "de"), (3, "plain words " * 4000, "en"), (4, "plain words", None)]
+    df = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    df.repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf, tmp_path):
+    import corpus_pipeline as C
+
+    docs = odd_documents(spark, str(tmp_path / "documents.parquet"))
+    for _, stage in C.STAGES:
+        assert stage(spark, odd_documents(spark, str(tmp_path / stage.__name__), empty=True), sf).count() == 0
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    clean = C.redacted(spark, docs, sf).collect()
+    want = [r.asDict() | ({"text": "see [REDACTED] here", "n_chars": 19} if r["doc_id"] == 1 else {}) for r in docs.collect()]
+    assert sorted((r.asDict() for r in clean), key=key) == sorted(want, key=key)
+    tokens = C.tokens(spark, docs, sf).collect()
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(C.tokenizer_path("byte_bpe_50k.json"))
+    expected = [(r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids, hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect()]
+    assert sorted(((r["doc_id"], r["ids"], r["decoded_sha256"]) for r in tokens), key=repr) == sorted(expected, key=repr)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in tokens)
+    kept = C.near_duplicates(spark, docs, sf).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted({(r["doc_id"], r["text"]) for r in docs.collect()}, key=repr)
+
+
+def test_rows_of_files_are_numbered_without_copies(spark, tmp_path):
+    from tessera import session
+
+    docs = odd_documents(spark, str(tmp_path / "a b.parquet"))
+    numbered = session.numbered(docs, "row_number")
+    again = session.numbered(docs, "row_number")
+    rows = sorted((r["row_number"], r["text"]) for r in numbered.where("text is not null").collect())
+    assert rows == sorted((r["row_number"], r["text"]) for r in again.where("text is not null").repartition(5).collect())
+    assert numbered.select("row_number").distinct().count() == docs.count() == numbered.count()
+    assert "numbered-" not in numbered._jdf.queryExecution().toString()
+
+
+def test_scratch_deletes_what_it_made(spark):
+    import os
+
+    from tessera.session import scratch, stored
+
+    df = spark.range(5)
+    with scratch(spark) as keep:
+        a = stored(df, "a")
+        with scratch(spark) as keep_inside:
+            b, c = stored(df, "b"), keep_inside(stored(df, "c"))
+        places = [x.stored_in.removeprefix("file:") for x in (a, b, c)]
+        assert [os.path.exists(p) for p in places] == [True, False, True]
+        keep(a)
+    assert [os.path.exists(p) for p in places] == [True, False, False] and a.count() == 5
