@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.schema import isa
+
 HALF_LIFE_HOURS = 168
 Time = dt.datetime | str
 
@@ -70,7 +72,9 @@ def select_for_context(beliefs: DataFrame, ownership: DataFrame, supersession: D
     return scored.withColumn("rank", F.col("score") * decay(F.col("last_access"), now))
 
 
-def retrieval_provenance_of(informs: DataFrame, beliefs: DataFrame | None = None) -> DataFrame:
-    """(synthesized, retrieval): the retrieval events that informed a belief."""
+def retrieval_provenance_of(informs: DataFrame, beliefs: DataFrame | None = None, episodes: DataFrame | None = None) -> DataFrame:
+    """(synthesized, retrieval): the retrieval events that informed a belief; with episodes (episode_id, type), players of other types don't count."""
     pairs = informs.select("synthesized", "retrieval").distinct()
+    if episodes is not None:
+        pairs = pairs.join(isa(episodes, "retrieval-event").select(F.col("episode_id").alias("retrieval")), "retrieval", "left_semi").select("synthesized", "retrieval")
     return pairs if beliefs is None else pairs.join(beliefs.select(F.col("belief_id").alias("synthesized")), "synthesized", "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.functions import markdown
 from tessera.functions.ioc import normalize_ioc
+from tessera.operators import beliefs as B
 from tessera.operators import jobs, populations, retrieval, sync
 from tessera.operators import writes as W
 from tessera.operators.disposition import METHOD_RANK, STRENGTH, method_rank
@@ -316,6 +317,14 @@ def belief_surface(spark, d):
     return spark.createDataFrame([("type", t) for t in own["types"]] + [("relation", r) for r in own["relations"]], "kind string, name string")
 
 
+@register(f"WITH {ctes('informs_synthesis')} SELECT DISTINCT synthesized, retrieval FROM informs_synthesis WHERE length(retrieval) % 2 = 0")
+def retrieval_provenance_typed(spark, d):
+    """Players of another type than retrieval events are left out."""
+    informs = view(spark, d, "informs_synthesis")
+    players = informs.select(F.col("retrieval").alias("episode_id"), F.when(F.length("retrieval") % 2 == 0, "retrieval-event").otherwise("sighting").alias("type")).distinct()
+    return B.retrieval_provenance_of(informs, episodes=players)
+
+
 # Text.
 
 BODY_SQL = "bodies AS (SELECT doc_id, lang, regexp_replace(substr(text, 1, 40), '[^a-zA-Z ]', '', 'g') AS t FROM documents)"

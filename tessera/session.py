@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder is made only where none is set on a local master (tests)."""
     conf, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if context.getCheckpointDir() is None:
-        if conf is None and not context.master.startswith("local"):
+        if conf is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="shared-"))
     return conf or context.getCheckpointDir()
