@@ -98,15 +98,23 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a number in the column name for each row that stays the same however often it is read: made of the file's
+    """df with a number in the new column name for each row that stays the same however often it is read: made of the file's
     rank and the row's place in it if df is a plain scan of Parquet files, else stored with the rows."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not df.inputFiles():
         return stored(df.select(*columns, F.monotonically_increasing_id().alias(name)), "numbered")
-    path = F.col("_metadata.file_path")
+    path, (file, place, rank, ranked) = F.col("_metadata.file_path"), (free_name(df, x) for x in ("file_name", "row_place", "file_rank", "ranked_file"))
     files = df.select(path.alias("file")).distinct().toArrow()["file"].to_pylist()  # a row for each file
-    ranks = df.sparkSession.createDataFrame(pa.table({"file_rank": pa.array(range(len(files)), pa.int64()), "ranked_file": pa.array(sorted(files), pa.string())}))
-    placed = df.select(*columns, path.alias("file_name"), F.col("_metadata.row_index").alias("row_place"))
-    joined = placed.join(F.broadcast(ranks) if len(files) <= MOST_BROADCAST_ROWS else ranks, F.col("file_name") == F.col("ranked_file"))
-    return joined.select(*columns, (F.shiftleft("file_rank", 40) + F.col("row_place")).alias(name))
+    ranks = df.sparkSession.createDataFrame(pa.table({rank: pa.array(range(len(files)), pa.int64()), ranked: pa.array(sorted(files), pa.string())}))
+    placed = df.select(*columns, path.alias(file), F.col("_metadata.row_index").alias(place))
+    joined = placed.join(F.broadcast(ranks) if len(files) <= MOST_BROADCAST_ROWS else ranks, F.col(file) == F.col(ranked))
+    return joined.select(*columns, (F.shiftleft(F.col(rank), 40) + F.col(place)).alias(name))
