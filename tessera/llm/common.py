@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from tessera.session import numbered, scratch, shared_dir, ship, stored
+from tessera.session import free_name, numbered, scratch, shared_dir, ship, stored
 
-__all__ = ["Words", "by_slice", "byte_class", "fresh", "fresh_but_for", "grams", "mix", "numbered", "pack", "powers", "release", "resident", "scratch", "shared_path", "ship", "slices", "squeeze", "stored", "unpack", "unsqueeze", "utf8"]
+__all__ = ["Words", "by_slice", "byte_class", "free_name", "fresh", "fresh_but_for", "grams", "mix", "numbered", "pack", "powers", "release", "resident", "scratch", "shared_path", "ship", "slices", "squeeze", "stored", "unpack", "unsqueeze", "utf8"]
 SLICE_BYTES = 256 << 10
 MOST_POWERS = 1 << 18  # kept; more are made for a longer text and let go
 U64 = np.uint64

@@ -151,7 +151,8 @@ def test_warc_of_clashing_columns(spark):
 def odd_documents(spark, path, empty=False):
     """A table of documents as files, with nulls, empty and long texts, and repeated rows."""
     rows = [(1, "see api_key = " + "9f86d081884c7d65" + " here", "en"), (1, "see api_key = " + "9f86d081884c7d65" + " here", "en"), (None, None, None), (2, "", "de"), (3, "plain words " * 4000, "en"), (4, "plain words", None)]
-    df = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    clashes = [f"{k} as {name}" for k, name in enumerate(("row_number", "file_name", "file_rank", "component_id", "place", "key", "spans", "base", "id"))]
+    df = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars", *clashes)
     df.repartition(3).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -181,11 +182,11 @@ def test_rows_of_files_are_numbered_without_copies(spark, tmp_path):
     from tessera import session
 
     docs = odd_documents(spark, str(tmp_path / "a b.parquet"))
-    numbered = session.numbered(docs, "row_number")
-    again = session.numbered(docs, "row_number")
-    rows = sorted((r["row_number"], r["text"]) for r in numbered.where("text is not null").collect())
-    assert rows == sorted((r["row_number"], r["text"]) for r in again.where("text is not null").repartition(5).collect())
-    assert numbered.select("row_number").distinct().count() == docs.count() == numbered.count()
+    name = session.free_name(docs, "row_number")
+    numbered, again = session.numbered(docs, name), session.numbered(docs, name)
+    rows = sorted((r[name], r["text"]) for r in numbered.where("text is not null").collect())
+    assert name == "row_number_" and rows == sorted((r[name], r["text"]) for r in again.where("text is not null").repartition(5).collect())
+    assert numbered.select(name).distinct().count() == docs.count() == numbered.count()
     assert "numbered-" not in numbered._jdf.queryExecution().toString()
 
 
