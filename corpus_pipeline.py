@@ -20,48 +20,51 @@ from tessera.llm.jaccard_join import link
 from tessera.llm.kneser_ney import classify
 from tessera.llm.queries import table, tokenizer_path
 from tessera.llm.secrets import redact
-from tessera.session import discard, numbered
+from tessera.session import discard, free_name, numbered
 
 MOST_BROADCAST_ROWS = 500_000
-ROW = "row_number"
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The numbered docs but for the rows in rejected (stored, distinct, not null), without the numbers: a broadcast up to a checked size, else a join."""
-    return docs.join(F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST_ROWS else rejected, ROW, "left_anti").drop(ROW)
+def without(docs: DataFrame, rejected: DataFrame, row: str) -> DataFrame:
+    """docs, numbered in the column row, but for the rows in rejected (stored, distinct, not null), without the numbers: a broadcast up to a checked size, else a join."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != row]
+    return docs.join(F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST_ROWS else rejected, row, "left_anti").select(*columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose perplexity under the trusted model is over the threshold of their language go."""
-    docs = numbered(docs, ROW)
+    row = free_name(docs, "row_number")
+    docs = numbered(docs, row)
     with scratch(spark) as keep:
-        judged = classify(docs, table(spark, sf_dir, "labels"), row_col=ROW)
-        rejected = keep(stored(judged.where("not keep").select(ROW), "rejected"))
-    return without(docs, rejected)
+        judged = classify(docs, table(spark, sf_dir, "labels"), row_col=row)
+        rejected = keep(stored(judged.where("not keep").select(row), "rejected"))
+    return without(docs, rejected, row)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of 0.8 or more on five-word shingles connect, the row with the smallest id stays (ids come
     before null, then the row number decides). Rows without words are in no group and stay."""
-    docs = numbered(docs, ROW)
+    row = free_name(docs, "row_number")
+    docs = numbered(docs, row)
     with scratch(spark) as keep:
-        linked = stored(link(docs, percent=80, n=5, id_col=ROW).where("n_shingles > 0"), "linked")
+        linked = stored(link(docs, percent=80, n=5, id_col=row).where("n_shingles > 0"), "linked")
         groups = linked.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
-        ids = docs.select(ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("place"))
-        members = stored(linked.join(groups, "component_id").select("component_id", ROW).join(ids, ROW), "members")
+        ids = docs.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("number")).alias("place"))
+        members = stored(linked.join(groups, "component_id").select("component_id", row).join(ids, row), "members")
         first = members.groupBy("component_id").agg(F.min("place").alias("first"))
-        rejected = members.join(first, "component_id").where(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW)
+        rejected = members.join(first, "component_id").where(F.col(row) != F.col("first.number")).select(row)
         rejected = keep(stored(rejected, "rejected"))
-    return without(docs, rejected)
+    return without(docs, rejected, row)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold ten successive words of a benchmark item go."""
-    docs = numbered(docs, ROW)
+    row = free_name(docs, "row_number")
+    docs = numbered(docs, row)
     with scratch(spark) as keep:
-        found = search(build_index(docs, id_col=ROW), table(spark, sf_dir, "benchmark"), window=10, slop=0)
-        rejected = keep(stored(found.where("n_hit > 0").select(F.col("id").alias(ROW)), "rejected"))
-    return without(docs, rejected)
+        found = search(build_index(docs, id_col=row), table(spark, sf_dir, "benchmark"), window=10, slop=0)
+        rejected = keep(stored(found.where("n_hit > 0").select(F.col("id").alias(row)), "rejected"))
+    return without(docs, rejected, row)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
