@@ -77,6 +77,28 @@ def fingerprint_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("label", "measure", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after")).where("n_before <> n_after")
 
 
+#: Jobs that have a name and a place in a run, but no rule yet.
+PLANNED = (
+    "discover_typed_join_links",
+    "synthesize_links_llm",
+    "contradiction_sweep",
+    "decay_archive_tombstone",
+    "summarize_archived_provenance",
+    "ttl_prune_record_tier",
+    "rollup_high_volume_episodes",
+    "collapse_superseded_provenance",
+    "precompute_blast_radius",
+    "invalidate_blast_radius",
+)
+
+
+def planned(name: str) -> None:
+    """Asking for a planned job is an error of its own kind, so that callers can tell it from a name that doesn't exist."""
+    if name not in PLANNED:
+        raise ValueError(f"no job {name}")
+    raise NotImplementedError(f"{name} isn't implemented yet")
+
+
 def keeper_rank() -> object:
     """The order of keepers, for callers that want all ranks of small cohorts."""
     return F.row_number().over(Window.partitionBy("title", "event_time", "owners").orderBy("ingest_time", "episode_id"))

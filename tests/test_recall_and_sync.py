@@ -175,6 +175,17 @@ def test_tick(store):
     assert writer.tick(NOW + dt.timedelta(days=2)) == {"run_id": None, "episodes_deduped": 0} and store.version() == version
 
 
+def test_planned_jobs_say_so():
+    from tessera.operators import jobs
+
+    assert len(jobs.PLANNED) == 10
+    for name in jobs.PLANNED:
+        with pytest.raises(NotImplementedError, match=name):
+            jobs.planned(name)
+    with pytest.raises(ValueError, match="no job"):
+        jobs.planned("else")
+
+
 def test_batches_commit_once(spark, store, monkeypatch):
     from tessera import store as module
 
