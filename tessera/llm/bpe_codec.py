@@ -41,7 +41,8 @@ ANCHOR = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 LAST_ANCHOR = re.compile(r"[\s\S]*[\S\x1c-\x1f](?=[^\S\x1c-\x1f])")
 FIRST_STRETCH = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+")
 WINDOW, CUT_BITS = 16, 9
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+OUT_ROWS = 256
 LEVEL = 15  # of compression: texts and ids are what is shuffled
 NAME = 16  # bytes of a chunk's name
 TOGETHER = 2000  # chunks that the library has at a time
@@ -285,12 +286,18 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         known = [c for blob in held["chunks"] for c in load(blob.as_py())]
         ends = np.cumsum(counts).tolist()
         coded = assemble(codec(), [[known[c] for c in codes[a:b]] for a, b in zip([0, *ends], ends)])
-        offsets = np.concatenate([[0], np.cumsum([*map(len, coded)])])
-        columns = [ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(coded) if coded else [], pa.int32()))]
-        if decoded:
-            columns.append(pa.array([codec().decode(c.tolist()) for c in coded], pa.string()))
+        del known, held, table
+        out = []
+        for k in range(0, len(coded), OUT_ROWS):
+            some = coded[k : k + OUT_ROWS]
+            offsets = np.concatenate([[0], np.cumsum([*map(len, some)])])
+            columns = [ids.slice(k, len(some)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(some), pa.int32()))]
+            if decoded:
+                columns.append(pa.array([codec().decode(c.tolist()) for c in some], pa.string()))
+            out.append(pa.record_batch(columns, schema.names))
+            coded[k : k + OUT_ROWS] = [None] * len(some)
         release()
-        return pa.table(columns, schema.names)
+        return pa.Table.from_batches(out)
 
     out = answers.groupBy("block").applyInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), *out.columns[1:])
