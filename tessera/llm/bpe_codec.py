@@ -3,7 +3,7 @@
 A rolling hash over 16 bytes cuts texts where its high bits are zero, so equal passages are cut alike wherever they
 stand. Each distinct chunk of the corpus is encoded once, whatever number of documents have it:
 
-1. Texts are gathered in blocks of some ``BLOCK_BYTES``. A block has the numbers and names (128-bit hashes) of each
+1. Texts are gathered in blocks of some ``BLOCK_BYTES``. A block has the numbers and names (96-bit hashes) of each
    document's chunks, and each distinct chunk's text once.
 2. Every block hands its distinct chunks to shards of the name space. A shard encodes each name once and answers all
    blocks that have it. A chunk that is everywhere comes once from a block, so no shard is larger than others for it.
@@ -44,7 +44,7 @@ WINDOW, CUT_BITS = 16, 9
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 OUT_ROWS = 256
 LEVEL = 15  # of compression: texts and ids are what is shuffled
-NAME = 16  # bytes of a chunk's name
+NAME = 12  # bytes of a chunk's name: 96 bits, so that 10**12 chunks collide with a probability under 10**-5
 TOGETHER = 2000  # chunks that the library has at a time
 # Fixed value: where byte-level tokenizers cut before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

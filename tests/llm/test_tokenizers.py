@@ -93,7 +93,7 @@ def test_shared_passages_are_encoded_once(spark, monkeypatch):
     passage = " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(2000))
     rows = [(k, f"start {rnd.random()} " + passage + f" end {rnd.random()}") for k in range(40)]
     asked = bpe_codec.ask(spark.createDataFrame(rows, "id long, text string"), 3).toArrow()
-    names = [x for r in asked["names"].to_pylist() if r is not None for x in (r[k : k + 16] for k in range(0, len(r), 16))]
+    names = [x for r in asked["names"].to_pylist() if r is not None for x in (r[k : k + bpe_codec.NAME] for k in range(0, len(r), bpe_codec.NAME))]
     assert asked["names"].null_count > 10 and len(set(names)) <= 5 * 40 and len(set(names)) < len(names) / 3
     encoded = []
     for k in range(3):
