@@ -62,7 +62,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontamination import build_index, search
 
-    found = search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), window=10, slop=0)
+    found = search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), window=10, slop=2)
     return found.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -70,6 +70,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -131,7 +132,8 @@ parts AS (SELECT q.doc_id AS query, t.doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)
 scored AS (SELECT query, doc_id, round(sum(part), 9) AS score FROM parts GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM scored)
 SELECT query, doc_id, round(score, 5) AS score, place FROM placed WHERE place <= 10"""
 
-ORACLES["op6_decontamination"] = f"""WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents), items AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark),
+#: The exact matches of op6; SQL for the near ones would join every window with every place of its words.
+EXACT_MATCHES = f"""WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents), items AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark),
 windows AS (SELECT DISTINCT item, size, array_to_string(w[k:k + size - 1], ' ') AS gram FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)),
 places AS (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS gram FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
 found AS (SELECT doc_id, item, k, size FROM places JOIN windows USING (size, gram)), hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM found) GROUP BY doc_id),
