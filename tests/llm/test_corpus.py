@@ -369,6 +369,34 @@ def test_scores_are_the_same_for_any_shards(trained, monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) == 43
 
 
+def test_model_is_trained_on_all_of_its_half(spark, trained, monkeypatch):
+    docs, labels, _ = trained
+    odd = spark.createDataFrame([(None, None), (-2, ""), (-3, "said said said"), (-3, "x")], "doc_id long, text string")
+    both = docs.unionByName(odd, allowMissingColumns=True)
+    half = [r["id"] for r in kneser_ney.trusted(labels, "doc_id").where(~kneser_ney.held_out()).collect()]
+    texts = kneser_ney.trusted_sample(docs, labels)
+    assert sorted(r["id"] for r in texts.collect()) == sorted(half) and len(half) > 20
+    key = lambda r: (r["id"] is None, r["id"] or 0, r["n_tokens"])
+    want = sorted(kneser_ney.score(both, kneser_ney.train(texts)).collect(), key=key)
+    for block, shard in ((8 << 20, 4 << 20), (60_000, 9_000)):
+        monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", block)
+        monkeypatch.setattr(kneser_ney, "SHARD_BYTES", shard)
+        got = sorted(kneser_ney.score_all(both, texts).collect(), key=key)
+        assert [(r["id"], r["lang"], r["n_tokens"]) for r in got] == [(r["id"], r["lang"], r["n_tokens"]) for r in want]
+        assert all(abs(g["log_p"] - w["log_p"]) <= g["n_tokens"] * kneser_ney.STEP for g, w in zip(got, want))
+
+
+def test_classifier_uses_more_than_2000_trusted_documents(spark):
+    """The model knows a word that only the documents with the largest hashes say."""
+    ids = spark.range(5400).selectExpr("id", "1 as quality", "0 as toxic")
+    rest = ids.where(~kneser_ney.held_out()).orderBy(F.xxhash64("id"), "id").offset(2000).select("id")
+    docs = ids.select("id").join(rest.withColumn("late", F.lit(True)), "id", "left").selectExpr("id", "case when late then 'late words here' else 'early words there' end as text")
+    labels = ids.withColumnRenamed("id", "doc_id")
+    new = spark.createDataFrame([(-1, "late words here"), (-2, "later wordy heres")], "id long, text string")
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(docs.union(new).withColumnRenamed("id", "doc_id"), labels).where("doc_id < 0").collect()}
+    assert rest.count() > 500 and got[-1] < 0.8 * got[-2]  # words that the model lacks have one probability
+
+
 def plain_kneser_ney(texts, vocabulary, more):
     """Probability of w after (u, v): interpolated modified Kneser-Ney of order 3 by its definition; more: symbols besides the vocabulary."""
     rows = [["<s>", "<s>", *t] for t in texts]
