@@ -2,11 +2,13 @@
 
 The tokenizer (merges by rank, white space as U+2581) never joins U+2581 to what stands before it: no piece of the
 vocabulary has U+2581 after another character, which ``Transducer`` verifies. The transducer reads one character at a
-time. Its states are what has been read since the last U+2581 that followed another character; each holds the number of
+time. Its states are what has been read since the last U+2581 that followed another character; each has the number of
 tokens of that string. A transition is annotated with the tokens it emits, the difference of its two states' numbers
 (negative where a merge takes tokens back), so that the emissions along a path add up to the tokens of what it reads.
-U+2581 after another character is a *reset*: it leads from every state to state 0. Transitions are determined on first
-use, by the library, and kept in one hash table of bounded size; a string that was read before is never tokenised again.
+U+2581 after another character is a *reset*: it leads from every state to state 0. Transitions are compiled on first
+use and kept in one hash table of bounded size. What a path emits between two resets is the number of the state that it
+ends in, so the library is asked for a state's number when a path first ends there, and for those in between only by
+``read``, which gives the emissions of single transitions; a string that was counted before is never tokenised again.
 
 All texts of a slice are read as one stream, which is cut into chunks of ``CHUNK`` characters; the chunks are read side
 by side, a character of each at a time. The map of a chunk sends the state before it to the state after it and the tokens
@@ -33,7 +35,7 @@ SPACE = "▁"
 CHUNK, DEEP = 64, 256
 WINDOW = 1 << 19  # characters read at a time
 MOST_STATES = 1_500_000
-CHARACTER_BITS, EMIT_BITS, EMIT_MASK = np.int64(21), 16, (1 << 16) - 1
+CHARACTER_BITS = np.int64(21)
 _MIX = U64(0x9E3779B97F4A7C15)
 
 
@@ -55,66 +57,81 @@ class Transducer:
 
     def clear(self, bits: int = 16) -> None:
         """State 0 (just U+2581 read) is all that is left."""
-        self.states, self.tokens = 1, np.full(1 << bits, self.alone, np.int32)  # tokens: of each state
+        self.states, self.tokens = 1, np.full(1 << bits, -1, np.int32)  # tokens: of each state, -1 if never asked for
+        self.tokens[0] = self.alone
         self._empty(bits)
 
     def _empty(self, bits: int) -> None:
-        """A table of transitions: (state, character) and (next state, tokens emitted), each in one integer."""
-        self.bits, self.table = bits, np.full((1 << bits, 2), -1, np.int64)
+        """A table of transitions: (state, character) in one integer, and the next state."""
+        self.bits, self.keys, self.next = bits, np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
 
     def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each key, or the free one where it would be, and what is held there."""
-        at = ((keys.view(U64) * _MIX) >> U64(64 - self.bits)).astype(np.int64)
-        held = self.table[at]
-        open_ = np.flatnonzero((held[:, 0] != keys) & (held[:, 0] >= 0))
+        at = ((keys.view(U64) * _MIX) >> U64(64 - self.bits)).view(np.int64)
+        held = self.keys.take(at)
+        open_ = np.flatnonzero(held != keys)
+        open_ = open_[held[open_] >= 0]
         while len(open_):
-            at[open_] = (at[open_] + 1) & (len(self.table) - 1)
-            held[open_] = now = self.table[at[open_]]
-            open_ = open_[(now[:, 0] != keys[open_]) & (now[:, 0] >= 0)]
+            at[open_] = further = (at[open_] + 1) & (len(self.keys) - 1)
+            held[open_] = now = self.keys.take(further)
+            open_ = open_[(now != keys[open_]) & (now >= 0)]
         return at, held
 
-    def insert(self, rows: np.ndarray) -> None:
+    def insert(self, keys: np.ndarray, states: np.ndarray) -> None:
         """Add transitions whose keys are new and distinct."""
-        while len(rows):
-            at, _ = self.slots(np.ascontiguousarray(rows[:, 0]))
-            self.table[at] = rows
-            rows = rows[self.table[at, 0] != rows[:, 0]]
-
-    def compile(self, keys: np.ndarray, strings: list[str]) -> None:
-        """Add transitions (state, character) with what has then been read since the reset, without its first U+2581."""
-        while self.states + len(keys) > len(self.table) >> 1:
-            old = self.table[self.table[:, 0] >= 0]
+        while len(keys):
+            at, _ = self.slots(keys)
+            self.keys[at] = keys
+            own = self.keys[at] == keys
+            self.next[at[own]] = states[own]
+            keys, states = keys[~own], states[~own]
+
+    def compile(self, keys: np.ndarray) -> None:
+        """Add transitions (state, character) to states of their own."""
+        while self.states + len(keys) > len(self.keys) >> 1:
+            filled = np.flatnonzero(self.keys >= 0)
+            old = self.keys[filled], self.next[filled]
             self._empty(self.bits + 1)
-            self.tokens = np.append(self.tokens, np.zeros(len(self.tokens), np.int32))
-            self.insert(old)
-        new = np.arange(self.states, self.states + len(keys))
-        self.tokens[new] = np.fromiter(map(len, self.library.encode(strings, num_threads=1)), np.int32, len(strings))
-        emitted = (self.tokens[new] - self.tokens[keys >> CHARACTER_BITS]).astype(np.int64)
-        self.insert(np.stack([keys, new << EMIT_BITS | emitted + (1 << EMIT_BITS >> 1)], axis=1))
+            self.tokens = np.append(self.tokens, np.full(len(self.tokens), -1, np.int32))
+            self.insert(*old)
+        self.insert(keys, np.arange(self.states, self.states + len(keys), dtype=np.int32))
         self.states += len(keys)
 
+    def numbers(self, text: str, since: np.ndarray, ends: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The tokens of states, which hold what was read from since (U+2581) to ends."""
+        new = np.flatnonzero(self.tokens[states] < 0)
+        if len(new):
+            own, first = np.unique(states[new], return_index=True)
+            first = new[first]
+            strings = [text[a + 1 : b + 1] for a, b in zip(since[first].tolist(), ends[first].tolist())]
+            self.tokens[own] = np.fromiter(map(len, self.library.encode(strings, num_threads=1)), np.int32, len(strings))
+        return self.tokens[states]
+
     def read(self, text: str, codes: np.ndarray, reset: np.ndarray) -> np.ndarray:
         """The tokens emitted at each character of a stream that begins with a reset."""
+        place, states = np.arange(len(codes)), self.walk(codes, reset)
+        held = self.numbers(text, np.maximum.accumulate(np.where(reset, place, 0)), place, states)
+        return held - np.where(reset, 0, np.append(0, held[:-1]))
+
+    def walk(self, codes: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        """The state after each character of a stream that begins with a reset."""
         if self.states > self.most:
             self.clear()
         n, chunks = len(codes), -(-len(codes) // CHUNK)
         fill = chunks * CHUNK - n
-        since = np.maximum.accumulate(np.where(reset, np.arange(n), 0))
         columns = np.ascontiguousarray(np.append(codes, np.zeros(fill, np.int64)).reshape(chunks, CHUNK).T)
         resets = np.ascontiguousarray(np.append(reset, np.ones(fill, bool)).reshape(chunks, CHUNK).T)
         out = np.zeros((CHUNK, chunks), np.int32)
 
         def step(p: int, lanes: np.ndarray, state: np.ndarray) -> np.ndarray:
-            keys = state << CHARACTER_BITS | columns[p, lanes]
-            _, held = self.slots(keys)
-            missing = held[:, 0] < 0
-            if missing.any():
-                own, first = np.unique(keys[missing], return_index=True)
-                ends = lanes[missing][first] * CHUNK + p
-                self.compile(own, [text[a + 1 : b + 1] for a, b in zip(since[ends].tolist(), ends.tolist())])
-                _, held = self.slots(keys)
-            out[p, lanes] = (held[:, 1] & EMIT_MASK) - (1 << EMIT_BITS >> 1)
-            return held[:, 1] >> EMIT_BITS
+            keys = state << CHARACTER_BITS | columns[p].take(lanes)
+            at, held = self.slots(keys)
+            missing = np.flatnonzero(held != keys)
+            if len(missing):
+                self.compile(np.unique(keys[missing]))
+                at, _ = self.slots(keys)
+            out[p, lanes] = state = self.next.take(at)
+            return state
 
         # The constant part of each chunk's map: from its first reset on.
         exits = np.full(chunks, -1, np.int64)
@@ -122,7 +139,6 @@ class Transducer:
             lanes = np.flatnonzero((exits >= 0) & ~resets[p])
             exits[lanes] = step(p, lanes, exits[lanes])
             exits[resets[p]] = 0
-            out[p, resets[p]] = self.alone
         # Composition with the exits of the left neighbours.
         heads = np.where(resets.any(axis=0), resets.argmax(axis=0), CHUNK)
         waiting = np.flatnonzero(heads > 0)
@@ -155,14 +171,18 @@ class Transducer:
         deep = sizes > DEEP
         aside = np.repeat(deep, sizes)
         reset |= aside
-        emitted, a = np.zeros(len(codes), np.int32), 0
+        emitted, a = np.zeros(len(codes), np.int64), 0
+        ends = np.append(begins[1:], len(codes)) - 1
         while a < len(codes):  # windows end before a reset
             b = len(codes) if len(codes) - a <= WINDOW else int(begins[np.searchsorted(begins, a + WINDOW, "right") - 1])
             if b <= a:  # one string that the library counts, longer than a window
                 b = int(np.append(begins, len(codes))[np.searchsorted(begins, a, "right")])
-            emitted[a:b] = self.read(stream[a:b], codes[a:b], reset[a:b])
+            states = self.walk(codes[a:b], reset[a:b])
+            own = slice(*np.searchsorted(begins, [a, b]))
+            shallow = ~deep[own]
+            since, last = begins[own][shallow], ends[own][shallow]
+            emitted[since] = self.numbers(stream, since, last, states[last - a])
             a = b
-        emitted[aside] = 0
         for x, size in zip(begins[deep].tolist(), sizes[deep].tolist()):
             emitted[x] = len(self.library.encode(stream[x + 1 : x + size]))
         counts[filled] = np.add.reduceat(emitted, starts)

@@ -49,6 +49,19 @@ def test_transitions_are_compiled_once(sp):
     assert emitted[:4].sum() == len(sp.encode("the")) and emitted[:2].sum() == len(sp.encode("t"))
 
 
+def test_the_library_counts_each_distinct_string_once(sp):
+    t, asked = Transducer(P.path("piece_bpe_32k.model")), []
+
+    class Library:
+        def encode(self, x, **more):
+            asked.extend(x if isinstance(x, list) else [x])
+            return sp.encode(x, **more)
+
+    t.library, text = Library(), "extraordinary circumstances; extraordinary measures " * 30
+    assert t.count_all([text, text[:200]]).tolist() == [len(sp.encode(text)), len(sp.encode(text[:200]))]
+    assert len(asked) == len(set(asked)) <= 6  # not a call for each prefix of a word
+
+
 def test_token_counts(spark, sp):
     rows = [(1, "hello world", "x"), (1, "hello world", "x"), (None, "é", "y"), (2, None, "z"), (3, "", "z"), (4, "word " * 6000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
