@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, by_slice, free_name, fresh, numbered, pack, scratch, ship, slices, stored, unpack
+from tessera.llm.common import U64, by_slice, free_name, fresh, numbered, pack, release, scratch, ship, slices, stored, unpack
 from tessera.llm.lm_tokens import SHAPES, Tokens
 
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20  # of texts; of training texts whose counts a shard holds, on average
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20  # of texts; of training texts whose counts a shard holds, on average
 MOST_BROADCAST_ROWS = 2_000_000
 STEP = 2.0**-14  # of the sum of the log-probabilities that a row has from a shard
 TRAINED = -(1 << 63)  # in place of a block's number, which is that of its first row
@@ -294,11 +294,12 @@ def blocks(batches: Iterator[pa.RecordBatch], vocabulary: tuple[np.ndarray, np.n
 
     def dealt() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         key, row = np.concatenate(keys), np.concatenate(of)
+        keys.clear(), of.clear()  # one copy at a time
         order = np.argsort(key, kind="stable")
-        own = (key[order] >> BITS & LOW) % shards
-        by_shard = np.argsort(own.astype(np.int16 if shards < 1 << 15 else np.int64), kind="stable")
-        order = order[by_shard]
-        return np.concatenate(ids), key[order], row[order], np.searchsorted(own[by_shard], np.arange(shards + 1))
+        key, row = key[order], row[order]
+        own = ((key >> BITS & LOW) % shards).astype(np.int16 if shards < 1 << 15 else np.int64)
+        order = np.argsort(own, kind="stable")
+        return np.concatenate(ids), key[order], row[order], np.searchsorted(own[order], np.arange(shards + 1))
 
     ids, keys, of, size, n = [], [], [], 0, 0
     for batch in batches:
@@ -306,10 +307,11 @@ def blocks(batches: Iterator[pa.RecordBatch], vocabulary: tuple[np.ndarray, np.n
             if ids and size + piece.column(1).nbytes > BLOCK_BYTES:
                 yield dealt()
                 ids, keys, of, size, n = [], [], [], 0, 0
+                release()
             tokens = Tokens(piece.column(1))
             ids.append(piece.column(0).to_numpy(zero_copy_only=False))
             keys.append(trigrams(tokens, *vocabulary))
-            of.append(tokens.doc + n)
+            of.append((tokens.doc + n).astype(np.int32))
             size, n = size + piece.column(1).nbytes, n + piece.num_rows
     if ids:
         yield dealt()
