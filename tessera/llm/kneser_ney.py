@@ -373,7 +373,8 @@ def score_all(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_co
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = None, None
         for batch in batches:
-            for shard, block, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for row in zip(*(batch.column(c) for c in range(3))):
+                shard, block, blob = (x.as_py() for x in row)
                 parts = unpack(blob)
                 keys = decoded(parts[:5], shard, shards)
                 if block == TRAINED:
