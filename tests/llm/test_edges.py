@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,41 @@ def test_bm25_of_odd_tables(spark, monkeypatch):
     assert bm25.search(bm25.build_index(df.limit(0)), queries, 5).count() == 0
 
 
+def test_bm25_scores_many_queries_at_once(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # a shard takes the texts of several batches
+    try:
+        texts = [*sentences(9, 300, 60), *["common words of copies"] * 40, ""]
+        df = spark.createDataFrame([*enumerate(texts)], DOCS).coalesce(1)
+        rows = bm25.build_index(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 1
+    row, k = rows[0], 5
+    counts, n = [collections.Counter(bm25.Words(*bm25.utf8(pa.array([texts[i]])), bm25.MEMBER).hashes.tolist()) for i in row["ids"]], len(texts)
+    df_, mean = collections.Counter(w for c in counts for w in c), sum(c.total() for c in counts) / n
+    idf = {w: math.log(1 + (n - x + 0.5) / (x + 0.5)) for w, x in df_.items()}
+    norm = [1.2 * (0.25 + 0.75 * c.total() / mean) for c in counts]
+    queries = [sorted(c) for c in counts if c]
+    batch = bm25.Batch(np.array([w for q in queries for w in q], np.uint64), np.array([idf[w] for q in queries for w in q]), np.array([*map(len, queries)]))
+    monkeypatch.setattr(bm25, "BLOCK", 16)
+    monkeypatch.setattr(bm25, "TILE", 4)
+    want = []
+    for i, q in enumerate(queries):
+        scores = [(-round(sum(idf[w] * c[w] * 2.2 / (c[w] + x) for w in q if w in c), 9), d) for c, x, d in zip(counts, norm, row["ids"])]
+        want += [(i, d, -s) for s, d in sorted(x for x in scores if x[0])[:k]]
+    for dense, pairs in ((600, 500_000), (0, 700), (1 << 30, 700)):  # both ways, sums alone, products alone
+        monkeypatch.setattr(bm25, "DENSE", dense)
+        monkeypatch.setattr(bm25, "PAIRS", pairs)
+        shard = bm25.Shard([row[c] for c in ("lengths", "terms", "begin", "docs", "tf")], np.array(row["ids"]), mean, k)
+        floors, copies = np.zeros(len(queries)), shard.terms.tolist().index(bm25.Words(*bm25.utf8(pa.array(["copies"])), bm25.MEMBER).hashes[0])
+        assert sum(t.begin[at + 1] - t.begin[at] for t in shard.tiles for at in np.flatnonzero(t.number == copies)) == k  # not 40
+        for _ in range(2):  # without floors, then with the k-th best as floor
+            query, docs, scores = shard.search(batch, floors, k)
+            got = [*zip(query.tolist(), np.array(row["ids"])[docs].tolist(), scores.tolist())]
+            assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose(scores, [x[2] for x in want], rtol=0, atol=2e-9)
+            floors = np.array([min(s for i, _, s in want if i == q) if sum(i == q for i, *_ in want) == k else 0.0 for q in range(len(queries))])
+
+
 def test_bm25_gives_about_k_rows_a_query(spark, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_BYTES", 1500)
     texts = sentences(8, 400, 300)
